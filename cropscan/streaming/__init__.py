@@ -1,0 +1 @@
+"""No stream operators: scenes are processed in batches, so nothing is built here."""

@@ -1,0 +1,32 @@
+"""Order-insensitive comparison of a Spark result with DuckDB SQL on the same tables."""
+
+import duckdb
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(sf_dir):
+    con = duckdb.connect()
+    for name in TABLES:
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf_dir}/{name}.parquet')")
+    return con
+
+
+def _ordered(rows):
+    return sorted(rows, key=lambda row: tuple((v is None, str(type(v)), v) for v in row))
+
+
+def spark_rows(df):
+    columns = sorted(df.columns)
+    return columns, _ordered(tuple(row) for row in df.select(*columns).collect())
+
+
+def duck_rows(con, sql):
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    order = sorted(range(len(names)), key=names.__getitem__)
+    rows = [tuple(row[i] for i in order) for row in cursor.fetchall()]
+    return [names[i] for i in order], _ordered(rows)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -29,11 +31,27 @@ def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
     return assembler.transform(pixels)
 
 
+@contextmanager
+def _cached_vectors(pixels: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
+    vectors = with_features(pixels, features).select("features")
+    vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield vectors
+    finally:
+        vectors.unpersist()
+
+
+def _estimator(clusters: int, max_iter: int) -> KMeans:
+    # Features are few and dense: the block solver handles a block of rows per call.
+    return KMeans(k=clusters, maxIter=max_iter, solver="block")
+
+
 def fit_kmeans(
     pixels: DataFrame, features: Sequence[str], clusters: int, seed: int = 1, max_iter: int = 20
 ) -> KMeansModel:
-    vectors = with_features(pixels, features).select("features")
-    return KMeans(k=clusters, seed=seed, maxIter=max_iter).fit(vectors)
+    """One fit. Seeding alone reads the vectors several times, so they are cached for it."""
+    with _cached_vectors(pixels, features) as vectors:
+        return _estimator(clusters, max_iter).setSeed(seed).fit(vectors)
 
 
 def fit_restarts(
@@ -42,20 +60,24 @@ def fit_restarts(
     clusters: int,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
+    parallelism: int = 4,
 ) -> list[tuple[int, KMeansModel]]:
     """One fit per seed over the same cached vectors, best (lowest cost) first.
 
-    Equal costs are ordered by seed.
+    ``parallelism`` fits submit their jobs side by side, which fills the cluster
+    between the short jobs of an iteration. Equal costs are ordered by seed.
     """
-    vectors = with_features(pixels, features).select("features")
-    vectors = vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fits = [
-            (seed, KMeans(k=clusters, seed=seed, maxIter=max_iter).fit(vectors)) for seed in seeds
-        ]
-    finally:
-        vectors.unpersist()
-    return sorted(fits, key=lambda fit: (fit[1].summary.trainingCost, fit[0]))
+    seeds = list(seeds)
+    estimator = _estimator(clusters, max_iter)
+    with (
+        _cached_vectors(pixels, features) as vectors,
+        ThreadPool(min(parallelism, len(seeds))) as pool,
+    ):
+        fits = estimator.fitMultiple(vectors, [{estimator.seed: seed} for seed in seeds])
+        next_fit = inheritable_thread_target(vectors.sparkSession)(lambda _: next(fits))
+        models = dict(pool.imap_unordered(next_fit, seeds))
+    ranked = ((seed, models[position]) for position, seed in enumerate(seeds))
+    return sorted(ranked, key=lambda fit: (fit[1].summary.trainingCost, fit[0]))
 
 
 def fit_best_of(pixels: DataFrame, features: Sequence[str], clusters: int, **options) -> KMeansModel:

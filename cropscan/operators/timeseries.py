@@ -29,7 +29,8 @@ def head(rows: DataFrame, count: int, *order: str) -> DataFrame:
 
 
 def describe_by(rows: DataFrame, by: str, value: str) -> DataFrame:
-    """count, mean, std, min, quartiles and max of ``value`` per group."""
+    """count, mean, std, min, quartiles and max of ``value`` per group; null groups are left out."""
+    rows = rows.filter(F.col(by).isNotNull())
     basics = rows.groupBy(by).agg(
         F.count(value).alias("count"),
         F.avg(value).alias("mean"),

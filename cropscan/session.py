@@ -9,6 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The JVM does not compile methods above 8000 bytecodes. Whole-stage code of a wide
+# pixel projection can pass that size and then runs interpreted, several times slower;
+# with this limit such a stage falls back to smaller generated methods.
+JIT_METHOD_LIMIT = "8000"
+
+
 def build_session(cores: int | str = "*", app: str = "cropscan", **conf: str) -> SparkSession:
     """Local session for tests and the bench. On a cluster use the session you are given."""
     threads = os.cpu_count() if cores == "*" else int(cores)
@@ -16,6 +22,7 @@ def build_session(cores: int | str = "*", app: str = "cropscan", **conf: str) ->
         "spark.sql.shuffle.partitions": str(threads),
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
+        "spark.sql.codegen.hugeMethodLimit": JIT_METHOD_LIMIT,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "16g",
         "spark.ui.enabled": "false",

@@ -1,0 +1,75 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cropscan.operators.quantiles import group_quantiles
+from cropscan.operators.timeseries import (
+    describe_by, label_table, tally_table, with_precision,
+)
+
+ASKED = {"q0": 0.0, "q1": 0.1, "q25": 0.25, "q5": 0.5, "q75": 0.75, "q99": 0.99, "q100": 1.0}
+
+
+def check(frame, groups):
+    got = {r["g"]: r for r in group_quantiles(frame, "g", "v", ASKED).collect()}
+    assert set(got) == set(groups)
+    for group, values in groups.items():
+        for name, share in ASKED.items():
+            assert got[group][name] == pytest.approx(np.quantile(values, share), abs=1e-9)
+
+
+def test_small_groups(spark):
+    groups = {n: [float(v * v) for v in range(n)] for n in range(1, 9)}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    check(spark.createDataFrame(rows, "g INT, v DOUBLE"), groups)
+
+
+def test_hot_group_outliers_and_repeats(spark):
+    rng = np.random.default_rng(7)
+    groups = {
+        1: rng.lognormal(0, 4, 30_000).tolist(),
+        2: rng.integers(0, 5, 8_000).astype(float).tolist(),
+        3: [3.25] * 4_000 + [1e300],
+        4: rng.normal(size=999).tolist(),
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    check(spark.createDataFrame(rows, "g INT, v DOUBLE"), groups)
+
+
+def test_describe_with_nulls(spark):
+    rows = spark.createDataFrame(
+        [("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), ("c", None), (None, 2.0)],
+        "g STRING, v DOUBLE",
+    )
+    got = {r["g"]: r.asDict() for r in describe_by(rows, "g", "v").collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert got["a"]["count"] == 2 and got["a"]["p25"] == 1.5 and got["a"]["mean"] == 2.0
+    assert got["a"]["std"] == pytest.approx(2**0.5)
+    assert got["b"]["std"] is None and got["b"]["p50"] == 5.0
+    assert got["c"]["count"] == 0 and got["c"]["p50"] is None
+
+
+# Two days of the published label tally.
+TALLY = [
+    ("2017-08-11", {"Yes": 157, "Not sure": 2, "No": 1}),
+    ("2017-08-22", {"Yes": 142, "Not sure": 12}),
+]
+
+
+def test_ragged_tallies_and_precision(spark):
+    labels = ["Yes", "Not sure", "No", "Others"]
+    frame = spark.createDataFrame(TALLY, "date STRING, tally MAP<STRING, INT>")
+    table = with_precision(tally_table(frame, "date", "tally", labels), "Yes", labels)
+    rows = {r["date"]: r for r in table.collect()}
+    assert tuple(rows["2017-08-11"])[1:] == (157, 2, 1, 0, 160, 0.98)
+    assert tuple(rows["2017-08-22"])[1:] == (142, 12, 0, 0, 154, 0.92)
+
+
+def test_precision_of_an_empty_row(spark):
+    table = label_table(
+        spark.createDataFrame([("d", "other")], "date STRING, label STRING"), "date", "label",
+        ["Yes", "No"],
+    )
+    row = with_precision(table, "Yes", ["Yes", "No"]).first()
+    assert (row["Total"], row["Precision"]) == (0, None)
+    assert table.agg(F.sum("Yes")).first()[0] == 0

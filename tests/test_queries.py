@@ -1,0 +1,53 @@
+"""Every registered query against its SQL, and row checks where there is none."""
+
+import pytest
+
+from compare import connect, duck_rows, spark_rows
+from cropscan.oracle import ORACLE
+from cropscan.queries import QUERIES
+
+
+@pytest.fixture(scope="module")
+def duck(sf_dir):
+    con = connect(sf_dir)
+    yield con
+    con.close()
+
+
+def test_every_check_belongs_to_a_query():
+    assert set(ORACLE) <= set(QUERIES)
+    assert set(QUERIES) - set(ORACLE) == {
+        "kmeans_fit", "kmeans_best_of", "kmeans_standardised", "cluster_centers",
+    }
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, sf_dir, duck, name):
+    columns, rows = spark_rows(QUERIES[name](spark, sf_dir))
+    expected_columns, expected = duck_rows(duck, ORACLE[name])
+    assert columns == expected_columns
+    assert len(rows) == len(expected)
+    assert rows == expected
+
+
+@pytest.mark.parametrize("name", ["kmeans_fit", "kmeans_standardised"])
+def test_fit_labels_every_clear_pixel(spark, sf_dir, name):
+    clear = QUERIES["bright_filter"](spark, sf_dir).count()
+    sizes = {r["prediction"]: r["count"] for r in
+             QUERIES[name](spark, sf_dir).groupBy("prediction").count().collect()}
+    assert set(sizes) == {0, 1, 2, 3}
+    assert sum(sizes.values()) == clear
+
+
+def test_cluster_centres_are_complete(spark, sf_dir):
+    rows = QUERIES["cluster_centers"](spark, sf_dir).collect()
+    assert [r["prediction"] for r in rows] == [0, 1, 2, 3, 4]
+    assert all(v is not None for r in rows for v in r)
+
+
+def test_entry_point_lists_the_same_queries(spark, sf_dir):
+    import __spark_entry__ as entry_module
+
+    assert entry_module.queries().keys() == QUERIES.keys()
+    assert entry_module.oracle_sql() == ORACLE
+    assert entry_module.entry(spark).count() == 12

@@ -188,7 +188,7 @@ SELECT round(avg(CASE WHEN n = 1 OR a = b THEN 0 WHEN a < b THEN 1 - a/b ELSE b/
 
 
 ORACLE: dict[str, str] = {
-    "harvest_scene_report": f"""WITH {SCORED}, stats AS (
+    "harvest_report": f"""WITH {SCORED}, stats AS (
   SELECT tile_x, tile_y, date, count(*) AS clear_pixels,
     count(*) FILTER (WHERE prediction = 0) AS harvested_pixels FROM scored GROUP BY ALL)
 SELECT {SCENE}, clear_pixels, harvested_pixels,
@@ -216,7 +216,7 @@ SELECT '{{"type":"Feature","properties":{{"SEGPAR":' || k || ',"PLAN":"' || plan
   || '[' || w || '.0,' || s || '.0],[' || (w+1) || '.0,' || s || '.0],[' || (w+1) || '.0,' || (s+1)
   || '.0],[' || w || '.0,' || (s+1) || '.0],[' || w || '.0,' || s || '.0]]]}}}}' AS feature
 FROM merged""",
-    "json_metadata_field": """SELECT event_id,
+    "json_field": """SELECT event_id,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS cloud_cover FROM events""",
     "raster_explode": f"WITH {PIXELS} SELECT {KEYS}, mask, red, green, blue FROM pixel_obs",
     "parquet_roundtrip": f"WITH {PIXELS} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM pixel_obs",
@@ -226,7 +226,7 @@ SELECT {SCENE}, count(*) AS pixels, count(*) AS same FROM clear GROUP BY tile_x,
     "project_subset": f"WITH {SCORED} SELECT {KEYS}, prediction FROM scored",
     "rename_cols": """SELECT c_custkey AS SEGPAR, c_name AS neighborhood_name,
   c_nationkey AS subdist_no FROM customer""",
-    "composite_keys": f"""WITH {PIXELS} SELECT tile_x || ' ' || tile_y AS tile, x || ' ' || y AS pixel,
+    "composite_key": f"""WITH {PIXELS} SELECT tile_x || ' ' || tile_y AS tile, x || ' ' || y AS pixel,
   CAST(date AS VARCHAR) AS date FROM pixel_obs""",
     "bright_filter": f"""WITH {PIXELS} SELECT {KEYS}, red, green, blue FROM pixel_obs
 WHERE greatest(red, green, blue) < 225""",
@@ -325,7 +325,7 @@ UNION ALL SELECT tile_x, tile_y, x + 64, y, CAST(date AS VARCHAR), red, green, b
         for n, e in INDEX_SQL.items()
     },
     "scene_parse": f"WITH {CATALOGUE} SELECT key, {SCENE}, band FROM keyed",
-    "last_date_in_key": f"""WITH {HANDLES}, all_keys AS (
+    "last_date": f"""WITH {HANDLES}, all_keys AS (
   SELECT key FROM handles UNION ALL SELECT key FROM keyed)
 SELECT key, regexp_extract_all(key, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')[-1] AS last_date FROM all_keys""",
     "scene_keys_build": f"WITH {CATALOGUE} SELECT key AS image, {TABLE_KEY} AS \"table\" FROM keyed",

@@ -57,6 +57,10 @@ def query(run: Query, name: str | None = None) -> Query:
     return run
 
 
+def named(name: str) -> Callable[[Query], Query]:
+    return lambda run: query(run, name)
+
+
 def _rounded(rows: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return rows.withColumns({c: F.round(c, places) for c in columns})
 
@@ -76,8 +80,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Flagship: scenes to harvest, share and yield per tile and date.
 
 
-@query
-def harvest_scene_report(spark, sf_dir):
+@named("harvest_report")
+def harvest_report_query(spark, sf_dir):
     return harvest_report(fx.pixel_obs(spark, sf_dir), fx.CENTRES)
 
 
@@ -151,8 +155,8 @@ def geojson_export(spark, sf_dir):
     return spark.read.text(path).select(F.col("value").alias("feature"))
 
 
-@query
-def json_metadata_field(spark, sf_dir):
+@named("json_field")
+def json_field_query(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events")
     return events.select("event_id", json_field(F.col("props"), "k", "int").alias("cloud_cover"))
 
@@ -203,8 +207,8 @@ def rename_cols(spark, sf_dir):
     return lt.renamed_lots(fx.lots(spark, sf_dir))
 
 
-@query
-def composite_keys(spark, sf_dir):
+@named("composite_key")
+def composite_key_query(spark, sf_dir):
     return fx.pixel_obs(spark, sf_dir).select(
         composite_key(F.col("tile_x"), F.col("tile_y")).alias("tile"),
         composite_key(F.col("x"), F.col("y")).alias("pixel"),
@@ -442,8 +446,8 @@ def scene_parse(spark, sf_dir):
     return _images(spark, sf_dir)
 
 
-@query
-def last_date_in_key(spark, sf_dir):
+@named("last_date")
+def last_date_query(spark, sf_dir):
     keys = fx.object_handles(spark, sf_dir).unionByName(fx.scene_keys(spark, sf_dir))
     return keys.select("key", last_date(F.col("key")).alias("last_date"))
 

@@ -6,13 +6,15 @@ from collections.abc import Iterable, Iterator, Sequence
 from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cropscan.session import written_table
+
 INDEX_FEATURES = ("NDVI", "GNDVI", "LAI")
 SCALED_FEATURES = ("Scaled_NDVI", "Scaled_LCI", "Scaled_LAI", "Scaled_GNDVI", "Scaled_SCI")
 WIDE_SCALED_FEATURES = (
@@ -22,6 +24,8 @@ WIDE_SCALED_FEATURES = (
 
 Centres = Sequence[Sequence[float]]
 
+SIDE_BY_SIDE_BYTES = 1 << 30
+
 
 def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add the ``features`` vector; pixels with a null feature are left out."""
@@ -32,25 +36,24 @@ def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 @contextmanager
-def _cached_vectors(pixels: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
-    vectors = with_features(pixels, features).select("features")
-    vectors.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield vectors
-    finally:
-        vectors.unpersist()
+def _feature_table(pixels: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
+    """The features alone, computed once: seeding and iterations read them many times over."""
+    narrow = pixels.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
+    with written_table(narrow, "features") as stored:
+        yield stored
 
 
 def _estimator(clusters: int, max_iter: int) -> KMeans:
     # Features are few and dense: the block solver handles a block of rows per call.
+    # It caches its blocks itself, so its input is not cached as well.
     return KMeans(k=clusters, maxIter=max_iter, solver="block")
 
 
 def fit_kmeans(
     pixels: DataFrame, features: Sequence[str], clusters: int, seed: int = 1, max_iter: int = 20
 ) -> KMeansModel:
-    """One fit. Seeding alone reads the vectors several times, so they are cached for it."""
-    with _cached_vectors(pixels, features) as vectors:
+    with _feature_table(pixels, features) as stored:
+        vectors = with_features(stored, features).select("features")
         return _estimator(clusters, max_iter).setSeed(seed).fit(vectors)
 
 
@@ -60,22 +63,22 @@ def fit_restarts(
     clusters: int,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
-    parallelism: int = 4,
 ) -> list[tuple[int, KMeansModel]]:
-    """One fit per seed over the same cached vectors, best (lowest cost) first.
+    """One fit per seed over the same stored features, best (lowest cost) first.
 
-    ``parallelism`` fits submit their jobs side by side, which fills the cluster
-    between the short jobs of an iteration. Equal costs are ordered by seed.
+    Every running fit keeps its own cached blocks. A few fits run side by side only
+    where the features are small, to fill the gaps between short jobs; a large table
+    keeps the cluster busy with one. Equal costs are ordered by seed.
     """
     seeds = list(seeds)
     estimator = _estimator(clusters, max_iter)
-    with (
-        _cached_vectors(pixels, features) as vectors,
-        ThreadPool(min(parallelism, len(seeds))) as pool,
-    ):
+    with _feature_table(pixels, features) as stored:
+        small = stored.count() * 8 * len(features) <= SIDE_BY_SIDE_BYTES
+        vectors = with_features(stored, features).select("features")
         fits = estimator.fitMultiple(vectors, [{estimator.seed: seed} for seed in seeds])
-        next_fit = inheritable_thread_target(vectors.sparkSession)(lambda _: next(fits))
-        models = dict(pool.imap_unordered(next_fit, seeds))
+        next_fit = inheritable_thread_target(stored.sparkSession)(lambda _: next(fits))
+        with ThreadPool(min(4, len(seeds)) if small else 1) as pool:
+            models = dict(pool.imap_unordered(next_fit, seeds))
     ranked = ((seed, models[position]) for position, seed in enumerate(seeds))
     return sorted(ranked, key=lambda fit: (fit[1].summary.trainingCost, fit[0]))
 

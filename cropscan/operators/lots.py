@@ -53,12 +53,13 @@ def with_year_facts(
     return merged.na.fill(known)
 
 
-def with_display(measures: DataFrame, fields: DataFrame) -> DataFrame:
-    """Look up how a (field, value) row is shown; unknown fields give nulls.
+def with_display(measures: DataFrame, fields: DataFrame, on: str = "field") -> DataFrame:
+    """Look up how a value is shown, by ``field`` name or by its label ``verbage``.
 
-    ``fields`` has a handful of rows; the planner measures it before it broadcasts.
+    Unknown names give nulls. ``fields`` has a handful of rows; the planner measures
+    it before it broadcasts.
     """
-    return measures.join(fields, "field", "left").withColumn(
+    return measures.join(fields, on, "left").withColumn(
         "shown", display_number(F.col("value"), F.col("format"))
     )
 

@@ -70,6 +70,32 @@ def align_bands(images: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
     return cells.select(*SCENE, *_cell(F.col("position"), F.col("width")), "value.*")
 
 
+def tuple_bands(images: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Split tuple images into one scalar image per field, named after it."""
+    planes = F.array(*(
+        F.struct(F.lit(f).alias("band"), F.col("pixels")[f].alias("pixels")) for f in fields
+    ))
+    return images.select(*SCENE, "width", "height", F.explode(planes).alias("plane")).select(
+        *SCENE, "width", "height", "plane.*"
+    )
+
+
+def pixel_table(
+    colour_images: DataFrame,
+    band_images: DataFrame,
+    fields: Sequence[str] = ("mask", *RGB),
+    bands: Sequence[str] = BANDS,
+) -> DataFrame:
+    """The wide pixel table of scenes given as tuple images and scalar band images.
+
+    The planes of both kinds are aligned together, so the arrays are shuffled once.
+    """
+    planes = tuple_bands(colour_images, fields).unionByName(
+        band_images.select(*SCENE, "width", "height", "band", "pixels")
+    )
+    return align_bands(planes, [*fields, *bands])
+
+
 def crop(pixels: DataFrame, left: int, top: int, right: int, bottom: int) -> DataFrame:
     """Pixels inside a half-open window, with coordinates counted from its corner."""
     x, y = F.col("x"), F.col("y")

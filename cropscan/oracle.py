@@ -257,6 +257,7 @@ FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
 SELECT {KEYS}, {", ".join(f"CAST({c}-lo_{n} AS DOUBLE)/nullif(hi_{n}-lo_{n}, 0) AS {n}_scaled"
     for n, c in SOURCES.items())} FROM indexed CROSS JOIN m""",
     "band_pivot": f"WITH {PIXELS} SELECT {KEYS}, {', '.join(BANDS)} FROM pixel_obs",
+    "image_ingest": f"WITH {PIXELS} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM pixel_obs",
     "image_sizes": f"""WITH {PIXELS} SELECT {SCENE}, CAST(12 AS BIGINT) AS images, 64 AS width,
   64 AS height, TRUE AS same_size FROM (SELECT DISTINCT tile_x, tile_y, date FROM pixel_obs)""",
     "scene_pairing": f"""WITH {CATALOGUE} SELECT {SCENE},

@@ -284,6 +284,12 @@ def band_pivot(spark, sf_dir):
     return rs.align_bands(fx.band_images(spark, sf_dir)).filter(F.col("B01").isNotNull())
 
 
+@query
+def image_ingest(spark, sf_dir):
+    cells = rs.pixel_table(fx.colour_images(spark, sf_dir), fx.band_images(spark, sf_dir))
+    return cells.filter(F.col("mask").isNotNull())
+
+
 @query
 def image_sizes(spark, sf_dir):
     return rs.image_sizes(fx.band_images(spark, sf_dir))

@@ -51,6 +51,16 @@ def test_unequal_sizes_stop_the_query(spark, odd):
         rs.align_bands(frame, ["B01", "B02"]).collect()
 
 
+def test_pixel_table_joins_both_kinds(spark):
+    colour = images(
+        spark, [("TCI", 2, 1, [(0, 1, 2, 3), (3, 4, 5, 6)])],
+        "STRUCT<mask: INT, red: INT, green: INT, blue: INT>",
+    ).drop("band")
+    frame = rs.pixel_table(colour, images(spark, [("B01", 2, 1, [7, 8])]), bands=["B01"])
+    assert frame.columns[3:] == ["x", "y", "mask", "red", "green", "blue", "B01"]
+    assert {tuple(r)[3:] for r in frame.collect()} == {(0, 0, 0, 1, 2, 3, 7), (1, 0, 3, 4, 5, 6, 8)}
+
+
 def pixel_rows(spark, rows):
     return spark.createDataFrame(
         [(1, 2, x, y, DAY, *rgb) for x, y, rgb in rows],
@@ -140,6 +150,12 @@ def test_display_dimension_and_addresses(spark):
     )
     shown = {r["field"]: r["shown"] for r in with_display(frame, display_fields(spark)).collect()}
     assert shown == {"sf_mean": "1,443", "min_income": "$90,734", "unknown": None}
+    labels = spark.createDataFrame([("Minimum Income Required", 7), ("Number of Sales", 7)],
+                                   "verbage STRING, value INT")
+    by_label = with_display(labels, display_fields(spark), on="verbage").collect()
+    assert {r["verbage"]: (r["field"], r["shown"]) for r in by_label} == {
+        "Minimum Income Required": ("min_income", "$7"), "Number of Sales": (None, None),
+    }
     assert len(DISPLAY_FIELDS) == display_fields(spark).count()
     lots = spark.createDataFrame([(1,), (2,), (None,)], "SEGPAR INT")
     addresses = spark.createDataFrame([(1, "here"), (None, "nowhere")], "SEGPAR INT, ADDRESS STRING")

@@ -8,11 +8,14 @@ its whole tables.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropscan.functions.indices import BANDS
 from cropscan.functions.keys import image_key, pixel_table_key
+from cropscan.operators.raster import tuple_bands
 from cropscan.operators.scaling import SCENE
 from cropscan.operators.scenes import COLOUR_IMAGE
 
@@ -121,21 +124,21 @@ def object_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CELL_FIELDS = ("mask", "red", "green", "blue", *BANDS)
+COLOUR_FIELDS = ("mask", "red", "green", "blue")
 
 
-def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row-major scene images: width, height and an array of SIDE * SIDE cell structs.
+def images(spark: SparkSession, sf_dir: str, fields: Sequence[str]) -> DataFrame:
+    """Row-major scene images: width, height and an array of SIDE * SIDE structs of ``fields``.
 
     Built scan line by scan line; cells without an observation are null. Both
     collected groups are bounded by the image size.
     """
-    absent = F.lit(None).cast("struct<" + ",".join(f"{c}:int" for c in CELL_FIELDS) + ">")
+    absent = F.lit(None).cast("struct<" + ",".join(f"{c}:int" for c in fields) + ">")
     across = F.sequence(F.lit(0), F.lit(SIDE - 1))
     lines = (
         pixel_obs(spark, sf_dir)
         .groupBy(*SCENE, "y")
-        .agg(F.map_from_entries(F.collect_list(F.struct("x", F.struct(*CELL_FIELDS)))).alias("m"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("x", F.struct(*fields)))).alias("m"))
         .select(
             *SCENE, "y",
             F.transform(across, lambda x: F.try_element_at("m", x)).alias("line"),
@@ -149,26 +152,19 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
             *SCENE, F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"),
             F.flatten(
                 F.transform(across, lambda y: F.coalesce(F.try_element_at("m", y), blank))
-            ).alias("cells"),
+            ).alias("pixels"),
         )
     )
 
 
 def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tuple image per scene: pixels of (mask, red, green, blue)."""
-    kept = F.transform("cells", lambda c: F.when(c.isNotNull(), F.struct(
-        *(c[f].alias(f) for f in ("mask", "red", "green", "blue")))))
-    return images(spark, sf_dir).select(*SCENE, "width", "height", kept.alias("pixels"))
+    return images(spark, sf_dir, COLOUR_FIELDS)
 
 
 def band_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scalar image per scene and band."""
-    stacked = F.array(*(
-        F.struct(F.lit(b).alias("band"), F.col("cells")[b].alias("pixels")) for b in BANDS
-    ))
-    return images(spark, sf_dir).select(
-        *SCENE, "width", "height", F.explode(stacked).alias("image")
-    ).select(*SCENE, "width", "height", "image.*")
+    return tuple_bands(images(spark, sf_dir, BANDS), BANDS)
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropscan.session import written_table
+from cropscan.session import stored_for_a_while
 
 INDEX_FEATURES = ("NDVI", "GNDVI", "LAI")
 SCALED_FEATURES = ("Scaled_NDVI", "Scaled_LCI", "Scaled_LAI", "Scaled_GNDVI", "Scaled_SCI")
@@ -39,8 +39,8 @@ def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
 def _feature_table(pixels: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
     """The features alone, computed once: seeding and iterations read them many times over."""
     narrow = pixels.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
-    with written_table(narrow, "features") as stored:
-        yield stored
+    with stored_for_a_while(narrow, "features") as table:
+        yield table
 
 
 def _estimator(clusters: int, max_iter: int) -> KMeans:
@@ -52,8 +52,8 @@ def _estimator(clusters: int, max_iter: int) -> KMeans:
 def fit_kmeans(
     pixels: DataFrame, features: Sequence[str], clusters: int, seed: int = 1, max_iter: int = 20
 ) -> KMeansModel:
-    with _feature_table(pixels, features) as stored:
-        vectors = with_features(stored, features).select("features")
+    with _feature_table(pixels, features) as table:
+        vectors = with_features(table, features).select("features")
         return _estimator(clusters, max_iter).setSeed(seed).fit(vectors)
 
 
@@ -72,11 +72,11 @@ def fit_restarts(
     """
     seeds = list(seeds)
     estimator = _estimator(clusters, max_iter)
-    with _feature_table(pixels, features) as stored:
-        small = stored.count() * 8 * len(features) <= SIDE_BY_SIDE_BYTES
-        vectors = with_features(stored, features).select("features")
+    with _feature_table(pixels, features) as table:
+        small = table.count() * 8 * len(features) <= SIDE_BY_SIDE_BYTES
+        vectors = with_features(table, features).select("features")
         fits = estimator.fitMultiple(vectors, [{estimator.seed: seed} for seed in seeds])
-        next_fit = inheritable_thread_target(stored.sparkSession)(lambda _: next(fits))
+        next_fit = inheritable_thread_target(table.sparkSession)(lambda _: next(fits))
         with ThreadPool(min(4, len(seeds)) if small else 1) as pool:
             models = dict(pool.imap_unordered(next_fit, seeds))
     ranked = ((seed, models[position]) for position, seed in enumerate(seeds))

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cropscan.session import materialise
+from cropscan.session import materialise, stored
 
 from .joins import lookup_join
 
-SLICES = 256
-ACCURACY = 10_000
+SLICES = 1024
+ACCURACY = 8 * SLICES
 
 
 def _slice_of(value: Column, cuts: Column) -> Column:
@@ -35,24 +35,24 @@ def group_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``by``, exact for any group size.
 
-    1. Equal values are counted once, so a value held by many rows becomes one row.
-    2. A mergeable sketch per group cuts its values into SLICES slices of about equal
+    1. A mergeable sketch per group gives the cuts of SLICES slices of about equal
        size. It only balances the work; the result does not depend on its error.
+    2. Equal values are counted once, so a value held by many rows becomes one row,
+       and the counts are stored with their slice.
     3. The slice totals tell which slices hold the wanted ranks, and only those
        slices are put in order.
 
     Returns ``by`` and one column per entry of ``quantiles``.
     """
-    counts = materialise(
-        rows.select(by, F.col(value).cast("double").alias("v"))
-        .filter(F.col("v").isNotNull())
-        .groupBy(by, "v")
-        .agg(F.count(F.lit(1)).alias("size"))
-    )
+    values = rows.select(by, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
     shares = [step / SLICES for step in range(1, SLICES)]
-    cuts = counts.groupBy(by).agg(F.percentile_approx("v", shares, ACCURACY).alias("cuts"))
-    sliced = lookup_join(counts, cuts, [by], spread=("v",)).select(
-        by, "v", "size", _slice_of(F.col("v"), F.col("cuts")).alias("slice")
+    cuts = values.groupBy(by).agg(F.percentile_approx("v", shares, ACCURACY).alias("cuts"))
+    counts = values.groupBy(by, "v").agg(F.count(F.lit(1)).alias("size"))
+    sliced = stored(
+        lookup_join(counts, cuts, [by], spread=("v",)).select(
+            by, "v", "size", _slice_of(F.col("v"), F.col("cuts")).alias("slice")
+        ),
+        "slices",
     )
 
     # At most SLICES rows per group in this table.
@@ -90,7 +90,7 @@ def group_quantiles(
     found = ordered.join(targets, [by, "slice"]).filter(_holds("slice_rank"))
     low, high = F.min("v"), F.max("v")
     fraction = F.max("place") - F.min("group_rank")
-    values = found.groupBy(by, "name").agg((low + (high - low) * fraction).alias("quantile"))
-    return values.groupBy(by).agg(
+    answers = found.groupBy(by, "name").agg((low + (high - low) * fraction).alias("quantile"))
+    return answers.groupBy(by).agg(
         *(F.max(F.when(F.col("name") == name, F.col("quantile"))).alias(name) for name in quantiles)
     )

@@ -66,18 +66,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-@contextmanager
-def written_table(df: DataFrame, name: str) -> Iterator[DataFrame]:
-    """``df`` as a Parquet table in the shared folder, for work that reads it many times.
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what is large or read often.
 
-    Unlike a cache it outlives executors and takes no executor memory. The table is
-    removed at the end of the block, so only eager work belongs inside it.
+    Unlike a cache it outlives executors and takes no executor memory.
     """
+    path = path or fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def stored_for_a_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """The same, removed at the end of the block: only eager work belongs inside it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield stored(df, name, path)
     finally:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +21,31 @@ SLICE_CHARS = 4_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give executors this package where their Python path lacks it, once a session.
+
+    Spark hands the archive out itself; it is what ``--py-files`` does for a submitted job.
+    """
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_cropscan_sent", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "cropscan.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in (root / "cropscan").rglob("*.py"):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(archive)
+    context._cropscan_sent = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null read as empty; all other columns are left out."""
+    ship(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_duplicates
 from .language_id import language_query
+from .ngram_jaccard import jaccard_components
 from .pii import find_personal_data
 from .secrets import find_secrets
 from .token_binary import round_trip
@@ -20,4 +21,5 @@ QUERIES = {
     "op5_exact_dedup": _over_documents(exact_duplicates),
     "op7_language_id": language_query,
     "op8_secrets": _over_documents(find_secrets),
+    "op9_ngram_jaccard": _over_documents(jaccard_components),
 }

@@ -1,6 +1,43 @@
 """DuckDB SQL for the text queries that SQL can express."""
 
+_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
+
 ORACLE = {
+    "op4_decontamination": f"""
+        WITH items AS (
+            SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k
+            FROM (SELECT DISTINCT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+        ish AS (
+            SELECT item_id, n, k, pos, array_to_string(w[pos + 1:pos + k], ' ') AS s
+            FROM (SELECT *, unnest(range(n - k + 1)) AS pos FROM items)),
+        total AS (SELECT count(*)::DOUBLE AS n_items FROM items),
+        weights AS (
+            SELECT k, s, ln(1 + n_items / count(DISTINCT item_id)) AS weight FROM ish, total GROUP BY k, s, n_items),
+        dsh AS (
+            SELECT doc_id, k, doc_pos, array_to_string(w[doc_pos + 1:doc_pos + k], ' ') AS s
+            FROM (SELECT doc_id, w, k, unnest(range(greatest(len(w) - k + 1, 0))) AS doc_pos
+                  FROM (SELECT doc_id, {_WORDS} AS w FROM documents), (SELECT DISTINCT k FROM items))),
+        windows AS (
+            SELECT DISTINCT doc_id, k, n, doc_pos - pos AS start FROM dsh JOIN (SELECT DISTINCT k, s, n, pos FROM ish) USING (k, s)),
+        inside AS (
+            SELECT DISTINCT v.doc_id, v.k, v.n, v.start, d.s
+            FROM windows v JOIN dsh d ON d.doc_id = v.doc_id AND d.k = v.k AND d.doc_pos BETWEEN v.start AND v.start + v.n - v.k),
+        weighed AS (
+            SELECT i.*, coalesce(weight, ln(1 + n_items)) AS weight FROM total, inside i LEFT JOIN weights USING (k, s)),
+        whole AS (SELECT doc_id, k, n, start, sum(weight) AS window_weight FROM weighed GROUP BY ALL),
+        item_sets AS (SELECT DISTINCT item_id, n, k, s FROM ish),
+        item_whole AS (SELECT item_id, sum(weight) AS item_weight FROM item_sets JOIN weights USING (k, s) GROUP BY item_id),
+        shared AS (
+            SELECT doc_id, k, n, start, item_id, sum(weight) AS both_weight
+            FROM weighed JOIN item_sets USING (n, k, s) GROUP BY ALL),
+        scored AS (
+            SELECT doc_id, item_id, n, start,
+                   round(both_weight / (item_weight + window_weight - both_weight), 6) AS similarity
+            FROM shared JOIN whole USING (doc_id, k, n, start) JOIN item_whole USING (item_id)),
+        best AS (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) AS place
+            FROM scored WHERE similarity >= 0.8)
+        SELECT doc_id, item_id, n AS n_words, greatest(start, 0) AS start_word, similarity FROM best WHERE place = 1""",
     "op5_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
         g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .language_id import language_query
 from .ngram_jaccard import jaccard_components
@@ -15,9 +16,17 @@ def _over_documents(operator):
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
 
 
+def benchmark_query(spark, sf_dir):
+    """The fingerprints' distance is left out: SQL has no such hash to compare it with."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.selectExpr(
+        "doc_id", "item_id", "cast(n_words AS long) AS n_words", "cast(start_word AS long) AS start_word", "similarity")
+
+
 QUERIES = {
     "op1_pii": _over_documents(find_personal_data),
     "op3_token_binary": _over_documents(round_trip),
+    "op4_decontamination": benchmark_query,
     "op5_exact_dedup": _over_documents(exact_duplicates),
     "op7_language_id": language_query,
     "op8_secrets": _over_documents(find_secrets),

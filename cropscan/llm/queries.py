@@ -9,6 +9,7 @@ from .language_id import language_query
 from .ngram_jaccard import jaccard_components
 from .pii import find_personal_data
 from .secrets import find_secrets
+from .sentence_pieces import encode_and_decode
 from .token_binary import round_trip
 
 
@@ -25,6 +26,7 @@ def benchmark_query(spark, sf_dir):
 
 QUERIES = {
     "op1_pii": _over_documents(find_personal_data),
+    "op2_sentencepiece": _over_documents(encode_and_decode),
     "op3_token_binary": _over_documents(round_trip),
     "op4_decontamination": benchmark_query,
     "op5_exact_dedup": _over_documents(exact_duplicates),

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import GOLDEN, coded, gathered, mixed, per_slice, texts
 
@@ -342,7 +343,7 @@ def encode(docs: DataFrame, path: str | None = None, sharpness: float = SHARPNES
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """``encoded`` with the ``text`` that its ids spell; ids of no text spell the empty one."""
     path = path or default_model()
-    schema = encoded.schema.add("text", "string")
+    schema = StructType([*encoded.schema.fields, StructField("text", StringType())])
 
     def run(batches):
         held = pieces_of(path, SHARPNESS)

@@ -8,6 +8,7 @@ from .exact_dedup import exact_duplicates
 from .language_id import language_query
 from .ngram_jaccard import jaccard_components
 from .pii import find_personal_data
+from .quality import quality_query
 from .secrets import find_secrets
 from .sentence_pieces import encode_and_decode
 from .token_binary import round_trip
@@ -30,6 +31,7 @@ QUERIES = {
     "op3_token_binary": _over_documents(round_trip),
     "op4_decontamination": benchmark_query,
     "op5_exact_dedup": _over_documents(exact_duplicates),
+    "op6_quality": quality_query,
     "op7_language_id": language_query,
     "op8_secrets": _over_documents(find_secrets),
     "op9_ngram_jaccard": _over_documents(jaccard_components),

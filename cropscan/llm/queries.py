@@ -13,6 +13,8 @@ from .secrets import find_secrets
 from .sentence_pieces import encode_and_decode
 from .token_binary import round_trip
 
+from .toxicity import toxicity_query
+
 
 def _over_documents(operator):
     return lambda spark, sf_dir: operator(table(spark, sf_dir, "documents"))
@@ -27,6 +29,7 @@ def benchmark_query(spark, sf_dir):
 
 QUERIES = {
     "op1_pii": _over_documents(find_personal_data),
+    "op10_toxicity": toxicity_query,
     "op2_sentencepiece": _over_documents(encode_and_decode),
     "op3_token_binary": _over_documents(round_trip),
     "op4_decontamination": benchmark_query,

@@ -52,6 +52,15 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Rows up to which a stored table of narrow rows is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 2_000_000
+
+
+def bounded(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of narrow rows, with a broadcast hint where its counted size allows one."""
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the ``text`` of a piece holds about ``chars`` code points at most."""
     for batch in batches:

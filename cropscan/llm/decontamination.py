@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import texts
+from .common import bounded, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -29,15 +29,6 @@ RADIUS = BLOCKS * (REACH + 1) - 1
 #: All ways to change up to REACH bits of a block.
 CHANGES = [sum(1 << b for b in bits) for n in range(REACH + 1) for bits in combinations(range(WIDTH), n)]
 
-#: Rows up to which a table made from the benchmark is broadcast; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
-
-
-def _bounded(table: DataFrame) -> DataFrame:
-    """A stored table, with a broadcast hint where its counted size allows one."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
-
-
 def word_list(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
@@ -85,7 +76,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     The similarity of window and item is the weight of their common shingles over that of all their
     shingles; a shingle of n of N items weighs ln(1 + N / max(n, 1)). Of several windows the most
     similar is told, the first of equals. Null and empty texts, on either side, and empty tables
-    give no rows. Rows that share a doc_id are told together.
+    give no rows. Rows that share a doc_id are told together; a null doc_id cannot be told.
     """
     items = stored(benchmark_items(benchmark, shingle), "items")
     n_items = items.count()
@@ -94,13 +85,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     item_shingles = stored(
         items.select("item_id", "n_words", "k", F.posexplode("hashes").alias("item_pos", "hash")), "item-shingles")
     known = item_shingles.groupBy("k", "hash").agg(F.countDistinct("item_id").alias("n"))
-    weights = _bounded(stored(known.select("k", "hash", F.log1p(n_items / F.col("n")).alias("weight")), "item-weights"))
+    weights = bounded(stored(known.select("k", "hash", F.log1p(n_items / F.col("n")).alias("weight")), "item-weights"))
     unseen = F.log1p(F.lit(float(n_items)))
 
     # Where documents carry a shingle of an item, and the windows that line up with it.
     source = texts(docs)
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most ``shingle`` numbers
-    anchors = _bounded(stored(
+    anchors = bounded(stored(
         item_shingles.groupBy("k", "hash", "n_words").agg(F.collect_set("item_pos").alias("places")), "anchors"))
     seen = None
     for k in sorted(sizes):
@@ -111,7 +102,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
             "doc_id", "n_words", "k", (F.col("pos") - F.col("place")).alias("start"))
         seen = one if seen is None else seen.union(one)
     windows = stored(seen.distinct(), "windows")
-    holders = _bounded(stored(windows.select("doc_id").distinct(), "holders"))
+    holders = bounded(stored(windows.select("doc_id").distinct(), "holders"))
 
     cut = None
     for k in sorted(sizes):
@@ -129,7 +120,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     item_marks = items.select("item_id", "n_words", simhash(F.col("hashes")).alias("item_mark"))
     item_blocks = item_marks.select("*", F.explode(block_values(F.col("item_mark"))).alias("b")).select(
         "item_id", "n_words", "item_mark", "b.block", F.explode(F.array(*map(F.lit, CHANGES))).alias("change"), "b.value")
-    item_blocks = _bounded(stored(item_blocks.select(
+    item_blocks = bounded(stored(item_blocks.select(
         "item_id", "n_words", "item_mark", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value")), "item-blocks"))
     window_blocks = windows.select("doc_id", "n_words", "start", "mark", F.explode(block_values(F.col("mark"))).alias("b")).select(
         "doc_id", "n_words", "start", "mark", "b.block", "b.value")
@@ -139,8 +130,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
 
     # The exact similarity of what met.
     pairs = near.join(windows.select("doc_id", "n_words", "k", "start", "hashes"), ["doc_id", "n_words", "start"])
-    shared = _bounded(stored(item_shingles.select("item_id", "k", "hash").distinct().withColumn("common", F.lit(True)), "item-sets"))
-    item_weight = _bounded(stored(
+    shared = bounded(stored(item_shingles.select("item_id", "k", "hash").distinct().withColumn("common", F.lit(True)), "item-sets"))
+    item_weight = bounded(stored(
         shared.join(weights, ["k", "hash"]).groupBy("item_id").agg(F.sum("weight").alias("item_weight")), "item-totals"))
     each = pairs.select("doc_id", "n_words", "k", "start", "item_id", "hamming", F.explode(F.array_distinct("hashes")).alias("hash"))
     scored = (
@@ -166,4 +157,4 @@ _RESULT = "doc_id long, item_id long, n_words int, start_word int, hamming int,
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, with all their columns; a null doc_id stays."""
     bad = stored(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(_bounded(bad), docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+    return docs.join(bounded(bad), docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import texts
+from .common import bounded, texts
 from .cuckoo import LiveDigests
 
 #: Live digests that one index bucket is meant to hold.
@@ -136,14 +136,17 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; a row repeated in full stays once."""
     rows, live = _live(docs)
-    live = live.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    is_kept = F.col("doc_id").cast("long").eqNullSafe(F.col("_keep"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    kept = keyed.join(live.hint("merge"), "_digest").where(is_kept)
-    twice = stored(
-        rows.withColumnRenamed("digest", "_digest").join(live.hint("merge"), "_digest").where(is_kept)
-        .groupBy("_digest").count().where("count > 1").select("_digest"), "repeated-rows")
-    if twice.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(twice, "_digest", "left_anti")
-    return once.unionByName(kept.join(twice, "_digest", "left_semi").dropDuplicates(["_digest"])).select(*docs.columns)
+    judged = rows.join(live.hint("merge"), "digest").withColumn("_mark", F.xxhash64("digest"))
+    is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = stored(judged.where(~is_kept).select(F.col("doc_id").alias("_id"), "_mark").distinct(), "copies")
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_own", F.xxhash64(digest))
+    same = keyed["_doc"].eqNullSafe(gone["_id"]) & (keyed["_own"] == gone["_mark"])
+    kept = keyed.join(bounded(gone), same, "left_anti")
+    # Rows that repeat doc_id and text are rare; only where there are any, they are merged.
+    twice = stored(judged.where(is_kept).groupBy("_mark").count().where("count > 1").select("_mark"), "repeated-rows")
+    if not twice.isEmpty():
+        again = keyed["_own"] == twice["_mark"]
+        once = kept.join(bounded(twice), again, "left_anti")
+        kept = once.unionByName(kept.join(bounded(twice), again, "left_semi").dropDuplicates(["_own"]))
+    return kept.select(*docs.columns)

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, per_slice, table, texts
+from .common import held_out, per_slice, ship, slices, table, texts
 
 #: Training passages taken for each language, about; the dictionaries are all that is learned.
 PASSAGES = 200
@@ -86,6 +86,26 @@ class Compressors:
         return [sum(len(f(b)) for b in raw) for f in self.compress]
 
 
+def judged(column: pa.Array, coder: Compressors) -> dict[str, list]:
+    """lang_pred, score, margin and rejected of every text."""
+    out = {k: [] for k in ("lang_pred", "score", "margin", "rejected")}
+    for text in letters_only(column).to_pylist():
+        sizes = coder.sizes(text) if coder.names and _LETTER.search(text) else []
+        if not sizes:
+            name, score, margin = UNKNOWN, 0.0, 0
+        else:
+            best = int(np.argmin(sizes))
+            rest = sorted(sizes[:best] + sizes[best + 1:])
+            margin = rest[0] - sizes[best] if rest else sizes[best]
+            score = 1.0 / (1.0 + sum(2.0 ** max(-60, sizes[best] - r) for r in rest))
+            name = coder.names[best]
+        out["lang_pred"].append(name)
+        out["score"].append(score)
+        out["margin"].append(margin)
+        out["rejected"].append(name == UNKNOWN or margin < MARGIN)
+    return out
+
+
 def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """(doc_id, lang_pred, score, margin, rejected), one row per row.
 
@@ -99,27 +119,25 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     def work(piece):
         if not made:
             made.append(Compressors(shared.value))
-        coder = made[0]
-        out = {k: [] for k in ("lang_pred", "score", "margin", "rejected")}
-        for text in letters_only(piece["text"]).to_pylist():
-            sizes = coder.sizes(text) if text and coder.names and _LETTER.search(text) else []
-            if not sizes:
-                name, score, margin = UNKNOWN, 0.0, 0
-            else:
-                best = int(np.argmin(sizes))
-                rest = sorted(sizes[:best] + sizes[best + 1:])
-                margin = rest[0] - sizes[best] if rest else sizes[best]
-                score = 1.0 / (1.0 + sum(2.0 ** max(-60, sizes[best] - r) for r in rest))
-                name = coder.names[best]
-            out["lang_pred"].append(name)
-            out["score"].append(score)
-            out["margin"].append(margin)
-            out["rejected"].append(name == UNKNOWN or margin < MARGIN)
-        return {"doc_id": piece["doc_id"], **out}
+        return {"doc_id": piece["doc_id"], **judged(piece["text"], made[0])}
 
     return per_slice(texts(docs), work, "doc_id long, lang_pred string, score double, margin long, rejected boolean")
 
 
+def without_rejected(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows whose language is told with a margin, with all their columns as they were."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
+    def keep(batches):
+        coder = Compressors(shared.value)
+        for piece in slices(batches):
+            rejected = judged(pc.fill_null(piece["text"].cast(pa.string()), ""), coder)["rejected"]
+            yield piece.filter(pc.invert(pa.array(rejected, pa.bool_())))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def train_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
                        F.col("lang").cast("string").alias("lang")).where(~held_out(4, 2))

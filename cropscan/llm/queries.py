@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
@@ -12,7 +14,6 @@ from .quality import quality_query
 from .secrets import find_secrets
 from .sentence_pieces import encode_and_decode
 from .token_binary import round_trip
-
 from .toxicity import toxicity_query
 
 
@@ -38,4 +39,5 @@ QUERIES = {
     "op7_language_id": language_query,
     "op8_secrets": _over_documents(find_secrets),
     "op9_ngram_jaccard": _over_documents(jaccard_components),
+    "pipeline": corpus_pipeline.run,
 }

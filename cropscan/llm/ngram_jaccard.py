@@ -2,9 +2,11 @@
 
 A parity sketch sends each member of a set to one bit and keeps the parity of each bit, so the Hamming
 distance of two sketches is at most the size of the symmetric difference of the sets. Two sets
-that are similar enough differ in few members for their size, d say. Sketches of one size band are cut into
-more than d blocks; a pair then agrees in whole blocks (pigeonhole), and is found by an
-equi-join on (band, block, its 64 bits). Shared blocks only propose pairs; the sets decide.
+that are similar enough differ in few members for their size, d say. The sketches of one size band
+are cut into more than d blocks; a pair then agrees in whole blocks (pigeonhole), and is found by an
+equi-join on (band, block, bits). Blocks are wide and nearly empty, so they are kept as the
+XOR of one random word for each of their set bits, which is equal where the bits are. A second,
+short sketch of every set bounds the difference of proposed pairs. What is left, the sets decide.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import coded, mixed, per_slice, texts, word_hashes, words
+from .common import bounded, coded, mixed, per_slice, texts, word_hashes, words
 from .components import components
 
+#: Bits of one block.
+BLOCK_BITS = 1 << 16
 #: Blocks with so few bits set say little and are proposed only where a pair may have no others.
 LIGHT = 2
+#: 64-bit words of the short sketch.
+SHORT = 32
 #: Counters of token frequency used to order tokens; collisions cost time, never results.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -94,10 +100,23 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
     return out
 
 
-def parity_sketch(members: np.ndarray, blocks: int) -> np.ndarray:
-    """``blocks`` words of 64 parity bits."""
-    bit = ((members >> np.uint64(6)) % np.uint64(blocks)).astype(np.int64) * 64 + (members & np.uint64(63)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=blocks * 64) & 1).astype(np.uint8), bitorder="little").view("<u8")
+def short_sketch(members: np.ndarray) -> np.ndarray:
+    """SHORT words of parity bits."""
+    bit = (members % np.uint64(SHORT * 64)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SHORT * 64) & 1).astype(np.uint8), bitorder="little").view("<i8")
+
+
+def block_sketches(members: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block, the XOR of the words of its odd bits, and how many bits are odd. ``members`` ascend."""
+    block = ((members >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+    bits, times = np.unique(block << np.uint64(16) | members & np.uint64(BLOCK_BITS - 1), return_counts=True)
+    bits = bits[times % 2 == 1]
+    block = (bits >> np.uint64(16)).astype(np.int64)
+    value, odd = np.zeros(blocks, np.uint64), np.bincount(block, minlength=blocks)
+    if len(bits):
+        first = np.flatnonzero(np.diff(block, prepend=-1))
+        value[block[first]] = np.bitwise_xor.reduceat(mixed(bits + np.uint64(1)), first)
+    return value, odd
 
 
 def block_keys(members: np.ndarray, rule: Similarity) -> np.ndarray:
@@ -111,9 +130,9 @@ def block_keys(members: np.ndarray, rule: Similarity) -> np.ndarray:
         blocks, spare = rule.blocks(band)
         if not blocks:
             continue
-        sketch = parity_sketch(members, blocks)
+        sketch, odd = block_sketches(members, blocks)
         place = np.arange(blocks, dtype=np.uint64) + np.uint64(band << 40)
-        heavy = np.bitwise_count(sketch) > LIGHT
+        heavy = odd > LIGHT
         if blocks - int(heavy.sum()) <= spare:
             sketch, place = sketch[heavy], place[heavy]
         with np.errstate(over="ignore"):
@@ -135,31 +154,47 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 
 
 def sketched(docs: DataFrame, rule: Similarity) -> DataFrame:
-    """(doc_id, n_shingles, signature, keys) of every row."""
+    """(doc_id, n_shingles, signature, keys, short) of every row."""
 
     def work(piece):
         sets = shingle_sets(piece["text"], rule.words)
+        short = np.concatenate([short_sketch(s) for s in sets])
         return {
             "doc_id": piece["doc_id"], "n_shingles": np.array([len(s) for s in sets], np.int64),
             "signature": [signature(s) for s in sets], "keys": _lists([block_keys(s, rule) for s in sets]),
+            "short": pa.FixedSizeListArray.from_arrays(pa.array(short), SHORT).cast(pa.list_(pa.int64())),
         }
 
-    return per_slice(texts(docs), work, "doc_id long, n_shingles long, signature binary, keys array<long>")
+    return per_slice(
+        texts(docs), work, "doc_id long, n_shingles long, signature binary, keys array<long>, short array<long>")
 
 
 def stored_sets(docs: DataFrame, wanted: DataFrame, rule: Similarity) -> DataFrame:
-    """(node, members) for the documents whose id is in ``wanted``."""
+    """(node, members) for the documents whose id is in the stored ``wanted``."""
 
     def work(piece):
         return {"node": piece["doc_id"],
                 "members": [s.astype("<u8").tobytes() for s in shingle_sets(piece["text"], rule.words)]}
 
-    chosen = texts(docs).join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    ids = wanted.select(F.col("node").alias("doc_id"))
+    chosen = texts(docs).join(bounded(ids), "doc_id", "left_semi")
     return stored(per_slice(chosen, work, "node long, members binary"), "shingle-sets")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
-    """Those (a, b) whose sets meet the rule."""
+def near(pairs: DataFrame, sketches: DataFrame, rule: Similarity) -> DataFrame:
+    """Those (a, b) whose sizes and short sketches let them link."""
+    of = lambda side: sketches.select(
+        F.col("node").alias(side), F.col("size").alias(f"size_{side}"), F.col("short").alias(f"short_{side}"))
+    small, large = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    hamming = F.aggregate(
+        F.zip_with("short_a", "short_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    most = F.floor(small * (rule.of - rule.at_least) / rule.at_least)
+    return pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where(
+        (large * rule.at_least <= small * rule.of) & (hamming <= most)).select("a", "b")
+
+
+def linked(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
+    """Those of the stored (a, b) whose sets meet the rule."""
 
     def verify(batches):
         for batch in batches:
@@ -170,6 +205,8 @@ def linked(pairs: DataFrame, sets: DataFrame, rule: Similarity) -> DataFrame:
                 keep.append(rule.of * common >= rule.at_least * (len(a) + len(b) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = stored_sets(docs, stored(ends, "pair-ends"), rule)
     return (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("of_a")).hint("merge"), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("members").alias("of_b")).hint("merge"), "b")
@@ -197,7 +234,7 @@ def _star(open_buckets: DataFrame) -> DataFrame:
 
 
 def _rare_first(sets: DataFrame, rule: Similarity) -> DataFrame:
-    """(key, node, size) for the rarest members of each set, as many as a linked pair cannot all miss."""
+    """(key, node, size, place) for the rarest members of each set, as many as a linked pair cannot all miss."""
     spark = sets.sparkSession
 
     def count(batches):
@@ -215,7 +252,7 @@ def _rare_first(sets: DataFrame, rule: Similarity) -> DataFrame:
 
     def prefix(batches):
         for batch in batches:
-            keys, nodes, sizes = [], [], []
+            keys, nodes, sizes, places = [], [], [], []
             for node, row in zip(batch["node"].to_pylist(), batch["members"], strict=True):
                 members = np.frombuffer(row.as_buffer(), "<u8")
                 n = len(members)
@@ -225,20 +262,25 @@ def _rare_first(sets: DataFrame, rule: Similarity) -> DataFrame:
                 keys.append(chosen)
                 nodes += [node] * len(chosen)
                 sizes += [n] * len(chosen)
+                places += range(len(chosen))
             flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64())], names=["key", "node", "size"])
+                [pa.array(flat), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(places, pa.int64())],
+                names=["key", "node", "size", "place"])
 
-    return sets.mapInArrow(prefix, "key long, node long, size long")
+    return sets.mapInArrow(prefix, "key long, node long, size long, place long")
 
 
-def _rest(open_buckets: DataFrame, sets: DataFrame, labels: DataFrame, rule: Similarity) -> DataFrame:
+def _rest(open_buckets: DataFrame, docs: DataFrame, labels: DataFrame, rule: Similarity) -> DataFrame:
     """All pairs that may still link: of different components, both in open buckets, sharing a rare member.
 
-    In a bucket, the nodes of its most frequent component are paired with the others only, so
-    that a large group of copies that is one component already makes no pairs of its own.
+    The rarest member that two sets share leaves room for the common ones after it only, on either
+    side; that must reach what a link needs. In a bucket, the nodes of its most frequent
+    component are paired with the others only, so that a large group of copies that is one
+    component already makes no pairs of its own.
     """
-    rare = stored(_rare_first(sets.join(open_buckets.select("node").distinct(), "node", "left_semi"), rule), "rare-members")
+    sets = stored_sets(docs, stored(open_buckets.select("node").distinct(), "open-nodes"), rule)
+    rare = stored(_rare_first(sets, rule), "rare-members")
     known = rare.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     counts = known.groupBy("key", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(
@@ -246,11 +288,12 @@ def _rest(open_buckets: DataFrame, sets: DataFrame, labels: DataFrame, rule: Sim
     ).where("labels > 1").select("key", "main")
     open_rare = stored(known.join(main, "key"), "open-rare-members")
     others = open_rare.where("label <> main").select(
-        "key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("label").alias("other_label"))
-    near = (F.col("size") * rule.of >= F.col("other_size") * rule.at_least) & (
-        F.col("other_size") * rule.of >= F.col("size") * rule.at_least)
+        "key", F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("place").alias("other_place"), F.col("label").alias("other_label"))
+    both = F.col("size") + F.col("other_size")
+    needed = F.ceil(both * rule.at_least / (rule.of + rule.at_least))
+    room = F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place")) >= needed
     once = (F.col("label") == F.col("main")) | (F.col("node") < F.col("other"))
-    return open_rare.join(others, "key").where((F.col("label") != F.col("other_label")) & near & once).select(
+    return open_rare.join(others, "key").where((F.col("label") != F.col("other_label")) & room & once).select(
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -272,15 +315,18 @@ def jaccard_components(docs: DataFrame, rule: Similarity = Similarity(), rounds:
     members = stored(_labelled(members, None).select("key", "node"), "shared-blocks")
     labels, edges = None, None
     if not members.isEmpty():
-        sets = stored_sets(docs, members.select("node").distinct(), rule)
+        inside = members.select("node").distinct()
+        sketches = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "short").join(
+            inside, "node", "left_semi"), "short-sketches")
         for step in range(rounds + 1):
             open_buckets = _labelled(members, labels)
             if labels is not None:
                 open_buckets = stored(open_buckets, "open-blocks")
                 if open_buckets.isEmpty():
                     break
-            pairs = _star(open_buckets) if step < rounds else _rest(open_buckets, sets, labels, rule)
-            found = stored(linked(pairs, sets, rule), "links")
+            pairs = _star(open_buckets) if step < rounds else _rest(open_buckets, docs, labels, rule)
+            pairs = stored(near(pairs, sketches, rule), "near-pairs")
+            found = stored(linked(pairs, docs, rule), "links")
             edges = found if edges is None else edges.union(found)
             labels = components(edges)
     own = rows.select("doc_id", "n_shingles", "signature").join(
@@ -292,7 +338,7 @@ def jaccard_components(docs: DataFrame, rule: Similarity = Similarity(), rounds:
 
 
 def one_of_each(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
-    """The documents whose doc_id names their component; all columns, in no order."""
+    """The documents whose doc_id names their component, with all their columns; a null doc_id stays."""
     found = jaccard_components(docs, rule)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    return docs.join(bounded(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

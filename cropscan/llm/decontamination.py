@@ -114,6 +114,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
             "doc_id", "n_words", "k", "start", F.slice("all", first + 1, F.greatest(last - first + 1, F.lit(0))).alias("hashes")
         ).where(F.size("hashes") > 0)
         cut = one if cut is None else cut.union(one)
+    # Rows that share a doc_id may have different texts; ``own`` keeps their windows apart and equal ones together.
+    cut = cut.withColumn("own", F.xxhash64("hashes")).dropDuplicates(["doc_id", "n_words", "k", "start", "own"])
     windows = stored(cut.withColumn("mark", simhash(F.col("hashes"))), "window-marks")
 
     # Every pair of fingerprints within RADIUS, by blocks.
@@ -122,22 +124,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         "item_id", "n_words", "item_mark", "b.block", F.explode(F.array(*map(F.lit, CHANGES))).alias("change"), "b.value")
     item_blocks = bounded(stored(item_blocks.select(
         "item_id", "n_words", "item_mark", "block", F.col("value").bitwiseXOR(F.col("change")).alias("value")), "item-blocks"))
-    window_blocks = windows.select("doc_id", "n_words", "start", "mark", F.explode(block_values(F.col("mark"))).alias("b")).select(
-        "doc_id", "n_words", "start", "mark", "b.block", "b.value")
+    window_blocks = windows.select("doc_id", "n_words", "start", "own", "mark", F.explode(block_values(F.col("mark"))).alias("b")).select(
+        "doc_id", "n_words", "start", "own", "mark", "b.block", "b.value")
     hamming = F.bit_count(F.col("mark").bitwiseXOR(F.col("item_mark")))
     near = window_blocks.join(item_blocks, ["n_words", "block", "value"]).withColumn("hamming", hamming).where(
-        F.col("hamming") <= RADIUS).select("doc_id", "n_words", "start", "item_id", "hamming").distinct()
+        F.col("hamming") <= RADIUS).select("doc_id", "n_words", "start", "own", "item_id", "hamming").distinct()
 
     # The exact similarity of what met.
-    pairs = near.join(windows.select("doc_id", "n_words", "k", "start", "hashes"), ["doc_id", "n_words", "start"])
+    pairs = near.join(windows.select("doc_id", "n_words", "k", "start", "own", "hashes"), ["doc_id", "n_words", "start", "own"])
     shared = bounded(stored(item_shingles.select("item_id", "k", "hash").distinct().withColumn("common", F.lit(True)), "item-sets"))
     item_weight = bounded(stored(
         shared.join(weights, ["k", "hash"]).groupBy("item_id").agg(F.sum("weight").alias("item_weight")), "item-totals"))
-    each = pairs.select("doc_id", "n_words", "k", "start", "item_id", "hamming", F.explode(F.array_distinct("hashes")).alias("hash"))
+    each = pairs.select("doc_id", "n_words", "k", "start", "own", "item_id", "hamming", F.explode(F.array_distinct("hashes")).alias("hash"))
     scored = (
         each.join(weights, ["k", "hash"], "left").join(shared, ["item_id", "k", "hash"], "left")
         .withColumn("weight", F.coalesce("weight", unseen))
-        .groupBy("doc_id", "item_id", "n_words", "start", "hamming")
+        .groupBy("doc_id", "item_id", "n_words", "start", "own", "hamming")
         .agg(F.sum("weight").alias("window_weight"),
              F.sum(F.when(F.col("common"), F.col("weight")).otherwise(0.0)).alias("both"))
         .join(item_weight, "item_id")

@@ -155,14 +155,16 @@ class LabelModel:
 
 #: Correlation below which two voters pass for independent.
 LOOSE = 0.3
+ENOUGH = 200
 
 
 def fit_label_model(votes: np.ndarray, counts: np.ndarray, truth: np.ndarray | None = None, rounds: int = 40) -> LabelModel:
     """Expectation maximisation over different vote patterns and how often each occurs.
 
     ``truth``: the label of patterns that come from labelled training rows, nan elsewhere; it fixes
-    which class is which. After each round, the correlation of two voters within a class lowers
-    the power of both.
+    which class is which. The correlation of two voters within a class lowers the power of both; it
+    is taken from labelled rows where there are ENOUGH, since voters that agree often pull
+    the posterior to themselves and then seem independent.
     """
     m = votes.shape[1]
     counts = counts.astype(float)
@@ -180,8 +182,9 @@ def fit_label_model(votes: np.ndarray, counts: np.ndarray, truth: np.ndarray | N
             for vote in (-1, 0, 1):
                 given[:, label, vote + 1] = np.log((weight @ (votes == vote) + 0.1) / (weight.sum() + 0.3))
         correlation = np.zeros((m, m))
+        seen = counts * known if (counts * known).sum() >= ENOUGH else counts
         for share in (q, 1 - q):
-            weight = counts * share
+            weight = seen * share
             if weight.sum() > 1:
                 centred = votes - weight @ votes / weight.sum()
                 cover = (centred * weight[:, None]).T @ centred / weight.sum()

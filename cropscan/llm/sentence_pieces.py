@@ -28,7 +28,7 @@ SPACE = "▁"
 SHARPNESS = 1.0
 SEED = 0
 #: Code points whose different words have their lattices in memory at once.
-LATTICE_CHARS = 2_000_000
+LATTICE_CHARS = 1_200_000
 _WORDS = re.compile(r" *[^ ]+| +")
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 

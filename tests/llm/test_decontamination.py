@@ -1,0 +1,68 @@
+import random
+
+from pyspark.sql import functions as F
+
+from cropscan.llm import decontamination as dc
+from helpers import EDGES, by_id, make
+
+
+def bench(spark, rows):
+    return spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "item_id long, text string, hash long, k int, weight int")
+
+
+def item(n, word="item"):
+    return " ".join(f"{word}{i}" for i in range(n))
+
+
+def test_blocks_meet_within_the_radius(spark):
+    random.seed(6)
+    rows = []
+    for n in range(400):
+        a, b = random.getrandbits(64), 0
+        for bit in random.sample(range(64), random.randint(0, dc.RADIUS)):
+            b |= 1 << bit
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        rows.append((n, signed(a), signed(a ^ b)))
+    marks = spark.createDataFrame(rows, "n long, a long, b long")
+    left = marks.select("n", F.explode(dc.block_values(F.col("a"))).alias("x")).select("n", "x.block", "x.value")
+    right = marks.select("n", F.explode(dc.block_values(F.col("b"))).alias("x")).select(
+        "n", "x.block", F.explode(F.transform(F.array(*map(F.lit, dc.CHANGES)), lambda c: F.col("x.value").bitwiseXOR(c))).alias("value"))
+    assert left.join(right, ["n", "block", "value"]).select("n").distinct().count() == 400
+
+
+def test_simhash_takes_the_majority(spark):
+    rows = spark.createDataFrame([([-1, 7, 5],), ([0, 1],), ([],)], "h array<long>")
+    assert [r[0] for r in rows.select(dc.simhash(F.col("h"))).collect()] == [7, 0, 0]
+
+
+def test_passages_are_found_and_others_left(spark):
+    items = bench(spark, [(1, item(30)), (2, item(8, "q").upper() + "!"), (3, "so few"), (4, None), (5, ""), (1, item(30))])
+    filler = " ".join(f"f{i}" for i in range(40))
+    near = item(30).replace("item0 ", "other ")
+    half = " ".join(item(30).split()[:15])
+    rows = [
+        (10, f"{filler} {item(30)} {filler}"), (11, filler), (12, f"{filler} {near}"), (13, f"{half} {filler}"),
+        (14, "We say: Q0, q1; q2 q3 q4 q5 q6 q7."), (15, "they are so FEW now"), (16, item(30)), (17, "so many"), (None, item(30)),
+    ]
+    found = dc.contaminated(make(spark, rows), items)
+    pairs = {(r["doc_id"], r["item_id"]): r for r in found.collect()}
+    assert set(pairs) == {(10, 1), (12, 1), (14, 2), (15, 3), (16, 1)}
+    assert pairs[10, 1]["similarity"] == 1.0 and pairs[10, 1]["start_word"] == 40 and pairs[10, 1]["hamming"] == 0
+    assert 0.8 <= pairs[12, 1]["similarity"] < 1.0
+    left = dc.without_benchmark(make(spark, rows), items)
+    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 11, 13, 17]
+    assert left.columns == make(spark, rows).columns
+
+
+def test_edges(spark):
+    items = bench(spark, [(1, "Same text twice."), (2, "one"), (3, "!!!")])
+    found = by_id(dc.contaminated(make(spark, EDGES), items), "item_id", "similarity")
+    assert found == {7: (1, 1.0), 8: (1, 1.0), 4: (2, 1.0), 5: (2, 1.0)}
+    assert dc.contaminated(make(spark, EDGES), bench(spark, [])).collect() == []
+    assert dc.contaminated(make(spark, []), items).collect() == []
+    assert dc.without_benchmark(make(spark, EDGES), bench(spark, [])).count() == len(EDGES)
+
+
+def test_plan_is_native(spark):
+    plan = dc.contaminated(make(spark, EDGES), bench(spark, [(1, item(9))]))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan

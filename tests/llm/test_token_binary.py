@@ -1,0 +1,62 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+from tokenizers import Tokenizer
+
+from cropscan.llm import token_binary as tb
+from cropscan.llm.common import table
+from helpers import EDGES, make
+
+
+def expected(rows):
+    """(doc_id, start, n_tokens, crc) in doc_id order, by the library on whole texts."""
+    tokenizer = Tokenizer.from_file(tb.default_tokenizer())
+    made = [(d, np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")) for d, t in rows]
+    made.sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1].astype("<u2").tobytes()))
+    out, start = [], 0
+    for doc, ids in made:
+        out.append((doc, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    return out
+
+
+def rows_of(frame):
+    return sorted(map(tuple, frame.collect()), key=lambda r: (r[1], r[2]))
+
+
+def test_codes_come_back():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 5, 1000):
+        ranks = (rng.integers(0, 1 << 32, n, dtype=np.uint64) >> rng.integers(0, 32, n).astype(np.uint64)).astype(np.uint32)
+        control, data = tb.encode(ranks)
+        assert len(control) == -(-n // 4)
+        assert (tb.decode(control, data, n) == ranks).all()
+    assert len(tb.encode(np.array([0, 255, 256, 65535, 65536, 1 << 24]))[1]) == 1 + 1 + 2 + 2 + 3 + 4
+
+
+def test_words_give_the_ids_of_the_text():
+    texts = ["a, b., c.,\nD. ", "x <|ENDOFTEXT|> Y, <|endoftext|>.", "don't. it's, 5.5. 6,\x0b7. É. ß, é. İ, a b.", " ", "", "q",
+             "ǅ ſtop K", "á, é.   z　w\x1cv", "Tabs\tand\rmore .,. ,x", "'s 's 'LL", "foo.bar,baz. 1,2,3."]
+    tokenizer = Tokenizer.from_file(tb.default_tokenizer())
+    ids, bounds = tb.encode_column(pa.array(texts), tb.default_tokenizer())
+    for i, text in enumerate(texts):
+        assert ids[bounds[i]:bounds[i + 1]].tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1], text
+
+
+def test_files_hold_every_document(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    assert rows_of(tb.round_trip(docs)) == expected(rows)
+
+
+def test_edges(spark):
+    assert rows_of(tb.round_trip(make(spark, EDGES))) == expected(EDGES)
+    assert tb.round_trip(make(spark, [])).collect() == []
+
+
+def test_ranks_follow_counts(spark):
+    found = tb.tokens(make(spark, [(1, "b b b a a c"), (2, "b a")]))
+    ranks = tb.ranked(found).orderBy("rank").collect()
+    assert [r["n"] for r in ranks] == sorted((r["n"] for r in ranks), reverse=True)
+    assert sum(r["n"] for r in ranks) == 8 + 2

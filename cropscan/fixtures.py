@@ -60,9 +60,10 @@ def pixel_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, d, q, pk, sk = (F.col(c) for c in ("p", "d", "q", "pk", "sk"))
     cloudy = (p + d) % 11 == 0
     grey = 200 + p % 56
+    overcast = F.expr("p DIV 4096 = 0 AND d = 3")  # one scene without a clear pixel
 
     def colour(a: int, b: int, c: int) -> Column:
-        return F.when(cloudy, grey).otherwise((p * a + d * b + q * c) % 256).cast("int")
+        return F.when(overcast, 240).when(cloudy, grey).otherwise((p * a + d * b + q * c) % 256).cast("int")
 
     def band(k: int) -> Column:
         seed = pk * (7 * k + 3) + sk * (11 * k + 5) + p * (13 * k + 1) + d * (101 * k + 17)
@@ -163,8 +164,24 @@ def colour_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scalar image per scene and band."""
-    return tuple_bands(images(spark, sf_dir, BANDS), BANDS)
+    """One scalar image per scene and band; every third column of tiles lacks B07."""
+    planes = tuple_bands(images(spark, sf_dir, BANDS), BANDS)
+    return planes.filter("NOT (band = 'B07' AND tile_x DIV 512 % 3 = 0)")
+
+
+def thumbnails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colour images of half the size, for every second column of tiles."""
+    half = (F.col("width") / 2).cast("int")
+    return colour_images(spark, sf_dir).filter("tile_x DIV 512 % 2 = 1").select(
+        *SCENE, half.alias("width"), half.alias("height"), F.lit(COLOUR_IMAGE).alias("band")
+    )
+
+
+def cover_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metadata text per scene with its cloud cover; every fifth scene's names none."""
+    scenes = pixel_obs(spark, sf_dir).groupBy(*SCENE).agg(F.sum("red").alias("seed"))
+    cover = F.when(F.col("seed") % 5 != 0, F.col("seed") % 101)
+    return scenes.select(*SCENE, F.to_json(F.struct(cover.alias("cloud-cover"), F.lit("L1C").alias("level"))).alias("text"))
 
 
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:

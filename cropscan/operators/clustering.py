@@ -24,11 +24,9 @@ WIDE_SCALED_FEATURES = (
 
 Centres = Sequence[Sequence[float]]
 
-SIDE_BY_SIDE_BYTES = 1 << 30
-
 
 def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Add the ``features`` vector; pixels with a null feature are left out."""
+    """Add the ``features`` vector; pixels with a null feature are left out, as they get no cluster."""
     assembler = VectorAssembler(
         inputCols=list(features), outputCol="features", handleInvalid="skip"
     )
@@ -63,21 +61,22 @@ def fit_restarts(
     clusters: int,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
+    parallelism: int = 4,
 ) -> list[tuple[int, KMeansModel]]:
     """One fit per seed over the same stored features, best (lowest cost) first.
 
-    Every running fit keeps its own cached blocks. A few fits run side by side only
-    where the features are small, to fill the gaps between short jobs; a large table
-    keeps the cluster busy with one. Equal costs are ordered by seed.
+    ``parallelism`` fits run side by side, to fill the gaps between short jobs. Each keeps its own
+    cached blocks of the features, which spill to disk where memory is short: pass 1
+    for features near the size of the cluster's storage memory. Equal costs are ordered by
+    seed. The features are removed afterwards, so of a model's summary only figures stay.
     """
     seeds = list(seeds)
     estimator = _estimator(clusters, max_iter)
     with _feature_table(pixels, features) as table:
-        small = table.count() * 8 * len(features) <= SIDE_BY_SIDE_BYTES
         vectors = with_features(table, features).select("features")
         fits = estimator.fitMultiple(vectors, [{estimator.seed: seed} for seed in seeds])
         next_fit = inheritable_thread_target(table.sparkSession)(lambda _: next(fits))
-        with ThreadPool(min(4, len(seeds)) if small else 1) as pool:
+        with ThreadPool(min(parallelism, len(seeds))) as pool:
             models = dict(pool.imap_unordered(next_fit, seeds))
     ranked = ((seed, models[position]) for position, seed in enumerate(seeds))
     return sorted(ranked, key=lambda fit: (fit[1].summary.trainingCost, fit[0]))
@@ -144,6 +143,37 @@ def lloyd_step(pixels: DataFrame, centres: Centres, features: Sequence[str]) ->
     )
 
 
+def lloyd_fit(
+    pixels: DataFrame, centres: Centres, features: Sequence[str], steps: int
+) -> list[list[float]]:
+    """Centres after a fixed number of Lloyd steps from given ones; an empty cluster keeps its centre."""
+    found = [list(map(float, c)) for c in centres]
+    for _ in range(steps):
+        for row in lloyd_step(pixels, found, features).filter("prediction IS NOT NULL").collect():
+            found[row["prediction"]] = [row[f] for f in features]
+    return found
+
+
+def fit_audit(assigned: DataFrame, centres: Centres, features: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """Per group: rows, rows without a cluster, and rows that are not with their nearest centre.
+
+    A row with a null feature has no cluster, here as in the fit, and is no misfit.
+    """
+    nearest = nearest_centre(centres, features)
+    return assigned.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("pixels"),
+        F.count_if(F.col("prediction").isNull()).alias("unlabelled"),
+        F.count_if(F.col("prediction") != nearest).alias("misplaced"),
+    )
+
+
+def one_cluster_cost(pixels: DataFrame, features: Sequence[str]) -> float:
+    """Sum of squared distances to the mean of all rows without a null feature."""
+    total = sum((F.var_pop(F.col(f).cast("double")) for f in features), F.lit(0.0))
+    row = pixels.dropna(subset=list(features)).agg(total.alias("spread"), F.count(F.lit(1)).alias("n")).first()
+    return (row["spread"] or 0.0) * row["n"]
+
+
 def cluster_profile(assigned: DataFrame) -> DataFrame:
     """Size and mean NDVI per cluster, and which one counts as harvested.
 
@@ -158,7 +188,12 @@ def cluster_profile(assigned: DataFrame) -> DataFrame:
 
 
 def silhouette(assigned: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Mean squared-Euclidean silhouette of the assignment, as one row."""
-    vectors = with_features(assigned, features).select("features", "prediction")
-    value = ClusteringEvaluator().evaluate(vectors)
+    """Mean squared-Euclidean silhouette of the assignment, as one row.
+
+    The evaluator passes over its rows more than once, so they are stored without anything else.
+    """
+    narrow = assigned.select(*features, "prediction").dropna()
+    with stored_for_a_while(narrow, "assigned") as table:
+        vectors = with_features(table, features).select("features", "prediction")
+        value = ClusteringEvaluator().evaluate(vectors)
     return assigned.sparkSession.createDataFrame([(value,)], "silhouette DOUBLE")

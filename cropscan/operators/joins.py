@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from cropscan.session import materialise
 
-BROADCAST_BYTES = 64 << 20
+#: Measured bytes up to which a table is broadcast: about four million scenes of extremes. The
+#: driver and every executor hold it, so lower it where they are small.
+BROADCAST_BYTES = 512 << 20
 SALTS = 64
 
 

@@ -72,11 +72,20 @@ def with_colour_class(
     )
 
 
+def with_field_class(rows: DataFrame, fields: DataFrame, classes: int = 8) -> DataFrame:
+    """Class of ``value`` on the colour scale of its ``field``; null for a field without a scale."""
+    scales = fields.select("field", "min_range", "max_range")
+    return rows.join(scales, "field", "left").withColumn(
+        "colour_class", colour_class(F.col("value"), F.col("min_range"), F.col("max_range"), classes)
+    ).drop("min_range", "max_range")
+
+
+def feature_struct(properties: Column, geometry: Column) -> Column:
+    return F.struct(
+        F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")
+    )
+
+
 def feature(properties: Column, geometry: Column) -> Column:
     """One GeoJSON feature as text, nulls kept."""
-    parts = F.struct(
-        F.lit("Feature").alias("type"),
-        properties.alias("properties"),
-        geometry.alias("geometry"),
-    )
-    return F.to_json(parts, {"ignoreNullFields": "false"})
+    return F.to_json(feature_struct(properties, geometry), {"ignoreNullFields": "false"})

@@ -47,27 +47,49 @@ def image_sizes(images: DataFrame) -> DataFrame:
     )
 
 
-def align_bands(images: DataFrame, bands: Sequence[str] = BANDS) -> DataFrame:
+#: Cells of one image that travel in one row while bands are brought together.
+BLOCK_CELLS = 4096
+
+
+def _blocks(images: DataFrame, cells: int) -> DataFrame:
+    """The images cut into runs of at most ``cells`` pixels, numbered from 0; an empty image is one empty run."""
+    count = F.size("pixels")
+    starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(cells))
+    parts = F.transform(starts, lambda at: F.slice("pixels", at + 1, cells))
+    return images.select(
+        *SCENE, "band", "width", count.alias("cells"), F.posexplode(parts).alias("block", "part")
+    )
+
+
+def align_bands(
+    images: DataFrame, bands: Sequence[str] = BANDS, block_cells: int = BLOCK_CELLS
+) -> DataFrame:
     """Zip the band images of each scene cell by cell: one row per cell, one column per band.
 
-    The whole arrays are brought together, one row per image, and exploded only
-    afterwards, so no shuffle carries a row per cell and band. Images of unequal
-    size stop the query.
+    Images are cut into blocks before they are brought together, so a shuffled row holds at most
+    one block of each band however large the image, and a scene is spread over many
+    tasks. A band that a scene lacks gives nulls. Images of unequal size stop the query.
     """
-    scenes = images.filter(F.col("band").isin(list(bands))).groupBy(*SCENE).agg(
-        F.map_from_entries(F.collect_list(F.struct("band", "pixels"))).alias("by_band"),
+    kind = images.schema["pixels"].dataType
+    present = images.filter(F.col("band").isin(list(bands)) & F.col("pixels").isNotNull())
+    blocks = _blocks(present, block_cells).groupBy(*SCENE, "block").agg(
+        F.map_from_entries(F.collect_list(F.struct("band", "part"))).alias("by_band"),
         F.max("width").alias("width"),
-        (F.min("width") == F.max("width")).alias("same_width"),
-        (F.min(F.size("pixels")) == F.max(F.size("pixels"))).alias("same_cells"),
+        ((F.min("width") == F.max("width")) & (F.min("cells") == F.max("cells"))).alias("same_size"),
     )
-    aligned = F.arrays_zip(*(F.col("by_band")[band].alias(band) for band in bands))
-    checked = F.when(F.col("same_width") & F.col("same_cells"), aligned).otherwise(
+    none = F.array().cast(kind)
+    aligned = F.arrays_zip(*(
+        F.coalesce(F.try_element_at("by_band", F.lit(band)), none).alias(band) for band in bands
+    ))
+    element = kind.elementType.simpleString()
+    checked = F.when(F.col("same_size"), aligned).otherwise(
         F.raise_error(F.lit("band images of one scene differ in size")).cast(
-            "array<struct<" + ",".join(f"{b}:int" for b in bands) + ">>"
+            f"array<struct<{','.join(f'`{b}`:{element}' for b in bands)}>>"
         )
     )
-    cells = scenes.select(*SCENE, "width", F.posexplode(checked).alias("position", "value"))
-    return cells.select(*SCENE, *_cell(F.col("position"), F.col("width")), "value.*")
+    cells = blocks.select(*SCENE, "width", "block", F.posexplode(checked).alias("at", "value"))
+    position = F.col("block").cast("long") * block_cells + F.col("at")
+    return cells.select(*SCENE, *_cell(position, F.col("width")), "value.*")
 
 
 def tuple_bands(images: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -125,3 +147,14 @@ def overlay(
 def hstack(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
     """Put two images side by side: the second moves right by the width of the first."""
     return left.unionByName(right.withColumn("x", F.col("x") + width))
+
+
+def beside_itself(pixels: DataFrame, colours: Sequence[Column], width: int) -> DataFrame:
+    """The image in ``colours`` with its own colours to the right, both from one scan."""
+    shown = F.struct(F.col("x"), *colours)
+    own = F.struct((F.col("x") + width).alias("x"), *RGB)
+    sides = pixels.select(*PIXEL, F.explode(F.array(shown, own)).alias("side"))
+    return sides.select(
+        *(F.col("side.x") if c == "x" else F.col(c) for c in PIXEL),
+        *(F.col(f"side.{c}") for c in RGB),
+    )

@@ -41,11 +41,13 @@ def minmax_scaled(
     names: Sequence[str] | None = None,
     scope: str = "scene",
     fitted_on: DataFrame | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Add Scaled_<name> columns; ``scope`` is "scene" or "global".
 
     The extremes are those of ``fitted_on``, by default of the pixels themselves.
-    A scene without any row there gets nulls.
+    A scene without any row there gets nulls. ``clustered`` says that both are bucketed by
+    scene: the extremes are then joined bucket by bucket, without an exchange or an eager job.
 
     Both scopes read the pixels twice and never shuffle them in the usual case:
     once for the extremes, which combine before the shuffle, and once for the
@@ -60,7 +62,10 @@ def minmax_scaled(
         extra = ["_extremes"]
     elif scope == "scene":
         bounds = extremes(fitted_on, names, SCENE)
-        joined = lookup_join(pixels, bounds, SCENE, spread=("x", "y"), how="left")
+        if clustered:
+            joined = pixels.join(bounds.hint("merge"), list(SCENE), "left")
+        else:
+            joined = lookup_join(pixels, bounds, SCENE, spread=("x", "y"), how="left")
         bound = lambda kind, n: F.col(f"{kind}_{n}")
         extra = [f"{kind}_{n}" for kind in ("min", "max") for n in names]
     else:
@@ -93,15 +98,33 @@ def minmax_sql(image: DataFrame) -> DataFrame:
     return image.sparkSession.sql(text, image=image)
 
 
-def standard_scaled(pixels: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Add Standard_<column> = (v - mean) / population deviation, over all pixels."""
-    moments = [F.avg(c).alias(f"mean_{c}") for c in columns]
-    moments += [F.stddev_pop(c).alias(f"dev_{c}") for c in columns]
-    row = pixels.agg(F.struct(*moments).alias("moments"))
-    joined = pixels.withColumn("_moments", row.scalar())
+Moments = dict[str, tuple[float, float]]
+
+
+def moments(pixels: DataFrame, columns: Sequence[str]) -> Moments:
+    """Mean and population deviation of every column: what a standard scaler keeps."""
+    row = pixels.agg(*(F.avg(c).alias(f"mean_{c}") for c in columns), *(F.stddev_pop(c).alias(f"dev_{c}") for c in columns)).first()
+    return {c: (row[f"mean_{c}"], row[f"dev_{c}"]) for c in columns}
+
+
+def standard_scaled(
+    pixels: DataFrame, columns: Sequence[str], fitted: Moments | None = None
+) -> DataFrame:
+    """Add Standard_<column> = (v - mean) / population deviation.
+
+    Mean and deviation are those ``fitted`` earlier, by default of the pixels themselves.
+    """
+    if fitted is None:
+        parts = [F.avg(c).alias(f"mean_{c}") for c in columns]
+        parts += [F.stddev_pop(c).alias(f"dev_{c}") for c in columns]
+        row = pixels.agg(F.struct(*parts).alias("moments"))
+        pixels = pixels.withColumn("_moments", row.scalar())
+        bound = lambda kind, c: F.col("_moments")[f"{kind}_{c}"]
+    else:
+        bound = lambda kind, c: F.lit(fitted[c][kind == "dev"]).cast("double")
 
     def standard(c: str) -> Column:
-        mean, dev = F.col("_moments")[f"mean_{c}"], F.col("_moments")[f"dev_{c}"]
-        return (F.col(c) - mean) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)
+        dev = bound("dev", c)
+        return (F.col(c) - bound("mean", c)) / F.when(dev == 0, F.lit(1.0)).otherwise(dev)
 
-    return joined.withColumns({f"Standard_{c}": standard(c) for c in columns}).drop("_moments")
+    return pixels.withColumns({f"Standard_{c}": standard(c) for c in columns}).drop("_moments")

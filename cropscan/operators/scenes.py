@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from cropscan.functions.indices import BANDS
 from cropscan.functions.keys import composite_key, key_part, last_date, strip_ends
 
+from cropscan.sources.files import json_field
+
 from .joins import lookup_join
 from .scaling import SCENE
 
@@ -18,14 +20,17 @@ TILE = ("tile_x", "tile_y")
 
 
 def parse_image_keys(keys: DataFrame, key: str = "key") -> DataFrame:
-    """tile_x, tile_y, band and date of '{x}-{y}-{band}-{date}.png' names."""
+    """tile_x, tile_y, band and date of '{x}-{y}-{band}-{date}.png' names.
+
+    Names of another form stay as rows; what cannot be read from them is null.
+    """
     name = F.col(key)
     return keys.select(
         F.col(key),
-        key_part(name, 0).cast("int").alias("tile_x"),
-        key_part(name, 1).cast("int").alias("tile_y"),
+        key_part(name, 0).try_cast("int").alias("tile_x"),
+        key_part(name, 1).try_cast("int").alias("tile_y"),
         key_part(name, 2).alias("band"),
-        last_date(name).cast("date").alias("date"),
+        last_date(name).try_cast("date").alias("date"),
     )
 
 
@@ -128,6 +133,15 @@ def scene_slice(pixels: DataFrame, start: int, stop: int) -> DataFrame:
     return lookup_join(pixels, chosen, SCENE, spread=("x", "y"))
 
 
+def with_cloud_cover(scenes: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
+    """Scenes with the cloud cover of their metadata document, null where there is none.
+
+    ``documents`` has the scene keys and the JSON text.
+    """
+    cover = documents.select(*SCENE, json_field(F.col(text), "cloud-cover").alias("cloud_cover"))
+    return scenes.join(cover, list(SCENE), "left")
+
+
 def append_scenes(*frames: DataFrame) -> DataFrame:
     result = frames[0]
     for frame in frames[1:]:

@@ -8,7 +8,7 @@ from __future__ import annotations
 BANDS = [f"B{k:02d}" for k in range(1, 13)]
 KEYS = "tile_x, tile_y, x, y, CAST(date AS VARCHAR) AS date"
 SCENE = "tile_x, tile_y, CAST(date AS VARCHAR) AS date"
-LABELS = ("click", "error", "purchase", "signup", "view")
+LABELS = ("click", "purchase", "view")
 
 
 def _band_sql() -> str:
@@ -21,7 +21,7 @@ def _band_sql() -> str:
 
 def _colour_sql(name: str, a: int, b: int, c: int) -> str:
     return (
-        f"CAST(CASE WHEN (p+d) % 11 = 0 THEN 200 + p % 56 ELSE (p*{a} + d*{b} + q*{c}) % 256 END"
+        f"CAST(CASE WHEN p//4096 = 0 AND d = 3 THEN 240 WHEN (p+d) % 11 = 0 THEN 200 + p % 56 ELSE (p*{a} + d*{b} + q*{c}) % 256 END"
         f" AS INTEGER) AS {name}"
     )
 
@@ -122,6 +122,7 @@ FACTS = """facts AS (
     min(CAST(floor(o_totalprice) AS BIGINT)) AS min_income
   FROM orders GROUP BY 1, 2)"""
 
+# The display fields as in operators/lots.py.
 DISPLAY = """fields(field, format, verbage) AS (VALUES
   ('harverst_count', '0,0', 'Number of Harverst'),
   ('sale_price_mean', '$0,0', 'Average Sales Price'),
@@ -130,6 +131,7 @@ DISPLAY = """fields(field, format, verbage) AS (VALUES
   ('price_sf_mean', '$0,0', 'Average Price Per Square Foot'),
   ('min_income', '$0,0', 'Minimum Income Required'))"""
 
+# The cluster colours, and the spread palette for three clusters.
 PALETTE = {
     name: f"CASE prediction WHEN 0 THEN {a} WHEN 1 THEN {b} WHEN 2 THEN {c} ELSE {name} END"
     for name, a, b, c in (("red", 16, 0, 255), ("green", 173, 38, 0), ("blue", 0, 164, 0))
@@ -145,16 +147,29 @@ def _painted_sql(colours: dict[str, str]) -> str:
     return ", ".join(f"CAST({e} AS INTEGER) AS {n}" for n, e in colours.items())
 
 
-PAINTED = f"""{SCORED},
-cells AS (
-  SELECT o.tile_x, o.tile_y, o.x, o.y, o.date, o.red, o.green, o.blue, s.prediction
-  FROM pixel_obs o LEFT JOIN scored s USING (tile_x, tile_y, x, y, date))"""
+# One pass: extremes of the clear pixels of the scene, then the nearest centre of clear field pixels.
+_CLEAR = "red < 225 AND green < 225 AND blue < 225"
+_SCENE_WINDOW = "OVER (PARTITION BY tile_x, tile_y, date)"
 
-SOIL = f"""{CLEAR},
+
+def _in_place_sql(name: str, column: str) -> str:
+    low, high = (f"{f}(CASE WHEN {_CLEAR} THEN {column} END) {_SCENE_WINDOW}" for f in ("min", "max"))
+    return (f"CASE WHEN {high} = {low} THEN 0.0e0 ELSE CAST({column} - {low} AS DOUBLE) / "
+            f"CAST({high} - {low} AS DOUBLE) END AS {name}")
+
+
+PAINTED = f"""{INDEXED},
+placed AS (SELECT *, {", ".join(_in_place_sql(f, SOURCES[f.removeprefix("Scaled_")]) for f in FEATURES)}
+  FROM indexed),
+ranked AS (SELECT *, {", ".join(f"{_distance_sql(c)} AS d{i}" for i, c in enumerate(CENTRES))} FROM placed),
+cells AS (SELECT *, CASE WHEN NOT ({_CLEAR} AND mask = 0) THEN NULL WHEN d0 <= d1 AND d0 <= d2 THEN 0
+  WHEN d1 <= d2 THEN 1 ELSE 2 END AS prediction FROM ranked)"""
+
+SOIL = f"""{INDEXED},
 soil AS (
-  SELECT tile_x, tile_y, date, count(*) AS clear_pixels,
-    count(*) FILTER (WHERE red > green) AS harvested_pixels
-  FROM clear WHERE mask = 0 GROUP BY ALL)"""
+  SELECT tile_x, tile_y, date, count(*) FILTER (WHERE {_CLEAR} AND mask = 0) AS clear_pixels,
+    count(*) FILTER (WHERE {_CLEAR} AND mask = 0 AND red > green) AS harvested_pixels
+  FROM indexed GROUP BY ALL)"""
 
 YIELD = (
     "CAST(harvested_pixels AS DOUBLE)*97.7e0 AS cane, "
@@ -163,8 +178,14 @@ YIELD = (
 )
 
 DAILY = "daily AS (SELECT CAST(ts AS DATE) AS date, * EXCLUDE (ts) FROM events)"
+# Some values are no numbers there.
+MEASURED = """daily AS (SELECT CAST(ts AS DATE) AS date,
+  * EXCLUDE (ts) REPLACE (CASE WHEN event_id % 97 <> 0 THEN value END AS value) FROM events)"""
 LABEL_COUNTS = ", ".join(f"count(*) FILTER (WHERE event_type = '{n}') AS {n}" for n in LABELS)
-LABEL_TABLE = f"{DAILY}, tally AS (SELECT date, {LABEL_COUNTS} FROM daily GROUP BY 1)"
+_LISTED = ", ".join(f"'{n}'" for n in LABELS)
+LABEL_TABLE = f"""{DAILY}, tally AS (SELECT date, {LABEL_COUNTS}, count(*) AS "Total",
+  count(*) FILTER (WHERE event_type IS NULL OR event_type NOT IN ({_LISTED})) AS "Other"
+  FROM daily GROUP BY 1)"""
 
 OVERLAY_SQL = f"WITH {PAINTED} SELECT {KEYS}, {_painted_sql(PALETTE)} FROM cells"
 
@@ -187,12 +208,31 @@ SELECT round(avg(CASE WHEN n = 1 OR a = b THEN 0 WHEN a < b THEN 1 - a/b ELSE b/
   AS silhouette FROM sides"""
 
 
+# Images of B07 are missing in every third column of tiles.
+_NO_B07 = "CASE WHEN tile_x//512 % 3 <> 0 THEN B07 END AS B07"
+
+_MOVED = f"""WITH {SCORED},
+step1 AS (SELECT prediction AS c, {", ".join(f"avg({f}) AS {f}" for f in FEATURES)} FROM scored GROUP BY 1),
+gaps1 AS (SELECT s.*, s1.c, {" + ".join(f"(s.{f}-s1.{f})*(s.{f}-s1.{f})" for f in FEATURES)} AS gap
+  FROM scored s, step1 s1),
+near1 AS (SELECT arg_min(c, (gap, c)) AS c, {", ".join(f"any_value({f}) AS {f}" for f in FEATURES)}
+  FROM gaps1 GROUP BY tile_x, tile_y, x, y, date)"""
+
+
+def _audit_sql() -> str:
+    return f"""WITH {PIXELS} SELECT {SCENE}, count(*) AS pixels, CAST(0 AS BIGINT) AS unlabelled,
+  CAST(0 AS BIGINT) AS misplaced FROM pixel_obs WHERE {_CLEAR} GROUP BY tile_x, tile_y, pixel_obs.date"""
+
+
 ORACLE: dict[str, str] = {
-    "harvest_report": f"""WITH {SCORED}, stats AS (
-  SELECT tile_x, tile_y, date, count(*) AS clear_pixels,
-    count(*) FILTER (WHERE prediction = 0) AS harvested_pixels FROM scored GROUP BY ALL)
+    "harvest_report": f"""WITH {PAINTED}, stats AS (
+  SELECT tile_x, tile_y, date, count(prediction) AS clear_pixels,
+    count(*) FILTER (WHERE prediction = 0) AS harvested_pixels FROM cells GROUP BY ALL)
 SELECT {SCENE}, clear_pixels, harvested_pixels,
-  CAST(harvested_pixels AS DOUBLE)/CAST(clear_pixels AS DOUBLE) AS percentage, {YIELD} FROM stats""",
+  CAST(harvested_pixels AS DOUBLE)/nullif(CAST(clear_pixels AS DOUBLE), 0) AS percentage, {YIELD} FROM stats""",
+    "trained_report": f"""WITH {PIXELS} SELECT {SCENE},
+  count(*) FILTER (WHERE {_CLEAR} AND mask = 0) AS clear_pixels, TRUE AS "within"
+FROM pixel_obs GROUP BY tile_x, tile_y, pixel_obs.date""",
     "scene_list": f"""WITH {CATALOGUE} SELECT key, {SCENE}, band,
   CAST(row_number() OVER (PARTITION BY tile_x, tile_y, band ORDER BY date) - 1 AS INTEGER) AS position
 FROM keyed""",
@@ -201,21 +241,33 @@ FROM keyed""",
     "csv_roundtrip": """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS date,
   o_custkey AS SEGPAR, o_totalprice AS price, nullif(o_orderpriority, '4-NOT SPECIFIED') AS priority
 FROM orders""",
-    "geojson_features": """SELECT c_custkey AS SEGPAR, c_name AS PLAN, 'Polygon' AS shape,
+    "geojson_features": """SELECT c_custkey AS SEGPAR, c_name AS PLAN,
+  CASE WHEN c_custkey % 7 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS shape,
   5 AS corners, CAST(c_custkey % 360 AS DOUBLE) AS west, CAST(c_custkey // 360 AS DOUBLE) AS south,
   CAST(c_custkey % 360 + 1 AS DOUBLE) AS east, CAST(c_custkey // 360 + 1 AS DOUBLE) AS north
 FROM customer""",
     "geojson_export": f"""WITH {FACTS}, merged AS (
-  SELECT c_custkey AS k, c_name AS plan, CASE WHEN s_acctbal >= 0 THEN s_name END AS address,
-    coalesce(f.sale_price_mean, 0) AS price, c_custkey % 360 AS w, c_custkey // 360 AS s
+  SELECT c_custkey AS k, c_name AS plan, c_nationkey AS nid, CASE WHEN s_acctbal >= 0 THEN s_name END AS address,
+    coalesce(f.sale_price_count, 0) AS n, coalesce(f.sale_price_mean, 0) AS price,
+    coalesce(f.min_income, 0) AS income, c_custkey % 360 AS w, c_custkey // 360 AS s
   FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey
   LEFT JOIN (SELECT * FROM facts WHERE year = 1998) f ON f.SEGPAR = c_custkey)
-SELECT '{{"type":"Feature","properties":{{"SEGPAR":' || k || ',"PLAN":"' || plan || '","ADDRESS":'
-  || coalesce('"' || address || '"', 'null') || ',"year":1998,"sale_price_mean":' || price
+SELECT '{{"type":"Feature","properties":{{"SEGPAR":' || k || ',"PLAN":"' || plan || '","nid":' || nid
+  || ',"ADDRESS":' || coalesce('"' || address || '"', 'null') || ',"year":1998,"sale_price_count":' || n
+  || ',"sale_price_mean":' || price || ',"min_income":' || income
   || '}},"geometry":{{"type":"Polygon","coordinates":[['
   || '[' || w || '.0,' || s || '.0],[' || (w+1) || '.0,' || s || '.0],[' || (w+1) || '.0,' || (s+1)
   || '.0],[' || w || '.0,' || (s+1) || '.0],[' || w || '.0,' || s || '.0]]]}}}}' AS feature
 FROM merged""",
+    "choropleth_export": f"""WITH {FACTS} SELECT c_custkey AS SEGPAR, c_name AS PLAN, 1998 AS year,
+  coalesce(min_income, 0) AS min_income, CAST(least(greatest(
+    floor((coalesce(min_income, 0) - 50000)*8/550000.0e0), 0), 7) AS INTEGER) AS colour_class
+FROM customer LEFT JOIN facts ON c_custkey = SEGPAR AND year = 1998""",
+    "scene_cloud_cover": f"""WITH {PIXELS}, scenes AS (
+  SELECT tile_x, tile_y, date, CAST(sum(red) AS BIGINT) AS seed FROM pixel_obs GROUP BY ALL)
+SELECT {SCENE}, CASE WHEN seed % 5 <> 0 THEN CAST(seed % 101 AS DOUBLE) END AS cloud_cover FROM scenes""",
+    "image_folder": f"WITH {CATALOGUE} SELECT key, {SCENE}, band FROM keyed",
+    "predictions_roundtrip": f"WITH {SCORED} SELECT {KEYS}, prediction FROM scored",
     "json_field": """SELECT event_id,
   CAST(json_extract_string(props, '$.k') AS INTEGER) AS cloud_cover FROM events""",
     "raster_explode": f"WITH {PIXELS} SELECT {KEYS}, mask, red, green, blue FROM pixel_obs",
@@ -256,10 +308,14 @@ FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey""",
   SELECT {", ".join(f"min({c}) AS lo_{n}, max({c}) AS hi_{n}" for n, c in SOURCES.items())} FROM indexed)
 SELECT {KEYS}, {", ".join(f"CAST({c}-lo_{n} AS DOUBLE)/nullif(hi_{n}-lo_{n}, 0) AS {n}_scaled"
     for n, c in SOURCES.items())} FROM indexed CROSS JOIN m""",
-    "band_pivot": f"WITH {PIXELS} SELECT {KEYS}, {', '.join(BANDS)} FROM pixel_obs",
-    "image_ingest": f"WITH {PIXELS} SELECT * REPLACE (CAST(date AS VARCHAR) AS date) FROM pixel_obs",
-    "image_sizes": f"""WITH {PIXELS} SELECT {SCENE}, CAST(12 AS BIGINT) AS images, 64 AS width,
-  64 AS height, TRUE AS same_size FROM (SELECT DISTINCT tile_x, tile_y, date FROM pixel_obs)""",
+    "band_pivot": f"""WITH {PIXELS}, seen AS (SELECT * REPLACE ({_NO_B07}) FROM pixel_obs)
+SELECT {KEYS}, {', '.join(BANDS)} FROM seen""",
+    "image_ingest": f"""WITH {PIXELS}
+SELECT * REPLACE (CAST(date AS VARCHAR) AS date, {_NO_B07}) FROM pixel_obs""",
+    "image_sizes": f"""WITH {PIXELS} SELECT {SCENE},
+  CAST(12 - (tile_x//512 % 3 = 0)::INTEGER + (tile_x//512 % 2 = 1)::INTEGER AS BIGINT) AS images,
+  64 AS width, 64 AS height, tile_x//512 % 2 = 0 AS same_size
+FROM (SELECT DISTINCT tile_x, tile_y, date FROM pixel_obs)""",
     "scene_pairing": f"""WITH {CATALOGUE} SELECT {SCENE},
   {", ".join(f"max(CASE WHEN band = '{b}' THEN key END) AS {b}" for b in ["TCI", *BANDS])}
 FROM keyed GROUP BY tile_x, tile_y, keyed.date""",
@@ -269,6 +325,10 @@ SELECT SEGPAR, year, long.field AS field, value,
   CASE format WHEN '0,0' THEN format('{{:,}}', value) WHEN '$0,0' THEN '$' || format('{{:,}}', value)
   END AS shown, verbage
 FROM long LEFT JOIN fields ON fields.field = long.field""",
+    "display_by_label": f"""WITH {FACTS}, {DISPLAY}, long AS (
+  UNPIVOT facts ON sale_price_mean, min_income INTO NAME field VALUE value)
+SELECT SEGPAR, year, verbage, long.field AS field, value, '$' || format('{{:,}}', value) AS shown
+FROM long JOIN fields ON fields.field = long.field""",
     "overlay": OVERLAY_SQL,
     "overlay_join": OVERLAY_SQL,
     "cluster_counts": f"""WITH {SCORED} SELECT {SCENE}, prediction, count(*) AS pixels
@@ -278,7 +338,7 @@ FROM scored GROUP BY tile_x, tile_y, scored.date, prediction""",
 SELECT prediction, pixels, round(mean, 6) AS mean_ndvi,
   row_number() OVER (ORDER BY mean, prediction) = 1 AS harvested FROM profile""",
     "harvest_pct": f"""WITH {SOIL} SELECT {SCENE}, clear_pixels, harvested_pixels,
-  CAST(harvested_pixels AS DOUBLE)/CAST(clear_pixels AS DOUBLE) AS percentage FROM soil""",
+  CAST(harvested_pixels AS DOUBLE)/nullif(CAST(clear_pixels AS DOUBLE), 0) AS percentage FROM soil""",
     "yield_estimate": f"WITH {SOIL} SELECT {SCENE}, {YIELD} FROM soil",
     "distinct_dates": f"WITH {PIXELS} SELECT DISTINCT CAST(date AS VARCHAR) AS date FROM pixel_obs",
     "tile_count": f"""WITH {PIXELS} SELECT count(*) AS tiles FROM (
@@ -291,19 +351,19 @@ SELECT {SCENE}, count(*) AS all_pixels, count(*) FILTER (WHERE ok) AS clear_pixe
   count(*) FILTER (WHERE mask = 0) AS mask_pixels,
   count(*) FILTER (WHERE ok AND mask = 0) AS clear_mask_pixels
 FROM flags GROUP BY tile_x, tile_y, flags.date""",
-    "ts_describe": f"""WITH {DAILY} SELECT CAST(date AS VARCHAR) AS date, count(value) AS count,
+    "ts_describe": f"""WITH {MEASURED} SELECT CAST(date AS VARCHAR) AS date, count(value) AS count,
   round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min,
   round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
   round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max
 FROM daily GROUP BY daily.date""",
-    "ts_group_sum": f"""WITH {DAILY} SELECT CAST(date AS VARCHAR) AS date,
+    "ts_group_sum": f"""WITH {MEASURED} SELECT CAST(date AS VARCHAR) AS date,
   round(avg(value)*count(value), 4) AS total FROM daily GROUP BY daily.date""",
     "label_precision": f"""WITH {LABEL_TABLE} SELECT CAST(date AS VARCHAR) AS date,
-  {", ".join(LABELS)}, {"+".join(LABELS)} AS "Total",
-  round_even(CAST(view AS DOUBLE)/CAST(({"+".join(LABELS)}) AS DOUBLE)*100.0e0, 0)/100.0e0 AS "Precision"
+  {", ".join(LABELS)}, "Other", "Total",
+  round_even(CAST(view AS DOUBLE)/CAST("Total" AS DOUBLE)*100.0e0, 0)/100.0e0 AS "Precision"
 FROM tally""",
     "label_pivot": f"""WITH {LABEL_TABLE} SELECT CAST(date AS VARCHAR) AS date,
-  {", ".join(LABELS)} FROM tally""",
+  {", ".join(LABELS)}, "Other" FROM tally""",
     "scene_completeness": f"""WITH {CATALOGUE}, bands AS (SELECT unnest({BANDS}) AS band),
 tiles AS (SELECT tile_x, tile_y, count(DISTINCT date) AS colour_dates FROM catalogue
   WHERE band = 'TCI' GROUP BY 1, 2),
@@ -317,7 +377,8 @@ SELECT * FROM counted WHERE colour_dates <> band_dates""",
 ORDER BY 1, 2""",
     "ts_head": f"""WITH {DAILY} SELECT CAST(date AS VARCHAR) AS date, event_id, value FROM daily
 ORDER BY 1, 2 LIMIT 5""",
-    "scene_union": f"WITH {PIXELS} SELECT {KEYS}, red, green, blue FROM pixel_obs",
+    "scene_union": f"""WITH {PIXELS} SELECT tile_x, tile_y, x, y,
+  CASE WHEN tile_y % 1024 = 0 OR x <> 0 THEN CAST(date AS VARCHAR) END AS date, red, green, blue FROM pixel_obs""",
     "hstack": f"""WITH {PAINTED} SELECT {KEYS}, {_painted_sql(SPREAD)} FROM cells
 UNION ALL SELECT tile_x, tile_y, x + 64, y, CAST(date AS VARCHAR), red, green, blue FROM pixel_obs""",
     "veg_indices": f"WITH {INDEXED} SELECT {KEYS}, {', '.join(INDEX_SQL)} FROM indexed",
@@ -325,7 +386,8 @@ UNION ALL SELECT tile_x, tile_y, x + 64, y, CAST(date AS VARCHAR), red, green, b
         f"index_{n.lower()}": f"WITH {PIXELS} SELECT {KEYS}, CAST(trunc({e}) AS INTEGER) AS {n} FROM pixel_obs"
         for n, e in INDEX_SQL.items()
     },
-    "scene_parse": f"WITH {CATALOGUE} SELECT key, {SCENE}, band FROM keyed",
+    "scene_parse": f"""WITH {CATALOGUE} SELECT key, {SCENE}, band FROM keyed
+UNION ALL SELECT 'old-copy-B01.png', NULL, NULL, NULL, 'B01.png'""",
     "last_date": f"""WITH {HANDLES}, all_keys AS (
   SELECT key FROM handles UNION ALL SELECT key FROM keyed)
 SELECT key, regexp_extract_all(key, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')[-1] AS last_date FROM all_keys""",
@@ -335,11 +397,23 @@ SELECT key, regexp_extract_all(key, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')[-1] AS l
     "standard_scale": f"""WITH {CLEAR} SELECT {KEYS}, {", ".join(
         f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS Standard_{c}"
         for c in ("B08", "B04", "B03"))} FROM clear""",
+    "kmeans_fit": _audit_sql(),
+    "kmeans_standardised": _audit_sql(),
+    "kmeans_best_of": """SELECT CAST(seed AS INTEGER) AS seed, TRUE AS below_one_cluster, TRUE AS chosen_by_cost
+FROM range(10) t(seed) WHERE EXISTS (SELECT 1 FROM lineitem)""",
+    "kmeans_given_start": f"""{_MOVED} SELECT c AS prediction,
+  {", ".join(f"round(avg({f}), 6) AS {f}" for f in FEATURES)} FROM near1 GROUP BY 1""",
+    "cluster_centers": """SELECT CAST(c AS INTEGER) AS prediction, TRUE AS has_members, TRUE AS is_mean
+FROM range(5) t(c) WHERE EXISTS (SELECT 1 FROM lineitem)""",
     "kmeans_assign": f"WITH {SCORED} SELECT {KEYS}, NDVI, prediction FROM scored",
     "kmeans_lloyd_step": f"""WITH {SCORED} SELECT prediction, count(*) AS pixels,
   {", ".join(f"round(avg({f}), 6) AS {f}" for f in FEATURES)} FROM scored GROUP BY 1""",
     "silhouette": _silhouette_sql(),
-    "choropleth_bins": f"""WITH {FACTS} SELECT SEGPAR, year, sale_price_mean,
-  CAST(least(greatest(floor((sale_price_mean - 100000)*8/300000.0e0), 0), 7) AS INTEGER) AS colour_class
-FROM facts""",
+    "choropleth_bins": f"""WITH {FACTS}, long AS (
+  UNPIVOT facts ON sale_price_mean, min_income INTO NAME field VALUE value)
+SELECT SEGPAR, year, field, value, CAST(least(greatest(floor(CASE field
+  WHEN 'sale_price_mean' THEN (value - 500000)*8/3500000.0e0 ELSE (value - 50000)*8/550000.0e0 END), 0), 7)
+  AS INTEGER) AS colour_class
+FROM (SELECT SEGPAR, year, field, value FROM long)""",
 }
+ORACLE["harvest_report_clustered"] = ORACLE["harvest_report"]

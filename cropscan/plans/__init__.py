@@ -1,3 +1,9 @@
-from .scoring import harvest_report, prepared, scored, scored_in_place, train_scaled, train_standardised
+from .scoring import (
+    StandardModel, harvest_report, prepared, scored, scored_in_place, train_scaled,
+    train_standardised, trained_report,
+)
 
-__all__ = ["harvest_report", "prepared", "scored", "scored_in_place", "train_scaled", "train_standardised"]
+__all__ = [
+    "StandardModel", "harvest_report", "prepared", "scored", "scored_in_place", "train_scaled",
+    "train_standardised", "trained_report",
+]

@@ -3,27 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeansModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropscan.functions.indices import with_indices
 from cropscan.functions.quality import clear_pixels, is_clear, is_inside
 from cropscan.operators.clustering import (
-    SCALED_FEATURES, Centres, assign_clusters, fit_best_of, fit_kmeans, nearest_centre,
+    SCALED_FEATURES, Centres, assign_clusters, centres_table, cluster_profile, fit_best_of,
+    fit_kmeans, model_centres, nearest_centre,
 )
 from cropscan.operators.harvest import harvest_stats, with_yield
 from cropscan.operators.masks import inside_mask
-from cropscan.operators.scaling import minmax_scaled, standard_scaled
+from cropscan.operators.scaling import SCENE, Moments, minmax_scaled, moments, standard_scaled
+from cropscan.sources.pixels import rows_to_table
 
 
 def prepared(
-    pixels: DataFrame, features: Sequence[str] = SCALED_FEATURES, scope: str = "scene"
+    pixels: DataFrame, features: Sequence[str] = SCALED_FEATURES, scope: str = "scene",
+    clustered: bool = False,
 ) -> DataFrame:
     """Clear pixels with the indices and scaled columns that ``features`` need."""
     names = [feature.removeprefix("Scaled_") for feature in features]
-    return minmax_scaled(with_indices(clear_pixels(pixels)), names, scope)
+    return minmax_scaled(with_indices(clear_pixels(pixels)), names, scope, clustered=clustered)
 
 
 def scored(
@@ -48,6 +52,7 @@ def scored_in_place(
     centres: Centres,
     features: Sequence[str] = SCALED_FEATURES,
     scope: str = "scene",
+    clustered: bool = False,
 ) -> DataFrame:
     """Every pixel, with the cluster that ``scored`` gives it or null where it gives none.
 
@@ -55,17 +60,32 @@ def scored_in_place(
     """
     names = [feature.removeprefix("Scaled_") for feature in features]
     indexed = with_indices(pixels)
-    ready = minmax_scaled(indexed, names, scope, fitted_on=clear_pixels(indexed))
+    ready = minmax_scaled(indexed, names, scope, fitted_on=clear_pixels(indexed), clustered=clustered)
     counted = is_clear() & is_inside()
     return ready.withColumn(
         "prediction", F.when(counted, nearest_centre(centres, features))
     )
 
 
-def harvest_report(pixels: DataFrame, centres: Centres, harvested: int = 0, **options) -> DataFrame:
-    """Clear and harvested field pixels, share, cane, sugar and value per scene."""
-    assigned = scored(pixels, centres, **options)
-    return with_yield(harvest_stats(assigned, F.col("prediction") == harvested))
+def harvest_report(
+    pixels: DataFrame,
+    centres: Centres,
+    harvested: int = 0,
+    mask: DataFrame | None = None,
+    **options,
+) -> DataFrame:
+    """Clear and harvested field pixels, share, cane, sugar and value per scene.
+
+    Every scene is reported; one without a clear field pixel has 0 pixels and a null share. For pixels
+    bucketed by scene pass ``clustered=True``: nothing is exchanged then.
+    """
+    taken = F.col("prediction") == harvested
+    if mask is None:
+        cells = scored_in_place(pixels, centres, **options)
+        return with_yield(harvest_stats(cells, taken, is_clear() & is_inside()))
+    stats = harvest_stats(scored(pixels, centres, mask=mask, **options), taken)
+    every = pixels.select(*SCENE).distinct().join(stats, list(SCENE), "left")
+    return with_yield(every.na.fill(0, ["clear_pixels", "harvested_pixels"]))
 
 
 def train_scaled(
@@ -75,9 +95,56 @@ def train_scaled(
     return fit_best_of(prepared(pixels, features, "global"), features, clusters, **options)
 
 
+def trained_report(pixels: DataFrame, clusters: int = 3, **options) -> DataFrame:
+    """Train, take the cluster of lowest mean NDVI as harvested, and report.
+
+    Training and scoring use the extremes of the whole table, so that clusters mean the same in
+    every scene.
+    """
+    centres = model_centres(train_scaled(pixels, clusters, **options))
+    profile = cluster_profile(scored(pixels, centres, scope="global"))
+    row = profile.filter("harvested").first()
+    return harvest_report(pixels, centres, row["prediction"] if row else 0, scope="global")
+
+
+@dataclass(frozen=True)
+class StandardModel:
+    """Cluster centres with the scaler that they were fitted behind."""
+
+    columns: tuple[str, ...]
+    moments: Moments
+    centres: list[list[float]]
+
+    @property
+    def features(self) -> list[str]:
+        return [f"Standard_{c}" for c in self.columns]
+
+    def predict(self, pixels: DataFrame) -> DataFrame:
+        """Clusters by the stored scaler, whatever else is in ``pixels``."""
+        ready = standard_scaled(pixels, self.columns, self.moments)
+        return assign_clusters(ready, self.centres, self.features)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        scaler = [(c, *self.moments[c]) for c in self.columns]
+        rows_to_table(spark, scaler, "name STRING, mean DOUBLE, deviation DOUBLE").coalesce(1).write.mode(
+            "overwrite").parquet(f"{path}/scaler")
+        centres_table(spark, self.centres, self.features).coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> StandardModel:
+        scaler = spark.read.parquet(f"{path}/scaler").collect()
+        columns = tuple(r["name"] for r in scaler)
+        rows = spark.read.parquet(f"{path}/centres").orderBy("prediction").collect()
+        centres = [[r[f"Standard_{c}"] for c in columns] for r in rows]
+        return StandardModel(columns, {r["name"]: (r["mean"], r["deviation"]) for r in scaler}, centres)
+
+
 def train_standardised(
     pixels: DataFrame, columns: Sequence[str], clusters: int = 4, seed: int = 0
-) -> KMeansModel:
-    """Standard scaling followed by k-means."""
-    ready = standard_scaled(clear_pixels(pixels), columns)
-    return fit_kmeans(ready, [f"Standard_{c}" for c in columns], clusters, seed)
+) -> StandardModel:
+    """Standard scaling followed by k-means, kept together."""
+    clear = clear_pixels(pixels)
+    fitted = moments(clear, columns)
+    features = [f"Standard_{c}" for c in columns]
+    model = fit_kmeans(standard_scaled(clear, columns, fitted), features, clusters, seed)
+    return StandardModel(tuple(columns), fitted, model_centres(model))

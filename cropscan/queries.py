@@ -5,6 +5,7 @@ Dates leave a query as 'YYYY-MM-DD' text, the form the stored pixel tables use.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,7 @@ from cropscan import fixtures as fx
 from cropscan.functions.colours import spread_palette
 from cropscan.functions.indices import INDICES, index, with_indices
 from cropscan.functions.keys import composite_key, image_key, last_date, pixel_table_key
-from cropscan.functions.quality import clear_pixels, with_quality_flags
+from cropscan.functions.quality import clear_pixels, is_clear, is_inside, with_quality_flags
 from cropscan.operators import clustering as cl
 from cropscan.operators import harvest as hv
 from cropscan.operators import lots as lt
@@ -24,12 +25,13 @@ from cropscan.operators import scenes as sn
 from cropscan.operators import timeseries as ts
 from cropscan.operators.masks import inside_mask, pixels_in_mask
 from cropscan.plans import (
-    harvest_report, prepared, scored, scored_in_place, train_standardised,
+    StandardModel, harvest_report, prepared, scored, scored_in_place, train_standardised,
 )
+from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path
 from cropscan.sources import (
-    json_field, read_csv, read_geojson, read_pixels, scan_table, write_csv, write_features,
-    write_pixels,
+    json_field, read_csv, read_geojson, read_pixels, read_predictions, save_clustered, scan_table,
+    write_collections, write_csv, write_pixels, write_predictions,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,7 +39,8 @@ QUERIES: dict[str, Query] = {}
 
 PIXEL = rs.PIXEL
 REPORT_YEAR = 1998
-LABELS = ("click", "error", "purchase", "signup", "view")
+# The other labels of the events table come under "Other".
+LABELS = ("click", "purchase", "view")
 YEAR_FILL = {
     "sale_price_count": 0, "sale_price_mean": 0, "sale_price_median": 0, "sf_mean": 0,
     "price_sf_mean": 0, "min_income": 0, "harverst_count": 0,
@@ -77,6 +80,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ts.with_date(fx.table(spark, sf_dir, "events"), "ts")
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with some values that are no numbers."""
+    value = F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return _events(spark, sf_dir).withColumn("value", value)
+
+
 # Flagship: scenes to harvest, share and yield per tile and date.
 
 
@@ -85,6 +94,22 @@ def harvest_report_query(spark, sf_dir):
     return harvest_report(fx.pixel_obs(spark, sf_dir), fx.CENTRES)
 
 
+@query
+def harvest_report_clustered(spark, sf_dir):
+    """The same over a table bucketed by scene."""
+    name = f"pixels_{uuid.uuid4().hex}"
+    table = save_clustered(fx.pixel_obs(spark, sf_dir), name, fresh_path(spark, name), buckets=8)
+    return harvest_report(table, fx.CENTRES, clustered=True)
+
+
+@query
+def trained_report(spark, sf_dir):
+    """Per scene the clear field pixels, and whether the harvested ones are a part of them."""
+    report = plan_trained_report(fx.pixel_obs(spark, sf_dir), clusters=3, seeds=(0, 1), max_iter=20)
+    share = F.col("harvested_pixels").between(0, F.col("clear_pixels"))
+    return report.select(*sc.SCENE, "clear_pixels", share.alias("within"))
+
+
 # Sources and sinks.
 
 
@@ -107,7 +132,7 @@ def pixel_scan(spark, sf_dir):
 def csv_roundtrip(spark, sf_dir):
     priority = F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority"))
     rows = fx.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("_c0"),
+        F.col("o_orderkey").alias("row"),
         F.to_date("o_orderdate").alias("date"),
         F.col("o_custkey").alias("SEGPAR"),
         F.col("o_totalprice").alias("price"),
@@ -116,23 +141,28 @@ def csv_roundtrip(spark, sf_dir):
     path = fresh_path(spark, "csv")
     write_csv(rows, path)
     return read_csv(
-        spark, path, "_c0 BIGINT, date DATE, SEGPAR BIGINT, price DOUBLE, priority STRING"
-    )
+        spark, path, "row BIGINT, date DATE, SEGPAR BIGINT, price DOUBLE, priority STRING"
+    ).drop("row")
+
+
+def _written_features(spark: SparkSession, lots: DataFrame, geometry: Column, path: str) -> None:
+    properties = F.struct("SEGPAR", "PLAN")
+    write_collections(lots.select(lt.feature_struct(properties, geometry).alias("feature")), path, size=7)
 
 
 @query
 def geojson_features(spark, sf_dir):
+    """Collections of several features, some of them of many polygons."""
     lots = fx.lots(spark, sf_dir)
-    one = F.struct(
-        F.lit("Feature").alias("type"),
-        F.struct("SEGPAR", "PLAN").alias("properties"),
-        fx.lot_geometry().alias("geometry"),
-    )
-    collection = F.struct(F.lit("FeatureCollection").alias("type"), F.array(one).alias("features"))
+    square = fx.lot_geometry()
+    many = F.struct(F.lit("MultiPolygon").alias("type"), F.array(square["coordinates"]).alias("coordinates"))
     path = fresh_path(spark, "geojson")
-    write_features(lots.select(F.to_json(collection)), path)
-    features = read_geojson(spark, path, "SEGPAR: BIGINT, PLAN: STRING", one_per_line=True)
-    ring = F.col("geometry.coordinates")[0]
+    _written_features(spark, lots.filter("SEGPAR % 7 <> 0"), square, f"{path}/single")
+    _written_features(spark, lots.filter("SEGPAR % 7 = 0"), many, f"{path}/many")
+    features = read_geojson(spark, f"{path}/*", "SEGPAR: BIGINT, PLAN: STRING", one_per_line=True)
+    ring = F.coalesce(
+        F.col("geometry.coordinates"), F.from_json("geometry.text", "ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")[0]
+    )[0]
 
     def edge(pick: Callable[[Column], Column], axis: int) -> Column:
         return pick(F.transform(ring, lambda corner: corner[axis]))
@@ -145,14 +175,34 @@ def geojson_features(spark, sf_dir):
     )
 
 
+def _year_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lots = lt.with_addresses(fx.lots(spark, sf_dir), fx.lot_addresses(spark, sf_dir))
+    return lt.with_year_facts(lots, fx.lot_facts(spark, sf_dir), REPORT_YEAR, YEAR_FILL)
+
+
 @query
 def geojson_export(spark, sf_dir):
-    lots = lt.with_addresses(fx.lots(spark, sf_dir), fx.lot_addresses(spark, sf_dir))
-    merged = lt.with_year_facts(lots, fx.lot_facts(spark, sf_dir), REPORT_YEAR, YEAR_FILL)
-    properties = F.struct("SEGPAR", "PLAN", "ADDRESS", "year", "sale_price_mean")
+    """Feature collections with every merged column, read back feature by feature."""
+    merged = _year_lots(spark, sf_dir)
     path = fresh_path(spark, "features")
-    write_features(merged.select(lt.feature(properties, fx.lot_geometry())), path)
-    return spark.read.text(path).select(F.col("value").alias("feature"))
+    exported = lt.feature_struct(F.struct(*merged.columns), fx.lot_geometry())
+    write_collections(merged.select(exported.alias("feature")), path)
+    fields = ", ".join(f"{name}: {kind}" for name, kind in merged.dtypes)
+    back = read_geojson(spark, path, fields, one_per_line=True)
+    shape = F.struct("geometry.type", "geometry.coordinates")
+    return back.select(lt.feature(F.col("properties"), shape).alias("feature"))
+
+
+@query
+def choropleth_export(spark, sf_dir):
+    """Year facts, class on the field's own scale, map features, and those read back."""
+    merged = _year_lots(spark, sf_dir).withColumns({"field": F.lit("min_income"), "value": F.col("min_income")})
+    classed = lt.with_field_class(merged, lt.display_fields(spark))
+    path = fresh_path(spark, "choropleth")
+    exported = lt.feature_struct(F.struct("SEGPAR", "PLAN", "year", "min_income", "colour_class"), fx.lot_geometry())
+    write_collections(classed.select(exported.alias("feature")), path)
+    fields = "SEGPAR: BIGINT, PLAN: STRING, year: INT, min_income: BIGINT, colour_class: INT"
+    return read_geojson(spark, path, fields, one_per_line=True).select("properties.*")
 
 
 @named("json_field")
@@ -161,6 +211,24 @@ def json_field_query(spark, sf_dir):
     return events.select("event_id", json_field(F.col("props"), "k", "int").alias("cloud_cover"))
 
 
+@query
+def scene_cloud_cover(spark, sf_dir):
+    scenes = fx.pixel_obs(spark, sf_dir).select(*sc.SCENE).distinct()
+    return sn.with_cloud_cover(scenes, fx.cover_documents(spark, sf_dir))
+
+
+@query
+def image_folder(spark, sf_dir):
+    """A folder of image files: names listed, and parsed back into scenes."""
+    files = fx.scene_keys(spark, sf_dir)
+    path = fresh_path(spark, "images")
+    # One folder per name, each with one file, stands for a folder of images.
+    files.withColumn("name", F.col("key")).repartition("key").write.partitionBy("name").text(path)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        F.regexp_extract("path", r"name=([^/]+)/", 1).alias("key"))
+    return sn.parse_image_keys(listed)
+
+
 @query
 def raster_explode(spark, sf_dir):
     cells = rs.explode_image(fx.colour_images(spark, sf_dir))
@@ -292,7 +360,8 @@ def image_ingest(spark, sf_dir):
 
 @query
 def image_sizes(spark, sf_dir):
-    return rs.image_sizes(fx.band_images(spark, sf_dir))
+    bands = fx.band_images(spark, sf_dir).select(*sc.SCENE, "width", "height", "band")
+    return rs.image_sizes(bands.unionByName(fx.thumbnails(spark, sf_dir)))
 
 
 @query
@@ -308,15 +377,35 @@ def display_lookup(spark, sf_dir):
     return shown.select("SEGPAR", "year", "field", "value", "shown", "verbage")
 
 
+@query
+def display_by_label(spark, sf_dir):
+    """The field behind a label, and how its value is shown."""
+    labels = {"sale_price_mean": "Average Sales Price", "min_income": "Minimum Income Required"}
+    long = fx.lot_facts(spark, sf_dir).unpivot(["SEGPAR", "year"], list(labels), "measure", "value")
+    label = F.create_map(*(F.lit(x) for pair in labels.items() for x in pair))[F.col("measure")]
+    shown = lt.with_display(long.withColumn("verbage", label), lt.display_fields(spark), on="verbage")
+    return shown.select("SEGPAR", "year", "verbage", "field", "value", "shown")
+
+
 @query
 def overlay(spark, sf_dir):
     cells = scored_in_place(fx.pixel_obs(spark, sf_dir), fx.CENTRES)
     return cells.select(*PIXEL, *rs.painted(F.col("prediction")))
 
 
+@query
+def predictions_roundtrip(spark, sf_dir):
+    path = fresh_path(spark, "predictions")
+    write_predictions(_scored(spark, sf_dir), path)
+    return read_predictions(spark, path)
+
+
 @query
 def overlay_join(spark, sf_dir):
-    return rs.overlay(fx.pixel_obs(spark, sf_dir), _scored(spark, sf_dir))
+    """Painted from predictions that were stored before."""
+    path = fresh_path(spark, "predictions")
+    write_predictions(_scored(spark, sf_dir), path)
+    return rs.overlay(fx.pixel_obs(spark, sf_dir), read_predictions(spark, path))
 
 
 # Aggregations.
@@ -333,8 +422,8 @@ def cluster_profile(spark, sf_dir):
 
 
 def _soil_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fields = clear_pixels(fx.pixel_obs(spark, sf_dir)).filter(F.col("mask") == 0)
-    return hv.harvest_stats(with_quality_flags(fields), F.col("havested"))
+    pixels = with_quality_flags(fx.pixel_obs(spark, sf_dir))
+    return hv.harvest_stats(pixels, F.col("havested"), is_clear() & is_inside())
 
 
 @query
@@ -369,13 +458,13 @@ def filter_audit(spark, sf_dir):
 
 @query
 def ts_describe(spark, sf_dir):
-    described = ts.describe_by(_events(spark, sf_dir), "date", "value")
+    described = ts.describe_by(_measured(spark, sf_dir), "date", "value")
     return _rounded(described, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @query
 def ts_group_sum(spark, sf_dir):
-    return _rounded(ts.group_totals(_events(spark, sf_dir), "date", "value"), "total", places=4)
+    return _rounded(ts.group_totals(_measured(spark, sf_dir), "date", "value"), "total", places=4)
 
 
 @query
@@ -418,17 +507,17 @@ def ts_head(spark, sf_dir):
 
 @query
 def scene_union(spark, sf_dir):
+    """Scenes of two origins in one table; the second has some without a date."""
     pixels = fx.pixel_obs(spark, sf_dir).select(*PIXEL, *rs.RGB)
-    early = F.col("date") < F.lit("2017-01-11").cast("date")
-    return sn.append_scenes(pixels.filter(early), pixels.filter(~early))
+    odd = F.col("tile_y") % 1024 == 0
+    undated = F.when(F.col("x") != 0, F.col("date"))
+    return sn.append_scenes(pixels.filter(odd), pixels.filter(~odd).withColumn("date", undated))
 
 
 @query
 def hstack(spark, sf_dir):
-    pixels = fx.pixel_obs(spark, sf_dir)
-    cells = scored_in_place(pixels, fx.CENTRES)
-    left = cells.select(*PIXEL, *rs.painted(F.col("prediction"), spread_palette(3)))
-    return rs.hstack(left, pixels.select(*PIXEL, *rs.RGB), fx.SIDE)
+    cells = scored_in_place(fx.pixel_obs(spark, sf_dir), fx.CENTRES)
+    return rs.beside_itself(cells, rs.painted(F.col("prediction"), spread_palette(3)), fx.SIDE)
 
 
 # Scalar functions.
@@ -449,7 +538,9 @@ for _name in list(INDICES):
 
 @query
 def scene_parse(spark, sf_dir):
-    return _images(spark, sf_dir)
+    """With a file among them whose name says nothing."""
+    odd = spark.createDataFrame([("old-copy-B01.png",)], "key STRING")
+    return sn.parse_image_keys(fx.scene_keys(spark, sf_dir).unionByName(odd))
 
 
 @named("last_date")
@@ -497,27 +588,42 @@ def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def kmeans_fit(spark, sf_dir):
+    """Per scene the clear pixels, those without a cluster, and those not with their nearest centre."""
     ready = _indexed(spark, sf_dir)
     model = cl.fit_kmeans(ready, cl.INDEX_FEATURES, clusters=4, seed=1)
-    return cl.predict(ready, model, cl.INDEX_FEATURES).select(*PIXEL, "prediction")
+    assigned = model.transform(cl.with_features(ready, cl.INDEX_FEATURES))
+    return cl.fit_audit(assigned, cl.model_centres(model), cl.INDEX_FEATURES, sc.SCENE)
 
 
 @query
 def kmeans_best_of(spark, sf_dir):
+    """Per restart: better than one cluster, and chosen exactly where the cost is lowest."""
     ready = prepared(fx.pixel_obs(spark, sf_dir), scope="global")
     fits = cl.fit_restarts(ready, cl.SCALED_FEATURES, clusters=3)
-    rows = [(seed, fit.summary.trainingCost, rank == 0) for rank, (seed, fit) in enumerate(fits)]
-    return spark.createDataFrame(rows, "seed INT, cost DOUBLE, chosen BOOLEAN")
+    single = cl.one_cluster_cost(ready, cl.SCALED_FEATURES)
+    costs = {seed: fit.summary.trainingCost for seed, fit in fits}
+    chosen = fits[0][0]
+    best = min(costs, key=lambda seed: (costs[seed], seed))
+    rows = [(seed, cost <= single, (seed == chosen) == (seed == best)) for seed, cost in costs.items()]
+    return spark.createDataFrame(rows, "seed INT, below_one_cluster BOOLEAN, chosen_by_cost BOOLEAN")
 
 
 @query
 def kmeans_standardised(spark, sf_dir):
-    columns = ("B08", "B04", "B03")
+    """The audit of ``kmeans_fit`` for a model that was saved with its scaler and read again."""
     pixels = fx.pixel_obs(spark, sf_dir)
-    model = train_standardised(pixels, columns)
-    names = [f"Standard_{c}" for c in columns]
-    ready = sc.standard_scaled(clear_pixels(pixels), columns)
-    return cl.predict(ready, model, names).select(*PIXEL, "prediction")
+    path = fresh_path(spark, "standard-model")
+    train_standardised(pixels, ("B08", "B04", "B03")).save(spark, path)
+    model = StandardModel.load(spark, path)
+    return cl.fit_audit(model.predict(clear_pixels(pixels)), model.centres, model.features, sc.SCENE)
+
+
+@query
+def kmeans_given_start(spark, sf_dir):
+    """Centres after two Lloyd steps from given ones."""
+    fields = _scored(spark, sf_dir).drop("prediction")
+    centres = cl.lloyd_fit(fields, fx.CENTRES, cl.SCALED_FEATURES, steps=2)
+    return _rounded(cl.centres_table(spark, centres, cl.SCALED_FEATURES), *cl.SCALED_FEATURES)
 
 
 @query
@@ -534,8 +640,14 @@ def kmeans_lloyd_step(spark, sf_dir):
 
 @query
 def cluster_centers(spark, sf_dir):
-    model = cl.fit_kmeans(_indexed(spark, sf_dir), cl.INDEX_FEATURES, clusters=5, seed=1)
-    return cl.centres_table(spark, cl.model_centres(model), cl.INDEX_FEATURES)
+    """Per fitted centre, whether it has members and is their mean to within a unit of the indices."""
+    ready = _indexed(spark, sf_dir)
+    centres = cl.model_centres(cl.fit_kmeans(ready, cl.INDEX_FEATURES, clusters=5, seed=1, max_iter=300))
+    step = cl.lloyd_step(ready, centres, cl.INDEX_FEATURES)
+    means = step.select("prediction", "pixels", *(F.col(f).alias(f"mean_{f}") for f in cl.INDEX_FEATURES))
+    gap = F.greatest(*(F.abs(F.col(f) - F.col(f"mean_{f}")) for f in cl.INDEX_FEATURES))
+    return cl.centres_table(spark, centres, cl.INDEX_FEATURES).join(means, "prediction", "left").select(
+        "prediction", (F.coalesce("pixels", F.lit(0)) > 0).alias("has_members"), (gap < 1.0).alias("is_mean"))
 
 
 @query
@@ -548,5 +660,7 @@ def silhouette(spark, sf_dir):
 
 @query
 def choropleth_bins(spark, sf_dir):
-    facts = fx.lot_facts(spark, sf_dir).select("SEGPAR", "year", "sale_price_mean")
-    return lt.with_colour_class(facts, "sale_price_mean", 100_000, 400_000)
+    """Classes on each field's own scale."""
+    facts = fx.lot_facts(spark, sf_dir)
+    long = facts.unpivot(["SEGPAR", "year"], ["sale_price_mean", "min_income"], "field", "value")
+    return lt.with_field_class(long, lt.display_fields(spark))

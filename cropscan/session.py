@@ -40,20 +40,41 @@ def build_session(cores: int | str = "*", app: str = "cropscan", **conf: str) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one is set here only where none is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
-        return folder
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cropscan-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder named by spark.checkpoint.dir.
+
+    Where none is named, one is made for a local master, as in tests; on a cluster that is an error,
+    since every executor would write to its own disk.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="cropscan-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+_made: list[str] = []
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard_intermediates(spark: SparkSession) -> None:
+    """Delete what this process wrote under the shared folder; results that read it end with that."""
+    while _made:
+        delete_path(spark, _made.pop())
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -84,5 +105,4 @@ def stored_for_a_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
     try:
         yield stored(df, name, path)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_path(spark, path)

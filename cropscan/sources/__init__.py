@@ -1,9 +1,14 @@
 from .files import (
-    json_field, list_images, read_csv, read_geojson, read_metadata, write_csv, write_features,
+    json_field, list_images, read_csv, read_geojson, read_metadata, write_collections, write_csv,
+    write_features,
+)
+from .pixels import (
+    PIXEL_SCHEMA, read_pixels, read_predictions, rows_to_table, save_clustered, scan_table,
+    write_pixels, write_predictions,
 )
-from .pixels import PIXEL_SCHEMA, read_pixels, rows_to_table, scan_table, write_pixels
 
 __all__ = [
     "PIXEL_SCHEMA", "json_field", "list_images", "read_csv", "read_geojson", "read_metadata",
-    "read_pixels", "rows_to_table", "scan_table", "write_csv", "write_features", "write_pixels",
+    "read_pixels", "read_predictions", "rows_to_table", "save_clustered", "scan_table",
+    "write_collections", "write_csv", "write_features", "write_pixels", "write_predictions",
 ]

@@ -16,23 +16,24 @@ PIXEL_SCHEMA = (
 )
 
 
+PREDICTION_SCHEMA = "tile_x INT, tile_y INT, date DATE, x INT, y INT, prediction INT"
+
+
 def read_pixels(spark: SparkSession, path: str, schema: str = PIXEL_SCHEMA) -> DataFrame:
     """Scan a pixel table with a declared schema, so no file is opened to infer one."""
     return spark.read.schema(schema).parquet(path)
 
 
-def write_pixels(
-    pixels: DataFrame, path: str, partition_by: Sequence[str] = SCENE
-) -> None:
-    """Snappy Parquet, by default one folder per scene.
+def write_pixels(pixels: DataFrame, path: str, partition_by: Sequence[str] = ("date",)) -> None:
+    """Snappy Parquet, by default one folder per date with the tiles in order inside.
 
-    The rebalance hint brings a scene's rows together so that a folder gets one
-    file, and lets adaptive execution cut a scene far above the advisory size
-    into several. For hundreds of thousands of scenes pass ``("date",)``, which
-    keeps the number of folders small.
+    Rows are range-partitioned by folder, tile and row of the image, so that a date is spread over
+    tasks however large it is, and row-group statistics find a tile. With ``SCENE`` there is one
+    folder per scene; the driver lists all of them on reading, so that is for few scenes.
     """
+    order = [*partition_by, *(c for c in ("tile_x", "tile_y", "y", "x") if c not in partition_by)]
     (
-        pixels.hint("rebalance", *partition_by)
+        pixels.repartitionByRange(*order).sortWithinPartitions(*order)
         .write.mode("overwrite")
         .option("compression", "snappy")
         .partitionBy(*partition_by)
@@ -40,6 +41,30 @@ def write_pixels(
     )
 
 
+def write_predictions(scored: DataFrame, path: str) -> None:
+    """The predictions of scored pixels as tile, date, x, y, prediction, laid out like the pixels."""
+    write_pixels(scored.select(*SCENE, "x", "y", "prediction"), path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    return read_pixels(spark, path, PREDICTION_SCHEMA)
+
+
+def save_clustered(pixels: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """The pixels as table ``name`` under ``path``, bucketed and sorted by scene.
+
+    A scene's rows are in one bucket, so grouping or joining on the scene needs no exchange. A scene
+    is an image, which bounds its rows; with more scenes take more buckets.
+    """
+    (
+        pixels.repartition(buckets, *SCENE)
+        .write.mode("overwrite").option("path", path)
+        .bucketBy(buckets, *SCENE).sortBy(*SCENE)
+        .saveAsTable(name)
+    )
+    return pixels.sparkSession.table(name)
+
+
 def rows_to_table(spark: SparkSession, rows: Iterable[Sequence[Any]], schema: str) -> DataFrame:
     """A small in-memory table with a declared schema."""
     return spark.createDataFrame(list(rows), schema)

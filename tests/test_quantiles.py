@@ -38,7 +38,7 @@ def test_hot_group_outliers_and_repeats(spark):
 
 def test_describe_with_nulls(spark):
     rows = spark.createDataFrame(
-        [("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), ("c", None), (None, 2.0)],
+        [("a", 1.0), ("a", 3.0), ("a", None), ("b", 5.0), ("c", None), (None, 2.0), ("a", float("nan"))],
         "g STRING, v DOUBLE",
     )
     got = {r["g"]: r.asDict() for r in describe_by(rows, "g", "v").collect()}
@@ -61,8 +61,18 @@ def test_ragged_tallies_and_precision(spark):
     frame = spark.createDataFrame(TALLY, "date STRING, tally MAP<STRING, INT>")
     table = with_precision(tally_table(frame, "date", "tally", labels), "Yes", labels)
     rows = {r["date"]: r for r in table.collect()}
-    assert tuple(rows["2017-08-11"])[1:] == (157, 2, 1, 0, 160, 0.98)
-    assert tuple(rows["2017-08-22"])[1:] == (142, 12, 0, 0, 154, 0.92)
+    assert tuple(rows["2017-08-11"])[1:] == (157, 2, 1, 0, 0, 160, 0.98)
+    assert tuple(rows["2017-08-22"])[1:] == (142, 12, 0, 0, 0, 154, 0.92)
+    short = {r["date"]: tuple(r)[1:] for r in tally_table(frame, "date", "tally", ["Yes"]).collect()}
+    assert short == {"2017-08-11": (157, 3), "2017-08-22": (142, 12)}
+    empty = spark.createDataFrame([("d", None)], "date STRING, tally MAP<STRING, INT>")
+    assert tuple(tally_table(empty, "date", "tally", ["Yes"]).first()) == ("d", 0, 0)
+
+
+def test_labels_outside_the_list_count(spark):
+    rows = spark.createDataFrame([("d", x) for x in ("click", "view", "refund", None)], "date STRING, label STRING")
+    row = with_precision(label_table(rows, "date", "label", ["click", "view"]), "view", ["click", "view"]).first()
+    assert (row["click"], row["view"], row["Other"], row["Total"], row["Precision"]) == (1, 1, 2, 4, 0.25)
 
 
 def test_precision_of_an_empty_row(spark):
@@ -71,5 +81,7 @@ def test_precision_of_an_empty_row(spark):
         ["Yes", "No"],
     )
     row = with_precision(table, "Yes", ["Yes", "No"]).first()
-    assert (row["Total"], row["Precision"]) == (0, None)
+    assert (row["Other"], row["Total"], row["Precision"]) == (1, 1, 0.0)
+    none = table.withColumn("Other", F.lit(0))
+    assert with_precision(none, "Yes", ["Yes", "No"]).first()["Precision"] is None
     assert table.agg(F.sum("Yes")).first()[0] == 0

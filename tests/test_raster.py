@@ -43,6 +43,25 @@ def test_align_bands(spark):
     assert got == {(0, 0, 1, 5), (1, 0, 2, 6), (0, 1, 3, 7), (1, 1, 4, 8)}
 
 
+def test_a_missing_band_keeps_the_scene(spark):
+    got = rs.align_bands(images(spark, [("B01", 2, 1, [1, 2]), ("B03", 2, 1, [7, 8]), ("B02", 2, 1, None)]), ["B01", "B02", "B03"])
+    assert {tuple(r)[3:] for r in got.collect()} == {(0, 0, 1, None, 7), (1, 0, 2, None, 8)}
+    colour = images(spark, [], "STRUCT<mask: INT, red: INT, green: INT, blue: INT>").drop("band")
+    table = rs.pixel_table(colour, images(spark, [("B01", 2, 1, [7, 8])]), bands=["B01"])
+    assert {(r["x"], r["mask"], r["red"], r["B01"]) for r in table.collect()} == {(0, None, None, 7), (1, None, None, 8)}
+
+
+def test_rows_are_bounded_by_blocks(spark):
+    wide = images(spark, [(f"B{k:02d}", 50, 41, list(range(2050))) for k in range(1, 4)])
+    bands = ["B01", "B02", "B03"]
+    blocks = rs._blocks(wide, 128)
+    assert blocks.agg(F.max(F.size("part"))).first()[0] == 128
+    assert blocks.groupBy("block").count().agg(F.max("count")).first()[0] == 3
+    got = rs.align_bands(wide, bands, block_cells=128)
+    assert got.count() == 2050
+    assert got.filter("B01 <> y * 50 + x OR B02 <> B01 OR B03 <> B01").isEmpty()
+
+
 @pytest.mark.parametrize("odd", [("B02", 1, 4, [5, 6, 7, 8]), ("B02", 2, 1, [5, 6])])
 def test_unequal_sizes_stop_the_query(spark, odd):
     frame = images(spark, [("B01", 2, 2, [1, 2, 3, 4]), odd])
@@ -79,6 +98,8 @@ def test_overlay_and_hstack(spark):
     painted = rs.overlay(image, predictions)
     got = {r["x"]: (r["red"], r["green"], r["blue"]) for r in painted.collect()}
     assert got == {0: (9, 9, 9), 1: CLUSTER_PALETTE[3]}
+    both = rs.beside_itself(image, [F.lit(5).alias(c) for c in rs.RGB], 2).collect()
+    assert {r["x"]: r["red"] for r in both} == {0: 5, 1: 5, 2: 9, 3: 8}
     wide = {r["x"]: r["red"] for r in rs.hstack(painted, image.select(painted.columns), 2).collect()}
     assert wide == {0: 9, 1: 255, 2: 9, 3: 8}
 

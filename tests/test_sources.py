@@ -2,23 +2,28 @@ import datetime as dt
 import json
 
 import pytest
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from cropscan import fixtures as fx
 from cropscan.operators import lots as lt
 from cropscan.operators import scenes as sn
+from cropscan.operators.scaling import SCENE
+from cropscan.plans import harvest_report
 from cropscan.sources import (
     PIXEL_SCHEMA, json_field, list_images, read_csv, read_geojson, read_metadata, read_pixels,
-    rows_to_table, scan_table, write_features, write_pixels,
+    read_predictions, rows_to_table, save_clustered, scan_table, write_collections, write_features,
+    write_pixels, write_predictions,
 )
 from cropscan.sources.files import ADDRESS_SCHEMA, HARVEST_SERIES_SCHEMA, LOT_FACTS_SCHEMA
 
 
 def test_csv_with_bom_and_missing_values(spark, tmp_path):
     path = tmp_path / "addresses.csv"
-    path.write_bytes(b"\xef\xbb\xbfSEGPAR,ADDRESS\n37385002,2 Road\n61756029,#N/A\n")
+    path.write_bytes(b"\xef\xbb\xbfSEGPAR,ADDRESS\n11,1 First Lane\n22,#N/A\n")
     rows = read_csv(spark, str(path), ADDRESS_SCHEMA).orderBy("SEGPAR").collect()
-    assert [tuple(r) for r in rows] == [(37385002, "2 Road"), (61756029, None)]
+    assert [tuple(r) for r in rows] == [(11, "1 First Lane"), (22, None)]
 
 
 def test_csv_unnamed_index_and_dates(spark, tmp_path):
@@ -34,18 +39,21 @@ def test_lot_facts_csv_and_year_fill(spark, tmp_path):
     path = tmp_path / "facts.csv"
     path.write_text(
         ",year,SEGPAR,sale_price_count,sale_price_mean,sale_price_median,sf_mean,price_sf_mean,"
-        "min_income\n1,2017,10,81,102015,1,1443,502,90734\n2,2018,10,63,102016,2,1455,541,101568\n"
+        "min_income\n1,2017,10,5,1000,900,70,20,400\n2,2018,10,6,1100,950,71,21,500\n"
     )
     facts = read_csv(spark, str(path), LOT_FACTS_SCHEMA)
     lots = spark.createDataFrame([(10, "A"), (11, "B"), (None, "C")], "SEGPAR BIGINT, PLAN STRING")
     fill = {"sale_price_count": 0, "min_income": 0, "not_a_column": 5}
     rows = {r["PLAN"]: r for r in lt.with_year_facts(lots, facts, 2018, fill).collect()}
-    assert rows["A"]["sale_price_count"] == 63 and rows["A"]["year"] == 2018
+    assert rows["A"]["sale_price_count"] == 6 and rows["A"]["year"] == 2018
     assert rows["B"]["sale_price_count"] == 0 and rows["B"]["year"] == 2018
     assert rows["B"]["sf_mean"] is None
     assert rows["C"]["min_income"] == 0
 
 
+# How a failed read reaches Python depends on where the reader stops.
+STOPPED = (PySparkException, Py4JJavaError)
+
 COLLECTION = {
     "type": "FeatureCollection",
     "features": [
@@ -103,15 +111,99 @@ def test_pixel_table_layout(spark, sf_dir, tmp_path):
     path = str(tmp_path / "pixels")
     pixels = fx.pixel_obs(spark, sf_dir)
     write_pixels(pixels, path)
-    files = list((tmp_path / "pixels").rglob("*.snappy.parquet"))
-    assert len(files) == 12  # one per tile and date
+    assert sorted(p.name for p in (tmp_path / "pixels").iterdir() if p.is_dir()) == [
+        "date=2016-12-22", "date=2017-01-01", "date=2017-01-11", "date=2017-01-21"]
     back = read_pixels(spark, path)
     assert back.select(pixels.columns).schema.simpleString() == pixels.schema.simpleString()
     assert back.select(pixels.columns).exceptAll(pixels).isEmpty()
     one = back.filter((F.col("tile_x") == 7680) & (F.col("date") == F.lit("2017-01-01").cast("date")))
     plan = one.select("x", "B08")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(tile_x" in plan
-    assert "ReadSchema: struct<x:int,B08:int>" in plan
+    assert "PartitionFilters: [isnotnull(date" in plan
+    assert "EqualTo(tile_x,7680)" in plan
+    assert "ReadSchema: struct<tile_x:int,x:int,B08:int>" in plan
+    by_scene = str(tmp_path / "scenes")
+    write_pixels(pixels, by_scene, SCENE)
+    assert read_pixels(spark, by_scene).select(pixels.columns).exceptAll(pixels).isEmpty()
+
+
+def test_predictions_come_back(spark, tmp_path):
+    day = dt.date(2017, 1, 1)
+    rows = spark.createDataFrame(
+        [(1, 2, day, 3, 4, 0, "x"), (1, 2, day, 3, 5, None, "x")],
+        "tile_x INT, tile_y INT, date DATE, x INT, y INT, prediction INT, other STRING")
+    write_predictions(rows, str(tmp_path / "p"))
+    back = read_predictions(spark, str(tmp_path / "p"))
+    assert sorted(map(tuple, back.select("x", "y", "prediction", "date").collect()), key=str) == [(3, 4, 0, day), (3, 5, None, day)]
+
+
+def test_clustered_report_exchanges_nothing(spark, sf_dir, tmp_path):
+    pixels = fx.pixel_obs(spark, sf_dir)
+    table = save_clustered(pixels, "clustered_pixels", str(tmp_path / "clustered"), buckets=4)
+    report = harvest_report(table, fx.CENTRES, clustered=True)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    expected = harvest_report(pixels, fx.CENTRES)
+    assert report.exceptAll(expected).isEmpty() and report.count() == expected.count()
+    spark.sql("DROP TABLE clustered_pixels")
+
+
+def test_csv_stops_at_wrong_headers_and_rows(spark, tmp_path):
+    (tmp_path / "turned.csv").write_text("ADDRESS,SEGPAR\nhere,1\n")
+    (tmp_path / "bad.csv").write_text("SEGPAR,ADDRESS\nx,here\n2,there\n")
+    with pytest.raises(STOPPED):
+        read_csv(spark, str(tmp_path / "turned.csv"), ADDRESS_SCHEMA).collect()
+    with pytest.raises(STOPPED):
+        read_csv(spark, str(tmp_path / "bad.csv"), ADDRESS_SCHEMA).collect()
+    kept = read_csv(spark, str(tmp_path / "bad.csv"), ADDRESS_SCHEMA, corrupt="_bad").collect()
+    assert [tuple(r) for r in kept] == [(None, "here", "x,here"), (2, "there", None)]
+
+
+def test_geojson_stops_at_broken_records(spark, tmp_path):
+    (tmp_path / "good.json").write_text(json.dumps(COLLECTION))
+    (tmp_path / "cut.json").write_text(json.dumps(COLLECTION)[:60])
+    fields = "SEGPAR: BIGINT, PLAN: STRING"
+    with pytest.raises(STOPPED):
+        read_geojson(spark, str(tmp_path), fields).collect()
+    rows = read_geojson(spark, str(tmp_path), fields, corrupt=True).collect()
+    assert len(rows) == 3 and sum(r["_corrupt"] is not None for r in rows) == 1
+    (tmp_path / "cut.json").write_text('{"type": "Topology"}')
+    with pytest.raises(STOPPED, match="neither"):
+        read_geojson(spark, str(tmp_path), fields).collect()
+
+
+def test_geojson_keeps_other_geometries_and_bare_features(spark, tmp_path):
+    many = {"type": "Feature", "properties": {"SEGPAR": 5},
+            "geometry": {"type": "MultiPolygon", "coordinates": [[[[1, 2], [3, 4], [1, 2]]], [[[5, 6], [7, 8], [5, 6]]]]}}
+    (tmp_path / "lines.json").write_text(json.dumps(many) + "\n" + json.dumps(COLLECTION) + "\n")
+    rows = read_geojson(spark, str(tmp_path), "SEGPAR: BIGINT, PLAN: STRING", one_per_line=True).collect()
+    assert len(rows) == 3
+    found = next(r["geometry"] for r in rows if r["properties"]["SEGPAR"] == 5)
+    assert found["coordinates"] is None and json.loads(found["text"]) == many["geometry"]["coordinates"]
+
+
+def test_exported_collections_come_back(spark, tmp_path):
+    lots = spark.createDataFrame([(i, f"P{i}") for i in range(25)], "SEGPAR BIGINT, PLAN STRING")
+    features = lots.select(lt.feature_struct(F.struct("SEGPAR", "PLAN"), fx.lot_geometry()).alias("feature"))
+    path = str(tmp_path / "out")
+    write_collections(features, path, size=4)
+    sizes = [len(json.loads(r[0])["features"]) for r in spark.read.text(path).collect()]
+    assert sum(sizes) == 25 and max(sizes) <= 4
+    back = read_geojson(spark, path, "SEGPAR: BIGINT, PLAN: STRING", one_per_line=True)
+    assert back.select("properties.*").exceptAll(lots).isEmpty() and back.count() == 25
+
+
+def test_cloud_cover_joins_its_scene(spark):
+    day = dt.date(2017, 1, 1)
+    scenes = spark.createDataFrame([(1, 2, day), (1, 3, day)], "tile_x INT, tile_y INT, date DATE")
+    texts = spark.createDataFrame([(1, 2, day, '{"cloud-cover": 7.5}')], "tile_x INT, tile_y INT, date DATE, text STRING")
+    assert {r["tile_y"]: r["cloud_cover"] for r in sn.with_cloud_cover(scenes, texts).collect()} == {2: 7.5, 3: None}
+
+
+def test_odd_names_stay_as_rows(spark):
+    names = spark.createDataFrame([("old-copy-B01.png",), ("1-2-B01-2017-01-01.png",), ("1-2-B01-2017-99-99.png",)], "key STRING")
+    rows = {r["key"]: (r["tile_x"], r["tile_y"], r["date"]) for r in sn.parse_image_keys(names).collect()}
+    assert rows == {"old-copy-B01.png": (None, None, None), "1-2-B01-2017-01-01.png": (1, 2, dt.date(2017, 1, 1)),
+                    "1-2-B01-2017-99-99.png": (1, 2, None)}
 
 
 def test_pixel_schema_names():

@@ -1,6 +1,6 @@
 import pytest
 
-from cropscan.session import build_session
+from cropscan.session import build_session, discard_intermediates
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -9,6 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     session = build_session(8, app="cropscan-tests", **{"spark.driver.memory": "8g"})
     yield session
+    discard_intermediates(session)
     session.stop()
 
 

@@ -2,32 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cropscan.session import materialise, stored
-
-from .joins import lookup_join
-
-SLICES = 1024
-ACCURACY = 8 * SLICES
-
-
-def _slice_of(value: Column, cuts: Column) -> Column:
-    """How many of the SLICES - 1 ascending cuts lie below the value, by bisection."""
-    strides = [SLICES >> step for step in range(1, SLICES.bit_length())]
-
-    def bisect(found: Column, stride: Column) -> Column:
-        return F.when(F.get(cuts, found + stride - 1) < value, found + stride).otherwise(found)
-
-    return F.aggregate(F.array(*map(F.lit, strides)), F.lit(0), bisect)
+from cropscan.session import stored
 
 
 def _holds(rank: str) -> Column:
-    last = F.col("first_rank") + F.col("size") - 1
-    return F.col(rank).between(F.col("first_rank"), last)
+    return F.col(rank).between(F.col("first_rank"), F.col("first_rank") + F.col("size") - 1)
 
 
 def group_quantiles(
@@ -35,59 +17,52 @@ def group_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per ``by``, exact for any group size.
 
-    1. A mergeable sketch per group gives the cuts of SLICES slices of about equal
-       size. It only balances the work; the result does not depend on its error.
-    2. Equal values are counted once, so a value held by many rows becomes one row,
-       and the counts are stored with their slice.
-    3. The slice totals tell which slices hold the wanted ranks, and only those
-       slices are put in order.
+    1. Equal values are counted once, so a value held by many rows becomes one row.
+    2. The counts are range-partitioned by group and value and stored with their partition number:
+       a large group is spread over partitions by value, small groups share one.
+    3. Totals per group and partition tell which partitions hold the wanted ranks, and only
+       those parts of the groups are put in order.
 
     Returns ``by`` and one column per entry of ``quantiles``.
     """
     values = rows.select(by, F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    shares = [step / SLICES for step in range(1, SLICES)]
-    cuts = values.groupBy(by).agg(F.percentile_approx("v", shares, ACCURACY).alias("cuts"))
     counts = values.groupBy(by, "v").agg(F.count(F.lit(1)).alias("size"))
-    sliced = stored(
-        lookup_join(counts, cuts, [by], spread=("v",)).select(
-            by, "v", "size", _slice_of(F.col("v"), F.col("cuts")).alias("slice")
-        ),
-        "slices",
-    )
+    ranged = counts.repartitionByRange(by, "v")
+    parts = stored(ranged.select(by, "v", "size", F.spark_partition_id().alias("part")), "ranged-counts")
 
-    # At most SLICES rows per group in this table.
-    in_group = Window.partitionBy(by).orderBy("slice")
-    whole_group = Window.partitionBy(by)
-    slices = (
-        sliced.groupBy(by, "slice")
+    # As many rows as there are groups and partitions together, at most.
+    in_group = Window.partitionBy(by).orderBy("part")
+    totals = (
+        parts.groupBy(by, "part")
         .agg(F.sum("size").alias("size"))
         .withColumn("first_rank", F.sum("size").over(in_group) - F.col("size"))
-        .withColumn("n", F.sum("size").over(whole_group))
+        .withColumn("n", F.sum("size").over(Window.partitionBy(by)))
     )
     asked = F.array(*(
         F.struct(F.lit(name).alias("name"), F.lit(share).alias("share"))
         for name, share in quantiles.items()
     ))
     places = (
-        slices.select(by, "slice", "first_rank", "size", "n", F.explode(asked).alias("asked"))
+        totals.select(by, "part", "first_rank", "size", "n", F.explode(asked).alias("asked"))
         .withColumn("place", (F.col("n") - 1) * F.col("asked.share"))
         .withColumn("group_rank", F.explode(F.array_distinct(F.array(
             F.floor("place"), F.ceil("place")
         ))))
     )
-    targets = materialise(
+    targets = stored(
         places.filter(_holds("group_rank")).select(
-            by, "slice", F.col("asked.name").alias("name"), "place", "group_rank",
-            (F.col("group_rank") - F.col("first_rank")).alias("slice_rank"),
-        )
+            by, "part", F.col("asked.name").alias("name"), "place", "group_rank",
+            (F.col("group_rank") - F.col("first_rank")).alias("part_rank"),
+        ),
+        "wanted-ranks",
     )
 
-    needed = targets.select(by, "slice").distinct()
-    in_slice = Window.partitionBy(by, "slice").orderBy("v")
-    ordered = lookup_join(sliced, needed, [by, "slice"], spread=("v",), how="left_semi").withColumn(
-        "first_rank", F.sum("size").over(in_slice) - F.col("size")
+    needed = targets.select(by, "part").distinct()
+    in_part = Window.partitionBy(by, "part").orderBy("v")
+    ordered = parts.join(needed, [by, "part"], "left_semi").withColumn(
+        "first_rank", F.sum("size").over(in_part) - F.col("size")
     )
-    found = ordered.join(targets, [by, "slice"]).filter(_holds("slice_rank"))
+    found = ordered.join(targets, [by, "part"]).filter(_holds("part_rank"))
     low, high = F.min("v"), F.max("v")
     fraction = F.max("place") - F.min("group_rank")
     answers = found.groupBy(by, "name").agg((low + (high - low) * fraction).alias("quantile"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -21,11 +23,20 @@ SLICE_CHARS = 4_000_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def ship(spark: SparkSession) -> None:
-    """Give executors this package where their Python path lacks it, once a session.
+#: Bytes of an Arrow batch between the JVM and a Python worker, whatever the length of its texts.
+BATCH_BYTES = 8 << 20
 
-    Spark hands the archive out itself; it is what ``--py-files`` does for a submitted job.
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, and give executors this package where their Python path lacks it.
+
+    The bound is a session setting that is only ever lowered. Spark hands the archive out itself;
+    it is what ``--py-files`` does for a submitted job.
     """
+    if int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     context = spark.sparkContext
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(context, "_cropscan_sent", False):
@@ -39,13 +50,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null read as empty; all other columns are left out."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -74,6 +85,13 @@ def slices(batches: Iterator[pa.RecordBatch], chars: int = SLICE_CHARS) -> Itera
             start, done = stop, int(ends[stop - 1])
 
 
+def trimmed() -> None:
+    """Hand freed memory back to the system, where the C library can; a reused worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_slice(
     docs: DataFrame, work: Callable[[pa.RecordBatch], dict], schema: str, chars: int = SLICE_CHARS
 ) -> DataFrame:
@@ -84,6 +102,7 @@ def per_slice(
     def run(batches):
         for piece in slices(batches, chars):
             out = work(piece)
+            trimmed()
             yield pa.RecordBatch.from_arrays(
                 [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (out[n] for n in names)],
                 names=names,

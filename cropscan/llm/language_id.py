@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, per_slice, ship, slices, table, texts
+from .common import held_out, per_slice, prepare, slices, table, texts
 
 #: Training passages taken for each language, about; the dictionaries are all that is learned.
 PASSAGES = 200
@@ -134,7 +134,7 @@ def without_rejected(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFra
             rejected = judged(pc.fill_null(piece["text"].cast(pa.string()), ""), coder)["rejected"]
             yield piece.filter(pc.invert(pa.array(rejected, pa.bool_())))
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 

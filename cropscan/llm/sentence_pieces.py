@@ -10,7 +10,9 @@ into those of its space-led words, and equal words share theirs; only the draws
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +30,7 @@ SPACE = "▁"
 SHARPNESS = 1.0
 SEED = 0
 #: Code points whose different words have their lattices in memory at once.
-LATTICE_CHARS = 1_200_000
+LATTICE_CHARS = 600_000
 _WORDS = re.compile(r" *[^ ]+| +")
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 
@@ -254,7 +256,7 @@ def _space_led(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return led.filter(full), kept[bounds]
 
 
-def sample(column: pa.Array, keys: np.ndarray, pieces: Pieces, step: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+def sample(column: pa.Array, keys: np.ndarray, pieces: Pieces, step: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows end to end, and the rows' bounds."""
     flat, bounds = _space_led(column)
     word, different = coded(flat)
@@ -360,7 +362,25 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32, text_sha256 of the source, and whether the decoded text has the same."""
-    return decode(encode(docs, path), path).select(
-        "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
-        "text_sha256", (F.sha2("text", 256) == F.col("text_sha256")).alias("lossless"))
+    """doc_id, n_pieces, ids_crc32, text_sha256 of the source, and whether the decoded text has the same.
+
+    The digests of ``encode`` and ``decode``, in one pass: chained, each task would hold two workers.
+    """
+    path = path or default_model()
+
+    def work(piece):
+        held = pieces_of(path, SHARPNESS)
+        ids, bounds = sample(piece["text"], row_keys(piece["doc_id"], SEED), held)
+        raw = memoryview(ids.astype("<u4")).cast("B")
+        decoded = spell(ids, bounds, held)
+        ends = (bounds * 4).tolist()
+        return {
+            "doc_id": piece["doc_id"], "n_pieces": np.diff(bounds), "text_sha256": piece["text_sha256"],
+            "ids_crc32": [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)],
+            "lossless": [hashlib.sha256(d.as_buffer()).hexdigest() == s
+                         for d, s in zip(decoded, piece["text_sha256"].to_pylist(), strict=True)],
+        }
+
+    source = texts(docs).withColumn("text_sha256", F.sha2("text", 256))
+    return per_slice(
+        source, work, "doc_id long, n_pieces long, ids_crc32 long, text_sha256 string, lossless boolean", LATTICE_CHARS)

@@ -83,3 +83,12 @@ def test_edges(spark):
     assert {r["n_pieces"] for r in rows if r["doc_id"] in (1, 2)} == {0}
     assert len({(r["doc_id"], r["ids_crc32"]) for r in rows if r["doc_id"] == 7}) == 1
     assert sp.encode_and_decode(make(spark, [])).collect() == []
+
+
+def test_digests_are_those_of_encode_and_decode(spark):
+    docs = make(spark, EDGES)
+    chained = sp.decode(sp.encode(docs)).selectExpr(
+        "doc_id", "cast(length(ids) / 4 AS long) AS n_pieces", "crc32(ids) AS ids_crc32", "text_sha256",
+        "sha2(text, 256) = text_sha256 AS lossless")
+    once = sp.encode_and_decode(docs).select(*chained.columns)
+    assert sorted(map(str, chained.collect())) == sorted(map(str, once.collect()))

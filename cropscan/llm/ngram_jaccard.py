@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import bounded, coded, mixed, per_slice, texts, word_hashes, words
+from .common import bounded, coded, mixed, per_slice, texts, trimmed, word_hashes, words
 from .components import components
 
 #: Bits of one block.
@@ -203,6 +203,7 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
                 a, b = (np.frombuffer(x.as_buffer(), "<u8") for x in (a, b))
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(rule.of * common >= rule.at_least * (len(a) + len(b) - common))
+            trimmed()
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -214,23 +215,43 @@ def linked(pairs: DataFrame, docs: DataFrame, rule: Similarity) -> DataFrame:
     )
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``members`` with the component known so far, and only buckets that hold two components."""
+def _shared(keys: DataFrame) -> DataFrame:
+    """(key, node, degree) of the (key, node) rows whose key has two nodes.
+
+    ``degree`` is how many rows a node's buckets hold: of copies of one text, those that differ least have most.
+    """
+    ends = keys.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n")).where("low < high")
+    shared = stored(keys.join(ends.select("key", "n"), "key"), "shared-keys")
+    degrees = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    return shared.select("key", "node").join(degrees.hint("merge"), "node").select("key", "node", "degree")
+
+
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``members`` with the component known so far, of buckets that hold two components."""
     if labels is None:
-        with_label = members.withColumn("label", F.col("node"))
-    else:
-        with_label = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        return members.withColumn("label", F.col("node"))
+    with_label = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     ends = with_label.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    return with_label.join(ends.select("key", "low"), "key")
+    return with_label.join(ends.select("key"), "key")
 
 
-def _star(open_buckets: DataFrame) -> DataFrame:
-    """For each node outside its bucket's lowest component, the component it shares most buckets with: one pair a node."""
-    return (
-        open_buckets.where("label > low").groupBy("node", "low").agg(F.count("*").alias("n"))
-        .groupBy("node").agg(F.max(F.struct("n", -F.col("low"))).alias("best"))
-        .select((-F.col("best").getField("col2")).alias("a"), F.col("node").alias("b"))
-    )
+def _star(open_buckets: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """One pair a node: with the bucket centre that it shares most buckets with and was not tried with.
+
+    The centre of a bucket is its node of largest degree, so that copies of one text meet their original.
+    """
+    centre = F.max(F.struct("degree", (-F.col("node")).alias("minus"), "label"))
+    centres = open_buckets.groupBy("key").agg(centre.alias("c")).select(
+        "key", (-F.col("c.minus")).alias("centre"), F.col("c.degree").alias("centre_degree"), F.col("c.label").alias("centre_label"))
+    offers = open_buckets.join(centres, "key").where(F.col("label") != F.col("centre_label")).groupBy(
+        "node", "centre").agg(F.count("*").alias("n"), F.max("centre_degree").alias("of"))
+    offers = offers.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "node", "n", "of")
+    if tried is not None:
+        offers = offers.join(tried, ["a", "b"], "left_anti")
+    best = F.max(F.struct("n", "of", (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+    return offers.groupBy("node").agg(best.alias("best")).select(
+        (-F.col("best.a")).alias("a"), (-F.col("best.b")).alias("b")).distinct()
 
 
 def _rare_first(sets: DataFrame, rule: Similarity) -> DataFrame:
@@ -312,19 +333,23 @@ def jaccard_components(docs: DataFrame, rule: Similarity = Similarity(), rounds:
     classes = stored(named.groupBy("signature").agg(F.min("doc_id").alias("node")), "shingle-classes")
     nodes = named.join(classes.select(F.col("node").alias("doc_id"), "signature").hint("merge"), ["doc_id", "signature"], "left_semi")
     members = nodes.where(F.size("keys") > 0).select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    members = stored(_labelled(members, None).select("key", "node"), "shared-blocks")
-    labels, edges = None, None
+    members = stored(_shared(members), "shared-blocks")
+    labels, edges, tried = None, None, None
     if not members.isEmpty():
         inside = members.select("node").distinct()
         sketches = stored(nodes.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "short").join(
             inside, "node", "left_semi"), "short-sketches")
         for step in range(rounds + 1):
-            open_buckets = _labelled(members, labels)
+            open_buckets = _open(members, labels)
             if labels is not None:
                 open_buckets = stored(open_buckets, "open-blocks")
                 if open_buckets.isEmpty():
                     break
-            pairs = _star(open_buckets) if step < rounds else _rest(open_buckets, docs, labels, rule)
+            if step < rounds:
+                pairs = stored(_star(open_buckets, tried), "star-pairs")
+                tried = pairs if tried is None else tried.union(pairs)
+            else:
+                pairs = _rest(open_buckets, docs, labels, rule)
             pairs = stored(near(pairs, sketches, rule), "near-pairs")
             found = stored(linked(pairs, docs, rule), "links")
             edges = found if edges is None else edges.union(found)

@@ -274,21 +274,30 @@ def read_at_and_dot(m: Mapped) -> Mapped:
     return m.rewrite(sorted(edits))
 
 
-_MIXED_RUN = re.compile(r"(?<![A-Za-z0-9])\+?\(?(?:[0-9OoQlI|SB]+[ ().-]{0,2}){2,}(?![A-Za-z0-9])")
+_MIXED_RUN = re.compile(r"(?<![A-Za-z0-9])\+?\(?(?:[0-9OoQlI|SB]++[ ().-]{0,2}+)++")
+_MIXED_TAIL = re.compile(r"[A-Za-z0-9]")
 _MIXED_PART = re.compile(r"[0-9OoQlI|SB]+")
 _AS_DIGIT = {"O": "0", "o": "0", "Q": "0", "l": "1", "I": "1", "|": "1", "S": "5", "B": "8"}
 _CARD_GAPS = re.compile(r"(?<![0-9])[0-9]{4}(?:([ ._/*-]{1,3})[0-9]{4}){3}(?![0-9])")
 
 
+def _run_end(text: str, run: re.Match) -> int:
+    """Where the run ends; before its last sign if another letter or digit follows the run."""
+    end = run.end()
+    if _MIXED_TAIL.match(text, end):
+        while end > run.start() and _MIXED_TAIL.match(text, end):
+            end -= 1
+    return end
+
+
 def read_figures(m: Mapped) -> Mapped:
     """Letters among digits that stand for digits, and unusual gaps between the parts of a card number."""
     edits = []
     for run in _MIXED_RUN.finditer(m.text):
-        for part in _MIXED_PART.finditer(run[0]):
+        for part in _MIXED_PART.finditer(m.text, run.start(), _run_end(m.text, run)):
             letters = [i for i, c in enumerate(part[0]) if c in _AS_DIGIT]
             if letters and len(part[0]) > len(letters):
-                edits += [(run.start() + part.start() + i, run.start() + part.start() + i + 1, _AS_DIGIT[part[0][i]])
-                          for i in letters]
+                edits += [(part.start() + i, part.start() + i + 1, _AS_DIGIT[part[0][i]]) for i in letters]
     m = m.rewrite(edits)
     gaps = []
     for run in _CARD_GAPS.finditer(m.text):

@@ -76,6 +76,33 @@ def test_long_runs_take_linear_time(text):
     pii.disguised_spans(text, pii.base_spans(text))
 
 
+#: The same language, one way to split a run.
+ONE_WAY = re.compile(r"(?<![A-Za-z0-9])\+?\(?[0-9OoQlI|SB](?:[ ().-]{0,2}[0-9OoQlI|SB])+[ ().-]{0,2}(?![A-Za-z0-9])")
+
+
+@pytest.mark.parametrize("text", ["1" * 60 + "x", "0" * 60 + "ab", "O1" * 80_000 + "x", "1 " + "0" * 100_000 + "ab"])
+def test_long_runs_that_fail_take_linear_time(text):
+    assert pii.read_figures(pii.Mapped(text)).text == text
+
+
+def test_figures_are_read_in_the_runs_of_the_plain_pattern():
+    random.seed(5)
+    for _ in range(30_000):
+        text = "".join(random.choices("1O|l0S .(-)+xé", k=random.randint(0, 14)))
+        wanted = list(text)
+        for run in ONE_WAY.finditer(text):
+            for part in re.finditer(r"[0-9OoQlI|SB]+", run[0]):
+                if re.search("[0-9]", part[0]):
+                    start = run.start() + part.start()
+                    wanted[start:start + len(part[0])] = [pii._AS_DIGIT.get(c, c) for c in part[0]]
+        assert pii.read_figures(pii.Mapped(text)).text == "".join(wanted), text
+
+
+def test_a_run_before_a_bar_is_read():
+    text = "|+1 (4O3) 555-93l2|home|"
+    assert [(k, text[a:b]) for k, a, b in pii.disguised_spans(text, [])] == [("phone", "+1 (4O3) 555-93l2")]
+
+
 def test_rows_and_edges(spark):
     rows = [*EDGES, (20, "a@b.cd and john [at] example [dot] com, a@b.cd"), (21, "10.0.0.1 " * 3)]
     found = by_id(pii.find_personal_data(make(spark, rows)), "n_email", "n_ip", "spans", "n_disguised")

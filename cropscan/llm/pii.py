@@ -14,6 +14,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
@@ -220,7 +221,8 @@ _LABEL = re.compile(r"[A-Za-z0-9-]++")
 _NAME_END = re.compile(r"[A-Za-z0-9_%+-]+\Z")
 _DOT_END = re.compile(rf"(?i)(?:{_MARKED_DOT}|{_CODED_DOT}|{_BARE_DOT}|{_SPACED_DOT}|\.)\Z")
 _HINTS = re.compile(r"(?i)[\[({<|_*~-][ \t]*(?:at|arroba|ät|chez|@|dot|punto|punkt|point|\.)[ \t]*[\])}>|_*~-]"
-                    r"|&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);|%40|%2e|[ \t](?:dot|punto|punkt|point)[ \t]|[ \t]@|@[ \t]")
+                    r"|&(?:#0*64|#x0*40|commat|#0*46|#x0*2e|period);|%40|%2e|[ \t](?:dot|punto|punkt|point)[ \t]|[ \t]@|@[ \t]"
+                    r"|[a-z0-9-][ \t]+\.[ \t]+[a-z0-9-]")
 _FIGURE_DOT = re.compile(rf"(?i)(?<=[0-9])(?:{_MARKED_DOT}|{_CODED_DOT}|{_BARE_DOT}|{_SPACED_DOT})(?=[0-9])")
 #: Code points looked at before an at sign for the name; longer names are not disguised by hand.
 NAME_REACH = 128
@@ -311,7 +313,7 @@ SUSPECTS = (
     r"[^\x00-\x7fÀ-ÖØ-öø-ÿ]",
     rf"(?i)(?:^|[^\pL\pN_])(?:{_SPELLED})[ \t\r\n,;/+.-]+(?:{_SPELLED}|[0-9])",
     rf"(?i){_HINTS.pattern.removeprefix('(?i)')}",
-    r"(?i)(?:\[\.\]|[0-9][ \t]+\.[ \t]+[0-9]|[0-9]{4}[ ._/*-]{1,3}[0-9]{4})",
+    r"(?i)(?:\[\.\]|[0-9]{4}[ ._/*-]{1,3}[0-9]{4})",
     r"[0-9][OoQlI|SB]|[OoQlI|SB][0-9]",
 )
 
@@ -345,6 +347,21 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def found(column: pa.Array) -> dict[str, list]:
+    """The result columns for texts without nulls."""
+    out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised")}
+    suspect = functools.reduce(pc.or_, (pc.match_substring_regex(column, p) for p in SUSPECTS)).to_pylist()
+    for text, doubtful in zip(column.to_pylist(), suspect, strict=True):
+        base = base_spans(text)
+        added = disguised_spans(text, base) if doubtful else []
+        for kind in KINDS:
+            out[f"n_{kind}"].append(sum(k == kind for k, _, _ in base))
+        out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
+        out["spans"].append(joined(sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), *s[1:]))))
+        out["n_disguised"].append(len(added))
+    return out
+
+
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document, in no order.
 
@@ -355,18 +372,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """
 
     def work(piece):
-        out = {k: [] for k in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_disguised")}
-        column = piece["text"]
-        suspect = functools.reduce(pc.or_, (pc.match_substring_regex(column, p) for p in SUSPECTS)).to_pylist()
-        for text, doubtful in zip(column.to_pylist(), suspect, strict=True):
-            base = base_spans(text)
-            added = disguised_spans(text, base) if doubtful else []
-            for kind in KINDS:
-                out[f"n_{kind}"].append(sum(k == kind for k, _, _ in base))
-            out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
-            out["spans"].append(joined(sorted({*base, *added}, key=lambda s: (KINDS.index(s[0]), *s[1:]))))
-            out["n_disguised"].append(len(added))
-        return {"doc_id": piece["doc_id"], **out}
+        return {"doc_id": piece["doc_id"], **found(piece["text"])}
 
     return per_slice(
         texts(docs), work,

@@ -22,6 +22,9 @@ LEVEL = 9
 #: words, which adds to the sizes; a text that then still has less than MARGIN is rejected.
 NARROW, PIECE_WORDS = 4, 3
 MARGIN = 1
+#: So is one whose margin is a smaller part of its size than LEAST times what clean passages of the
+#: language have in the middle; LEAST_UNKNOWN is the part where fewer than LEAST_PASSAGES can tell.
+LEAST, LEAST_PASSAGES, LEAST_UNKNOWN = 0.3, 8, 0.05
 
 UNKNOWN = "und"
 
@@ -63,8 +66,9 @@ def learn(labelled: DataFrame, passages: int = PASSAGES) -> dict[str, bytes]:
 class Compressors:
     """One zstd compressor for each language; sizes are of frames without header fields."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes], least: dict[str, float] | None = None, level: int = LEVEL):
         self.names = sorted(dictionaries)
+        self.least = [(least or {}).get(name, LEAST_UNKNOWN) for name in self.names]
         self.compress = []
         for name in self.names:
             held = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -86,23 +90,44 @@ class Compressors:
         return [sum(len(f(b)) for b in raw) for f in self.compress]
 
 
+def least_margins(dictionaries: dict[str, bytes]) -> dict[str, float]:
+    """By language, the least margin of a told text as a part of its size.
+
+    One half of each dictionary codes passages of the other half, which are clean and not in it.
+    """
+    halves, passages = {}, {}
+    for name, learned in dictionaries.items():
+        parts = learned.decode().split(" ")
+        rest = " ".join(parts[len(parts) // 2:])
+        halves[name] = " ".join(parts[:len(parts) // 2]).encode()
+        passages[name] = [rest[i:i + PASSAGE_CHARS] for i in range(0, len(rest) - PASSAGE_CHARS + 1, PASSAGE_CHARS)]
+    coder, least = Compressors(halves), {}
+    for place, name in enumerate(coder.names if len(coder.names) > 1 else []):
+        if len(passages[name]) >= LEAST_PASSAGES:
+            found = (coder.sizes(text) for text in passages[name])
+            parts = [(min(sizes[:place] + sizes[place + 1:]) - sizes[place]) / sizes[place] for sizes in found]
+            least[name] = LEAST * max(0.0, float(np.median(parts)))
+    return least
+
+
 def judged(column: pa.Array, coder: Compressors) -> dict[str, list]:
     """lang_pred, score, margin and rejected of every text."""
     out = {k: [] for k in ("lang_pred", "score", "margin", "rejected")}
     for text in letters_only(column).to_pylist():
         sizes = coder.sizes(text) if coder.names and _LETTER.search(text) else []
         if not sizes:
-            name, score, margin = UNKNOWN, 0.0, 0
+            name, score, margin, least = UNKNOWN, 0.0, 0, MARGIN
         else:
             best = int(np.argmin(sizes))
             rest = sorted(sizes[:best] + sizes[best + 1:])
             margin = rest[0] - sizes[best] if rest else sizes[best]
             score = 1.0 / (1.0 + sum(2.0 ** max(-60, sizes[best] - r) for r in rest))
             name = coder.names[best]
+            least = max(MARGIN, coder.least[best] * sizes[best])
         out["lang_pred"].append(name)
         out["score"].append(score)
         out["margin"].append(margin)
-        out["rejected"].append(name == UNKNOWN or margin < MARGIN)
+        out["rejected"].append(name == UNKNOWN or margin < least)
     return out
 
 
@@ -111,14 +136,16 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
     ``margin``: bytes that the second smallest takes more than the smallest; ``score``: the share of
     the smallest when each language weighs 2 to the minus bytes saved. Equal sizes: first name. Null text,
-    text without a letter, and no learned language: ``und``, score 0, rejected.
+    text without a letter, and no learned language: ``und``, score 0, rejected. Rejected as well: margins that
+    are too small a part of the size, whatever the length, as of texts in a language that was not learned.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # PASSAGES x PASSAGE_CHARS each
+    learned = dictionaries, least_margins(dictionaries)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)  # PASSAGES x PASSAGE_CHARS each
     made: list[Compressors] = []
 
     def work(piece):
         if not made:
-            made.append(Compressors(shared.value))
+            made.append(Compressors(*shared.value))
         return {"doc_id": piece["doc_id"], **judged(piece["text"], made[0])}
 
     return per_slice(texts(docs), work, "doc_id long, lang_pred string, score double, margin long, rejected boolean")
@@ -126,10 +153,10 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 def without_rejected(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     """The rows whose language is told with a margin, with all their columns as they were."""
-    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    shared = docs.sparkSession.sparkContext.broadcast((dictionaries, least_margins(dictionaries)))
 
     def keep(batches):
-        coder = Compressors(shared.value)
+        coder = Compressors(*shared.value)
         for piece in slices(batches):
             rejected = judged(pc.fill_null(piece["text"].cast(pa.string()), ""), coder)["rejected"]
             yield piece.filter(pc.invert(pa.array(rejected, pa.bool_())))

@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cropscan.llm import language_id as li
@@ -46,3 +49,38 @@ def test_filter_keeps_rows_as_they_were(spark):
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in told.collect())
     assert {r["n_chars"] for r in kept.collect()} == {r["n_chars"] for r in docs.collect()}
+
+
+def rejected_part(coder, texts):
+    return sum(li.judged(pa.array(texts), coder)["rejected"]) / len(texts)
+
+
+def test_texts_of_no_learned_language_are_rejected_at_any_length(spark):
+    docs = table(spark, MIDDLE, "documents")
+    learned = li.learn(li.train_rows(docs))
+    coder = li.Compressors(learned, li.least_margins(learned))
+    random.seed(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = "ka ta li nen ssa sta ko mi tu va pu hyv jo ki en ra ää yö uo ie ne ve ja me te si su ru po pe".split()
+
+    def made(parts, low, high, words):
+        return " ".join("".join(random.choices(parts, k=random.randint(low, high))) for _ in range(words))
+
+    for words in (50, 300, 3_000):
+        assert rejected_part(coder, [made(letters, 2, 9, words) for _ in range(20)]) == 1
+        assert rejected_part(coder, [made(syllables, 1, 5, words) for _ in range(20)]) == 1
+
+    clean = docs.where(held_out(4, 2)).where("length(text) > 200").select("lang", "text").orderBy("doc_id").collect()
+    assert rejected_part(coder, [r["text"] for r in clean]) < 0.02
+    sentences = {}
+    for r in clean:
+        sentences.setdefault(r["lang"], []).extend(x for x in r["text"].split(".") if len(x) > 20 and "|" not in x)
+    for chars, least in ((1_000, 0.6), (8_000, 0.7)):
+        texts = []
+        for _ in range(40):
+            pair, halves = random.sample(sorted(sentences), 2), ([], [])
+            while sum(map(len, halves[0] + halves[1])) < chars:
+                side = sum(map(len, halves[0])) > sum(map(len, halves[1]))
+                halves[side].append(random.choice(sentences[pair[side]]))
+            texts.append(". ".join(halves[0] + halves[1]))
+        assert rejected_part(coder, texts) >= least, chars

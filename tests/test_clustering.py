@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import pytest
@@ -11,7 +12,7 @@ from cropscan.operators.harvest import harvest_stats
 from cropscan.operators.masks import pixels_in_mask
 from cropscan.operators.scaling import standard_scaled
 from cropscan.plans import (
-    StandardModel, harvest_report, scored, scored_in_place, train_scaled, train_standardised,
+    StandardModel, harvest_report, scored, scored_in_place, train_scaled, train_standardised, trained_report,
 )
 from cropscan.session import fresh_path
 
@@ -158,3 +159,20 @@ def test_empty_mask_and_cloudy_scene(spark, sf_dir):
     in_place = scored_in_place(cloudy, fx.CENTRES)
     assert in_place.filter("prediction IS NOT NULL").isEmpty()
     assert in_place.count() == pixels.count()
+
+
+def test_trained_report_takes_the_lowest_ndvi_of_separated_clusters(spark):
+    # A known number of bare pixels a scene; near-infrared alone sets the groups apart.
+    names = ["tile_x", "tile_y", "x", "y", "date", "mask", "red", "green", "blue", *fx.BANDS]
+    rows, bare = [], {1: 20, 2: 45}
+    for tile, n in bare.items():
+        for i in range(90):
+            nir = (300 if i < n else 1500 if i % 2 else 3800) + i % 7
+            bands = [nir if b == "B08" else 1000 + i % 5 for b in fx.BANDS]
+            rows.append((tile, 2, i, tile, datetime.date(2019, 1, 1), 0, 50, 90, 40, *bands))
+    report = trained_report(spark.createDataFrame(rows, names), clusters=3, seeds=(0, 1), max_iter=20).collect()
+    assert {r["tile_x"]: (r["clear_pixels"], r["harvested_pixels"]) for r in report} == {1: (90, 20), 2: (90, 45)}
+    for r in report:
+        n = bare[r["tile_x"]]
+        assert r["percentage"] == n / 90
+        assert [r["cane"], r["sugar"], r["value"]] == pytest.approx([n * 97.7, n * 97.7 / 6.2, n * 97.7 / 6.2 * 0.42])

@@ -2,7 +2,67 @@
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '')"
 
+
+def _lloyd(step: int) -> str:
+    """Assignment to centroids ``c{step}`` and the centroids after it."""
+    return f"""
+        a{step} AS MATERIALIZED (
+            SELECT vec_id, cluster, distance FROM (
+                SELECT v.vec_id, c.cluster, sum((v.x - c.x) * (v.x - c.x)) AS distance,
+                       row_number() OVER (PARTITION BY v.vec_id ORDER BY sum((v.x - c.x) * (v.x - c.x)), c.cluster) AS place
+                FROM kept v JOIN c{step} c USING (dim) GROUP BY v.vec_id, c.cluster)
+            WHERE place = 1),
+        c{step + 1} AS MATERIALIZED (
+            SELECT c.cluster, c.dim, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.x) AS x
+            FROM c{step} c LEFT JOIN (
+                SELECT a.cluster, v.dim, sum(v.x) AS s, count(*) AS n
+                FROM a{step} a JOIN kept v USING (vec_id) GROUP BY a.cluster, v.dim) m USING (cluster, dim)),"""
+
+
 ORACLE = {
+    "op11_collocations": r"""
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents),
+        ws AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+        grams AS (
+            SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+            FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+                  FROM ws, (SELECT unnest([1, 2, 3, 4]) AS m))),
+        f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY ALL),
+        words AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+        candidates AS (SELECT lang, m, phrase, n, string_split(phrase, ' ') AS w FROM f WHERE m >= 2 AND n >= 30),
+        covered AS (
+            SELECT DISTINCT s.lang, s.phrase
+            FROM candidates s JOIN candidates t ON s.lang = t.lang AND s.m < t.m
+                AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * t.n >= 80 * s.n),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.n AS a, k, x.n AS l, y.n AS r, (2000000 * c.n::HUGEINT // (x.n + y.n))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates ANTI JOIN covered USING (lang, phrase)) c
+            JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+            JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:c.m], ' ')),
+        best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts),
+        ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+            FROM best WHERE place = 1)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN words USING (lang) WHERE rank <= 2000""",
+    "op12_centroids": f"""
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        kept AS MATERIALIZED (SELECT vec_id, unnest(v) AS x, unnest(range(1, 65)) AS dim FROM good),
+        chosen AS (
+            SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster
+            FROM good ORDER BY cluster LIMIT 16),
+        c0 AS (SELECT cluster, dim, x FROM chosen JOIN kept USING (vec_id)),
+        {_lloyd(0)}{_lloyd(1)}{_lloyd(2)}{_lloyd(3)}
+        hashes AS (SELECT cluster, sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256 FROM c3 GROUP BY cluster)
+        SELECT vec_id, cluster::INTEGER AS cluster, distance::BIGINT AS distance,
+               sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+               sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+        FROM a3 JOIN hashes USING (cluster)""",
     "op4_decontamination": f"""
         WITH items AS (
             SELECT item_id, w, len(w) AS n, least(len(w), 5) AS k

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .centroids import cluster_query
+from .collocations import collocations
 from .common import table
 from .decontamination import contaminated
 from .exact_dedup import exact_duplicates
 from .language_id import language_query
 from .ngram_jaccard import jaccard_components
+from .packing import packing_query
 from .pii import find_personal_data
 from .quality import quality_query
 from .secrets import find_secrets
@@ -31,6 +34,9 @@ def benchmark_query(spark, sf_dir):
 QUERIES = {
     "op1_pii": _over_documents(find_personal_data),
     "op10_toxicity": toxicity_query,
+    "op11_collocations": _over_documents(collocations),
+    "op12_centroids": lambda spark, sf_dir: cluster_query(table(spark, sf_dir, "embeddings")),
+    "op13_packing": _over_documents(packing_query),
     "op2_sentencepiece": _over_documents(encode_and_decode),
     "op3_token_binary": _over_documents(round_trip),
     "op4_decontamination": benchmark_query,

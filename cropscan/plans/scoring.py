@@ -16,7 +16,7 @@ from cropscan.operators.clustering import (
     fit_kmeans, model_centres, nearest_centre,
 )
 from cropscan.operators.harvest import harvest_stats, with_yield
-from cropscan.operators.masks import inside_mask
+from cropscan.operators.masks import inside_mask, with_mask
 from cropscan.operators.scaling import SCENE, Moments, minmax_scaled, moments, standard_scaled
 from cropscan.sources.pixels import rows_to_table
 
@@ -36,13 +36,14 @@ def scored(
     features: Sequence[str] = SCALED_FEATURES,
     scope: str = "scene",
     mask: DataFrame | None = None,
+    clustered: bool = False,
 ) -> DataFrame:
     """Clear field pixels with their cluster.
 
     Scaling sees the clear pixels outside the mask too; the mask is applied after it.
     Without a ``mask`` table the pixel table's own mask column is used.
     """
-    ready = prepared(pixels, features, scope)
+    ready = prepared(pixels, features, scope, clustered)
     fields = ready.filter(is_inside()) if mask is None else inside_mask(ready, mask)
     return assign_clusters(fields, centres, features)
 
@@ -77,15 +78,14 @@ def harvest_report(
     """Clear and harvested field pixels, share, cane, sugar and value per scene.
 
     Every scene is reported; one without a clear field pixel has 0 pixels and a null share. For pixels
-    bucketed by scene pass ``clustered=True``: nothing is exchanged then.
+    bucketed by scene pass ``clustered=True``: nothing is exchanged then. A ``mask`` table, of cells or of
+    bitmaps, takes the place of the pixels' own mask column; it shuffles no pixel and keeps their buckets.
     """
+    if mask is not None:
+        pixels = with_mask(pixels, mask)
     taken = F.col("prediction") == harvested
-    if mask is None:
-        cells = scored_in_place(pixels, centres, **options)
-        return with_yield(harvest_stats(cells, taken, is_clear() & is_inside()))
-    stats = harvest_stats(scored(pixels, centres, mask=mask, **options), taken)
-    every = pixels.select(*SCENE).distinct().join(stats, list(SCENE), "left")
-    return with_yield(every.na.fill(0, ["clear_pixels", "harvested_pixels"]))
+    cells = scored_in_place(pixels, centres, **options)
+    return with_yield(harvest_stats(cells, taken, is_clear() & is_inside()))
 
 
 def train_scaled(

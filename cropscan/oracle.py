@@ -233,6 +233,14 @@ SELECT {SCENE}, clear_pixels, harvested_pixels,
     "trained_report": f"""WITH {PIXELS} SELECT {SCENE},
   count(*) FILTER (WHERE {_CLEAR} AND mask = 0) AS clear_pixels, TRUE AS "within"
 FROM pixel_obs GROUP BY tile_x, tile_y, pixel_obs.date""",
+    "score_increment": f"""WITH {SCORED} SELECT {KEYS}, CASE WHEN date <> DATE '2017-01-01' THEN prediction
+  WHEN d2 <= d1 AND d2 <= d0 THEN 0 WHEN d1 <= d0 THEN 1 ELSE 2 END AS prediction FROM scored""",
+    "score_second_run": f"""WITH {PAINTED}, stats AS (
+  SELECT CASE WHEN date < DATE '2017-01-21' THEN 0 ELSE 1 END AS run, tile_x, tile_y, date,
+    count(prediction) AS clear_pixels, count(*) FILTER (WHERE prediction = 0) AS harvested_pixels
+  FROM cells GROUP BY ALL)
+SELECT run, count(*) AS scenes, CAST(sum(clear_pixels) AS BIGINT) AS clear_pixels,
+  CAST(sum(harvested_pixels) AS BIGINT) AS harvested_pixels FROM stats GROUP BY run""",
     "scene_list": f"""WITH {CATALOGUE} SELECT key, {SCENE}, band,
   CAST(row_number() OVER (PARTITION BY tile_x, tile_y, band ORDER BY date) - 1 AS INTEGER) AS position
 FROM keyed""",

@@ -1,9 +1,10 @@
+from .increments import damaged_scenes, score_into, stored_predictions, stored_report
 from .scoring import (
     StandardModel, harvest_report, prepared, scored, scored_in_place, train_scaled,
     train_standardised, trained_report,
 )
 
 __all__ = [
-    "StandardModel", "harvest_report", "prepared", "scored", "scored_in_place", "train_scaled",
-    "train_standardised", "trained_report",
+    "StandardModel", "damaged_scenes", "harvest_report", "prepared", "score_into", "scored", "scored_in_place",
+    "stored_predictions", "stored_report", "train_scaled", "train_standardised", "trained_report",
 ]

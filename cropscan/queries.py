@@ -25,7 +25,8 @@ from cropscan.operators import scenes as sn
 from cropscan.operators import timeseries as ts
 from cropscan.operators.masks import inside_mask, pixels_in_mask
 from cropscan.plans import (
-    StandardModel, harvest_report, prepared, scored, scored_in_place, train_standardised,
+    StandardModel, harvest_report, prepared, score_into, scored, scored_in_place, stored_predictions,
+    train_standardised,
 )
 from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path
@@ -110,6 +111,35 @@ def trained_report(spark, sf_dir):
     return report.select(*sc.SCENE, "clear_pixels", share.alias("within"))
 
 
+def _stored_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "pixels")
+    write_pixels(fx.pixel_obs(spark, sf_dir), path)
+    return read_pixels(spark, path)
+
+
+@query
+def score_increment(spark, sf_dir):
+    """Predictions after three runs: the first dates, then all, then one date again with centres in other order."""
+    pixels, path = _stored_pixels(spark, sf_dir), fresh_path(spark, "scored")
+    score_into(pixels.filter("date < DATE '2017-01-21'"), fx.CENTRES, path)
+    score_into(pixels, fx.CENTRES, path)
+    again = pixels.filter("date = DATE '2017-01-01'")
+    score_into(again, fx.CENTRES[::-1], path, again=again)
+    return stored_predictions(spark, path).select(*PIXEL, "prediction")
+
+
+@query
+def score_second_run(spark, sf_dir):
+    """What each of three runs has scored: the first dates, the last one, nothing."""
+    pixels, path = _stored_pixels(spark, sf_dir), fresh_path(spark, "scored")
+    runs = [pixels.filter("date < DATE '2017-01-21'"), pixels, pixels]
+    reports = [score_into(part, fx.CENTRES, path).withColumn("run", F.lit(i)) for i, part in enumerate(runs)]
+    done = reports[0].unionByName(reports[1]).unionByName(reports[2])
+    return done.groupBy("run").agg(
+        F.count(F.lit(1)).alias("scenes"), F.sum("clear_pixels").alias("clear_pixels"),
+        F.sum("harvested_pixels").alias("harvested_pixels"))
+
+
 # Sources and sinks.
 
 

@@ -6,9 +6,11 @@ from .pixels import (
     PIXEL_SCHEMA, read_pixels, read_predictions, rows_to_table, save_clustered, scan_table,
     write_pixels, write_predictions,
 )
+from .scenes import read_scenes, replace_scenes, scenes_of
 
 __all__ = [
     "PIXEL_SCHEMA", "json_field", "list_images", "read_csv", "read_geojson", "read_metadata",
-    "read_pixels", "read_predictions", "rows_to_table", "save_clustered", "scan_table",
+    "read_pixels", "read_predictions", "read_scenes", "replace_scenes", "rows_to_table", "save_clustered",
+    "scan_table", "scenes_of",
     "write_collections", "write_csv", "write_features", "write_pixels", "write_predictions",
 ]

@@ -25,7 +25,8 @@ def read_pixels(spark: SparkSession, path: str, schema: str = PIXEL_SCHEMA) -> D
 
 
 def write_pixels(pixels: DataFrame, path: str, partition_by: Sequence[str] = ("date",)) -> None:
-    """Snappy Parquet, by default one folder per date with the tiles in order inside.
+    """Snappy Parquet, by default one folder per date with the tiles in order inside. It replaces the table at
+    ``path``; ``scenes.replace_scenes`` is for single scenes of one.
 
     Rows are range-partitioned by folder, tile and row of the image, so that a date is spread over
     tasks however large it is, and row-group statistics find a tile. With ``SCENE`` there is one

@@ -1,0 +1,122 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from cropscan import fixtures as fx
+from cropscan.operators.scaling import SCENE
+from cropscan.plans import damaged_scenes, harvest_report, score_into, scored, stored_predictions, stored_report
+from cropscan.sources import read_pixels, read_scenes, replace_scenes, write_pixels
+
+DAYS = [dt.date(2017, 1, 1), dt.date(2017, 1, 11)]
+SCHEMA = "tile_x INT, tile_y INT, date DATE, x INT, y INT, prediction INT"
+KEYS = [*SCENE, "x", "y", "prediction"]
+
+
+def rows(spark, *found):
+    return spark.createDataFrame([(*f[:2], DAYS[f[2]], *f[3:]) for f in found], SCHEMA)
+
+
+def held(spark, path):
+    back = read_scenes(spark, path, SCHEMA).select(*KEYS).collect()
+    return sorted((r["tile_x"], r["tile_y"], DAYS.index(r["date"]), r["x"], r["y"], r["prediction"]) for r in back)
+
+
+def files(path):
+    return {str(f): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+
+
+def test_scenes_are_replaced_one_by_one(spark, tmp_path):
+    path = str(tmp_path / "scenes")
+    first = [(0, 0, 0, x, 0, 0) for x in range(5)] + [(512, 0, 0, 0, 0, 1), (9000, 0, 0, 0, 0, 2), (0, 0, 1, 0, 0, 3)]
+    replace_scenes(rows(spark, *first), rows(spark, *first), path)
+    assert held(spark, path) == sorted(first)
+    before = files(tmp_path / "scenes")
+    # One scene of a folder that holds two; the folders of other dates and areas are not touched.
+    new = [(0, 0, 0, 9, 9, 7)]
+    for _ in range(2):
+        replace_scenes(rows(spark, *new), rows(spark, *new), path)
+        assert held(spark, path) == sorted([*new, *first[5:]])
+    after = files(tmp_path / "scenes")
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if "area=0_0" not in f or "01-11" in f}
+
+
+def test_a_scene_can_become_empty_or_be_added(spark, tmp_path):
+    path = str(tmp_path / "scenes")
+    both = [(0, 0, 0, 1, 1, 0), (512, 0, 0, 1, 1, 0)]
+    replace_scenes(rows(spark, *both), rows(spark, *both), path)
+    replace_scenes(rows(spark, *both).limit(0), rows(spark, both[0]), path)
+    assert held(spark, path) == [both[1]]
+    replace_scenes(rows(spark, *both).limit(0), rows(spark, both[1]), path)
+    assert held(spark, path) == []
+    added = (1024, 0, 0, 1, 1, 5)
+    replace_scenes(rows(spark, added), rows(spark, added), path)
+    assert held(spark, path) == [added]
+
+
+def test_rows_of_no_scene_are_refused(spark, tmp_path):
+    good, other = rows(spark, (0, 0, 0, 1, 1, 0)), rows(spark, (512, 0, 0, 1, 1, 0))
+    with pytest.raises(Exception, match="none of the scenes"):
+        replace_scenes(other, good, str(tmp_path / "a"))
+    with pytest.raises(Exception, match="no scene"):
+        replace_scenes(good, good.withColumn("date", F.lit(None).cast("date")), str(tmp_path / "b"))
+
+
+def test_nothing_stored_is_an_empty_table(spark, tmp_path):
+    assert held(spark, str(tmp_path / "none")) == []
+
+
+@pytest.fixture(scope="module")
+def pixels(spark, sf_dir, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("increments") / "pixels")
+    write_pixels(fx.pixel_obs(spark, sf_dir), path)
+    return read_pixels(spark, path)
+
+
+def same(a, b):
+    columns = b.columns
+    return a.select(*columns).exceptAll(b).isEmpty() and b.exceptAll(a.select(*columns)).isEmpty()
+
+
+def test_new_dates_are_added_and_old_ones_left(spark, pixels, tmp_path):
+    path = str(tmp_path / "run")
+    early = pixels.filter("date < DATE '2017-01-11'")
+    first = score_into(early, fx.CENTRES, path)
+    assert same(first, harvest_report(early, fx.CENTRES))
+    old = files(tmp_path / "run")
+    second = score_into(pixels, fx.CENTRES, path)
+    assert second.select("date").distinct().count() == 2
+    assert {f: m for f, m in files(tmp_path / "run").items() if f in old} == old
+    assert same(stored_report(spark, path), harvest_report(pixels, fx.CENTRES))
+    expected = scored(pixels, fx.CENTRES).select(*KEYS)
+    assert same(stored_predictions(spark, path).select(*KEYS), expected)
+    now = files(tmp_path / "run")
+    assert score_into(pixels, fx.CENTRES, path).isEmpty() and files(tmp_path / "run") == now
+
+
+def test_one_date_again(spark, pixels, tmp_path):
+    path = str(tmp_path / "run")
+    score_into(pixels, fx.CENTRES, path)
+    day = pixels.filter("date = DATE '2017-01-01'")
+    turned = fx.CENTRES[::-1]
+    done = score_into(pixels, turned, path, again=day)
+    assert same(done, harvest_report(day, turned))
+    rest = pixels.filter("date <> DATE '2017-01-01'")
+    expected = scored(rest, fx.CENTRES).select(*KEYS).unionByName(scored(day, turned).select(*KEYS))
+    assert same(stored_predictions(spark, path).select(*KEYS), expected)
+
+
+def test_a_run_that_broke_off_is_made_good(spark, pixels, tmp_path):
+    """Predictions without a report are scored again; lost rows of a reported scene are found."""
+    path = str(tmp_path / "run")
+    scene = pixels.filter("tile_x = 7680 AND date = DATE '2016-12-22'")
+    found = scored(scene, fx.CENTRES).select(*KEYS)
+    replace_scenes(found.limit(3), scene, f"{path}/predictions")
+    score_into(scene, fx.CENTRES, path)
+    assert same(stored_predictions(spark, path).select(*KEYS), found)
+    assert damaged_scenes(spark, path).isEmpty()
+    replace_scenes(found.limit(3), scene, f"{path}/predictions")
+    damaged = damaged_scenes(spark, path)
+    assert damaged.count() == 1
+    score_into(scene, fx.CENTRES, path, again=damaged)
+    assert same(stored_predictions(spark, path).select(*KEYS), found) and damaged_scenes(spark, path).isEmpty()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from array import array
 
 import numpy as np
@@ -44,6 +45,18 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _byte_signs() -> list[str]:
+    """The sign for each byte in a byte-level vocabulary: itself where it prints, else the next one from 256 on."""
+    prints = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
+
+
+_SIGNS = dict(enumerate(_byte_signs()))
+#: A run that the splitter leaves in one part: letters, and the space before them.
+_ONE_PART = re.compile("[ ]?[A-Za-zÀ-ÖØ-öø-ɏ]+")
+
+
 _loaded: dict[str, tuple[Tokenizer, bool, dict[str, bytes]]] = {}
 
 
@@ -57,16 +70,24 @@ def _tokenizer(path: str) -> tuple[Tokenizer, bool, dict[str, bytes]]:
         apart = (
             rules["normalizer"] is None
             and all(splitter.get(k) == v for k, v in _PLAIN_SPLITTER.items())
-            and not any(set(t["content"]) & set(" \n") or t["lstrip"] or t["rstrip"] for t in rules["added_tokens"])
+            and not any(
+                set(t["content"]) & set(" \n.,") or _ONE_PART.fullmatch(t["content"]) or t["lstrip"] or t["rstrip"]
+                for t in rules["added_tokens"])
         )
         _loaded[path] = tokenizer, apart, {}
     return _loaded[path]
 
 
-def _ids_of(runs: list[str], tokenizer: Tokenizer) -> dict[str, bytes]:
-    found = {}
-    for start in range(0, len(runs), 50_000):
-        part = runs[start:start + 50_000]
+def _ids_of(runs: list[str], tokenizer: Tokenizer, apart: bool) -> dict[str, bytes]:
+    """Ids of runs; those that are one part already go to the model at once."""
+    found, rest, model = {}, [], tokenizer.model
+    for run in runs:
+        if apart and _ONE_PART.fullmatch(run):
+            found[run] = array("I", [t.id for t in model.tokenize(run.encode().decode("latin-1").translate(_SIGNS))]).tobytes()
+        else:
+            rest.append(run)
+    for start in range(0, len(rest), 50_000):
+        part = rest[start:start + 50_000]
         for run, one in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
             found[run] = array("I", one.ids).tobytes()
     return found
@@ -75,17 +96,18 @@ def _ids_of(runs: list[str], tokenizer: Tokenizer) -> dict[str, bytes]:
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows end to end, each row closed by END_ID, and the rows' bounds.
 
-    A byte-level splitter never joins a letter or sign to white space after it. So runs that begin
-    with a space or line end after a plain character are encoded apart, each different one once.
+    A byte-level splitter never joins a letter or sign to white space after it, or a letter to a full
+    stop or comma. So runs that begin there are encoded apart, each different one once.
     """
     tokenizer, apart, known = _tokenizer(path)
     if apart and not pc.any(pc.match_substring(column, _CUT)).as_py():
+        column = pc.replace_substring_regex(column, "([A-Za-zÀ-ÖØ-öø-ɏ])([.,])([ \n])", f"\\1{_CUT}\\2{_CUT}\\3")
         lists = pc.split_pattern(pc.replace_substring_regex(column, "([!-~À-ɏ])([ \n])", f"\\1{_CUT}\\2"), _CUT)
         flat, bounds = lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(False))])
     else:
         flat, bounds = column, np.arange(len(column) + 1)
     index, different = coded(flat)
-    fresh = _ids_of([r for r in different if r not in known], tokenizer)
+    fresh = _ids_of([r for r in different if r not in known], tokenizer, apart)
     if apart and len(known) + len(fresh) <= REMEMBERED:
         known.update(fresh)
         fresh = known

@@ -5,10 +5,11 @@ counted over the corpus, together with the last one, two and three words of ever
 corrections for what no edge leaves). All shorter counts follow from them: a run of words occurs as often as
 the edges out of it say, plus its corrections.
 
-Before that, texts are cut between two words that are followed by each other fewer than ``LEAST`` times. A
-saturating counter per hash of a word pair tells these apart: it can only be too high, so no cut touches an
-occurrence of a phrase that counts, and a cut is one more place for corrections. The counters have a fixed
-size; a corpus that fills them gets fewer cuts and a larger edge table, with the same results.
+A place in a text gives one row: the longest run of up to four words from there on that may matter, which
+is an edge, or the correction for a run that nothing extends: at a piece's end, or because the run with the next
+word occurs fewer than ``LEAST`` times. A saturating counter per hash of a run tells these apart. It can only be too
+high, so every occurrence of a phrase that counts begins a row at least as long. The counters have a fixed
+size; a corpus that fills them gets more and longer rows, up to one edge per word, with the same results.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cropscan.session import fresh_path, stored
+from cropscan.session import fresh_path, materialise, stored
 
-from .common import BROADCAST_ROWS, GOLDEN, coded, mixed, per_slice, prepare, word_hashes, words
+from .common import GOLDEN, coded, mixed, per_slice, prepare, word_hashes, words
 from .token_binary import removed
 
 #: A phrase must occur this often.
@@ -30,12 +31,16 @@ LEAST = 30
 COVERED = 80
 #: Phrases reported for each language.
 REPORTED = 2_000
-#: Word pairs are told apart by this many bits of a hash: 2 ** 28 bits (32 MB) say which are frequent.
-PAIR_BITS = 28
+#: Words of an edge.
+LONGEST = 4
+#: Runs are told apart by this many bits of a hash: 2 ** 28 bits (32 MB) say which are frequent.
+HASH_BITS = 28
 _LOW = 16
-_BUCKETS = 1 << (PAIR_BITS - _LOW)
-#: Ways in which rows of one language, or of one word, are dealt out.
+_BUCKETS = 1 << (HASH_BITS - _LOW)
+#: Parts in which the rows of a language are ordered first.
 SALTS = 64
+#: Phrases of more than a HOT-th of all words are looked up by broadcast: HOT of each size at most.
+HOT = 5_000
 
 _STOPS = r"[.,;:!?\x0a-\x0d]+"
 COUNTED = "lang string, size int, phrase string, n long"
@@ -50,7 +55,7 @@ def _input(docs: DataFrame) -> DataFrame:
 
 
 class _Words:
-    """The words of a slice as numbers, with pairs of neighbours inside a piece and their hashes."""
+    """The words of a slice as numbers, and for each place how many words from there on are in one piece."""
 
     def __init__(self, piece: pa.RecordBatch):
         flat, bounds = words(pc.replace_substring_regex(piece["text"], _STOPS, " . "), lower=True)
@@ -59,16 +64,33 @@ class _Words:
         row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         self.lang = langs[row]
         stop = self.different.index(".") if "." in self.different else -1
-        self.word = self.index != stop
-        self.pair = np.zeros(len(self.index), bool)
-        self.pair[:-1] = self.word[:-1] & self.word[1:] & (row[:-1] == row[1:])
-
-    def hashes(self, at: np.ndarray) -> np.ndarray:
-        """Hash of the pairs that begin at ``at``, in PAIR_BITS bits."""
-        of_word, of_lang = word_hashes(self.different), word_hashes(self.langs)
+        word = self.index != stop
+        #: Places where a run of 1, 2, ... words begins.
+        self.begins = [word]
+        for size in range(2, LONGEST + 1):
+            longer = np.zeros(len(word), bool)
+            longer[:-1] = word[:-1] & self.begins[-1][1:] & (row[:-1] == row[1:])
+            self.begins.append(longer)
+
+    def keys(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Hash of the runs of ``size`` words that begin at ``at``, in HASH_BITS bits."""
+        of_word = word_hashes(self.different)
         with np.errstate(over="ignore"):
-            first = of_word[self.index[at]] * GOLDEN + of_lang[self.lang[at]]
-            return (mixed(first ^ of_word[self.index[at + 1]]) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+            code = word_hashes(self.langs)[self.lang[at]] + np.uint64(size)
+            for k in range(size):
+                code = mixed((code ^ of_word[self.index[at + k]]) * GOLDEN)
+        return (code >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+    def longest(self, bits: np.ndarray) -> list[np.ndarray]:
+        """Places by the size of the longest run from there on of which all parts may be frequent."""
+        kept = []
+        for size, begins in enumerate(self.begins, start=1):
+            at = begins if size == 1 else begins & kept[-1] & np.append(kept[-1][1:], False)
+            at = np.flatnonzero(at)
+            held = np.zeros(len(begins), bool)
+            held[at] = _holds(bits, self.keys(size, at))
+            kept.append(held)
+        return [np.flatnonzero(one & ~more) for one, more in zip(kept, [*kept[1:], np.zeros_like(kept[0])], strict=True)]
 
     def runs(self, at: np.ndarray, size: int) -> dict:
         """The different runs of ``size`` words that begin at ``at``, and how often each does."""
@@ -89,6 +111,18 @@ class _Words:
             "n": n.astype(np.int64),
         }
 
+    def totals(self) -> dict:
+        """Words of each language, as runs of no word."""
+        n = np.bincount(self.lang[self.begins[0]], minlength=len(self.langs))
+        return {
+            "lang": pa.array(self.langs, pa.string()), "size": np.zeros(len(n), np.int32),
+            "phrase": pa.array([""] * len(n), pa.string()), "n": n.astype(np.int64),
+        }
+
+
+def _holds(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bits[keys >> 3] >> (keys & 7).astype(np.uint8) & 1).astype(bool)
+
 
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     offsets = (bounds * values.itemsize).astype(np.int32)
@@ -96,10 +130,10 @@ def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
         pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def frequent_pairs(docs: DataFrame, least: int = LEAST) -> np.ndarray:
-    """Bits of the pair hashes that at least ``least`` pairs have, packed; 2 ** PAIR_BITS of them.
+def frequent_bits(docs: DataFrame, least: int = LEAST) -> np.ndarray:
+    """Bits of the hashes that at least ``least`` runs of one to four words have, packed; 2 ** HASH_BITS of them.
 
-    Each slice counts its own pairs; the counters of a bucket of hashes are added up in one task, a byte
+    Each slice counts its own; the counters of a bucket of hashes are added up in one task, a byte
     each that stops at 255, so that memory and what comes to the driver have a fixed bound.
     """
     if not 1 <= least <= 255:
@@ -108,7 +142,8 @@ def frequent_pairs(docs: DataFrame, least: int = LEAST) -> np.ndarray:
 
     def count(piece):
         found = _Words(piece)
-        key, n = np.unique(found.hashes(np.flatnonzero(found.pair)), return_counts=True)
+        keys = [found.keys(size, np.flatnonzero(begins)) for size, begins in enumerate(found.begins, start=1)]
+        key, n = np.unique(np.concatenate(keys), return_counts=True)
         buckets = np.unique(key >> _LOW)
         bounds = np.concatenate([np.searchsorted(key >> _LOW, buckets), [len(key)]]).astype(np.int64)
         return {
@@ -142,24 +177,15 @@ def frequent_pairs(docs: DataFrame, least: int = LEAST) -> np.ndarray:
 
 
 def edges_and_ends(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, size, phrase, n): runs of four words, and the last three, two and one words of each run of text.
+    """(lang, size, phrase, n): edges, corrections of one to three words, and the words of each language as size 0.
 
-    A run of text ends at the end of a piece and between two words that the bits call infrequent.
+    From a place where not even the word is frequent there is no row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def work(piece):
         found = _Words(piece)
-        at = np.flatnonzero(found.pair)
-        key = found.hashes(at)
-        kept = shared.value[key >> 3] >> (key & 7).astype(np.uint8) & 1
-        go = np.zeros(len(found.index) + 3, bool)
-        go[at] = kept.astype(bool)
-        edges = np.flatnonzero(go[:-2] & go[1:-1] & go[2:])
-        end = np.flatnonzero(found.word & ~go[:len(found.index)])
-        two = end[go[end - 1] & (end > 0)]
-        three = two[go[two - 2] & (two > 1)]
-        parts = [found.runs(edges, 4), found.runs(three - 2, 3), found.runs(two - 1, 2), found.runs(end, 1)]
+        parts = [found.totals(), *(found.runs(at, size) for size, at in enumerate(found.longest(shared.value), start=1))]
         return {
             "size": np.concatenate([p["size"] for p in parts]), "n": np.concatenate([p["n"] for p in parts]),
             **{c: pa.concat_arrays([p[c] for p in parts]) for c in ("lang", "phrase")},
@@ -175,11 +201,10 @@ def _without_last(phrase: Column, size: int) -> Column:
 def flows(table: DataFrame, name: str = "runs") -> list[DataFrame]:
     """Occurrences of runs of one, two, three and four words, each from the runs one longer and the corrections.
 
-    Of runs of two and more words only those count fully all whose pairs are frequent, as every phrase
-    of ``LEAST`` occurrences is.
+    Those of ``LEAST`` occurrences are counted whole, others at most as often as they occur.
     """
-    found = [stored(table.where("size = 4"), f"{name}-4")]
-    for size in (3, 2, 1):
+    found = [table.where("size = 4")]
+    for size in range(LONGEST - 1, 0, -1):
         left = found[0].select(
             "lang", F.lit(size).alias("size"), _without_last(F.col("phrase"), size + 1).alias("phrase"), "n")
         both = left.unionByName(table.where(F.col("size") == size))
@@ -233,14 +258,16 @@ def paths(nodes: DataFrame, edges: DataFrame, name: str = "paths") -> DataFrame:
     return state.select("lang", F.col("back").alias("path"), "place", "phrase", "n")
 
 
-def _looked_up(rows: DataFrame, counts: DataFrame, on: str, small: bool) -> DataFrame:
-    """``rows`` with the count of the phrase in column ``on``; rows of one frequent word are dealt out."""
+def _looked_up(rows: DataFrame, counts: DataFrame, on: str, hot: int) -> DataFrame:
+    """``rows`` with the count of the phrase in column ``on``.
+
+    A phrase that occurs n times begins or ends n / LEAST candidates at most. Those of more than
+    ``hot`` occurrences, which are few, are broadcast; rows of all others are joined by phrase.
+    """
     counts = counts.select("lang", F.col("phrase").alias(on), F.col("n").alias(f"n_{on}"))
-    if small:
-        return rows.join(F.broadcast(counts), ["lang", on])
-    rows = rows.withColumn("salt", F.pmod(F.hash("phrase"), F.lit(SALTS)))
-    counts = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(counts, ["lang", on, "salt"]).drop("salt")
+    often = F.col(f"n_{on}") > hot
+    key = ["lang", on]
+    return rows.join(F.broadcast(counts.where(often)), key).unionByName(rows.join(counts.where(~often), key))
 
 
 def _at_least(longer: Column, shorter: Column, percent: int) -> Column:
@@ -248,14 +275,14 @@ def _at_least(longer: Column, shorter: Column, percent: int) -> Column:
     return wide(longer) * 100 >= wide(shorter) * percent
 
 
-def scored(candidates: DataFrame, counts: DataFrame, small: bool) -> DataFrame:
+def scored(candidates: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
     """(lang, phrase, a, l, r, score) of the lowest-scoring cut of each candidate, of equal ones the first."""
     cuts = candidates.select(
         "lang", "phrase", F.col("n").alias("a"), F.explode(F.expr("sequence(1, size - 1)")).alias("k"), "size")
     cuts = cuts.select(
         "lang", "phrase", "a", "k", F.expr("substring_index(phrase, ' ', k)").alias("left"),
         F.expr("substring_index(phrase, ' ', k - size)").alias("right"))
-    cuts = _looked_up(_looked_up(cuts, counts, "left", small), counts, "right", small)
+    cuts = _looked_up(_looked_up(cuts, counts, "left", hot), counts, "right", hot)
     score = F.expr(
         "cast(a AS decimal(20,0)) * cast(2000000 AS decimal(7,0)) div (cast(n_left AS decimal(20,0)) + cast(n_right AS decimal(20,0)))")
     best = cuts.groupBy("lang", "phrase", "a").agg(
@@ -293,21 +320,27 @@ def collocations(docs: DataFrame, least: int = LEAST, reported: int = REPORTED)
     occur; a text of any length is read whole. Equal scores go by count, then by phrase. An empty table, or one
     without a phrase of ``least`` occurrences, gives no rows. Other columns are not read.
     """
+    counts, n = phrase_counts(docs, least)
+    candidates = counts.where("size > 1")
+    left = uncovered(candidates, unary_nodes(counts.where("size = 3"), counts.where("size = 4")))
+    hot = n.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0] // HOT
+    return first_of_each(scored(left, counts, hot), reported).join(n, "lang").select(
+        "lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
+
+
+def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(lang, size, phrase, n) of all phrases of one to four words with ``least`` occurrences, and (lang, words)."""
     spark = docs.sparkSession
     at = fresh_path(spark, "edges")
-    table = stored(edges_and_ends(docs, frequent_pairs(docs, least)), "edges", at)
+    table = stored(edges_and_ends(docs, frequent_bits(docs, least)), "edges", at)
     runs = flows(table)
-    removed(spark, at)
-    n = runs[0].groupBy("lang").agg(F.sum("n").alias("words"))
     counts = runs[0]
     for longer in runs[1:]:
         counts = counts.unionByName(longer)
     counts = stored(counts.where(F.col("n") >= least), "phrases")
-    candidates = counts.where("size > 1")
-    left = uncovered(candidates, unary_nodes(counts.where("size = 3"), counts.where("size = 4")))
-    best = scored(left, counts, counts.count() <= BROADCAST_ROWS)
-    return first_of_each(best, reported).join(n, "lang").select(
-        "lang", "rank", "phrase", "a", "l", "r", F.col("words").alias("n"), "score")
+    n = materialise(table.where("size = 0").select("lang", F.col("n").alias("words")))
+    removed(spark, at)
+    return counts, n
 
 
 def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -315,6 +348,5 @@ def passages(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     Edges of one ``path`` in order of ``place`` spell a passage of place + 4 words.
     """
-    table = stored(edges_and_ends(docs, frequent_pairs(docs, least)), "edges")
-    runs = flows(table)
-    return paths(runs[2].where(F.col("n") >= least), runs[3].where(F.col("n") >= least))
+    counts, _ = phrase_counts(docs, least)
+    return paths(counts.where("size = 3"), counts.where("size = 4"))

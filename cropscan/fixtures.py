@@ -27,6 +27,13 @@ IMAGE_THRESHOLD = 4190
 # Fixed k-means centres for Scaled_NDVI, LCI, LAI, GNDVI, SCI; cluster 0 is "harvested".
 CENTRES = ((0.3, 0.3, 0.5, 0.3, 0.7), (0.5, 0.5, 0.5, 0.5, 0.5), (0.7, 0.7, 0.5, 0.7, 0.3))
 
+# Fixed starts of several fits, with one centre that no pixel is nearest to.
+STARTS = (
+    CENTRES,
+    ((0.1, 0.1, 0.1, 0.1, 0.9), (0.9, 0.9, 0.9, 0.9, 0.1), (9.0, 9.0, 9.0, 9.0, 9.0)),
+    ((0.2, 0.8, 0.5, 0.5, 0.5), (0.8, 0.2, 0.5, 0.5, 0.5), (0.5, 0.5, 0.2, 0.8, 0.5)),
+)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -67,7 +67,8 @@ def fit_restarts(
 
     ``parallelism`` fits run side by side, to fill the gaps between short jobs. Each keeps its own
     cached blocks of the features, which spill to disk where memory is short: pass 1
-    for features near the size of the cluster's storage memory. Equal costs are ordered by
+    for features near the size of the cluster's storage memory, or take ``restarts.fit_together``, which
+    passes over the features once for all seeds. Equal costs are ordered by
     seed. The features are removed afterwards, so of a model's summary only figures stay.
     """
     seeds = list(seeds)
@@ -94,7 +95,10 @@ def load_model(path: str) -> KMeansModel:
     return KMeansModel.load(path)
 
 
-def model_centres(model: KMeansModel) -> list[list[float]]:
+def model_centres(model) -> list[list[float]]:
+    """Centres of a KMeansModel, or of a fit that holds them as ``centres``."""
+    if hasattr(model, "centres"):
+        return [list(centre) for centre in model.centres]
     return [[float(v) for v in centre] for centre in model.clusterCenters()]
 
 

@@ -224,6 +224,35 @@ def _audit_sql() -> str:
   CAST(0 AS BIGINT) AS misplaced FROM pixel_obs WHERE {_CLEAR} GROUP BY tile_x, tile_y, pixel_obs.date"""
 
 
+# The starts of several fits, as in the fixtures.
+STARTS = (
+    CENTRES,
+    ((0.1, 0.1, 0.1, 0.1, 0.9), (0.9, 0.9, 0.9, 0.9, 0.1), (9.0, 9.0, 9.0, 9.0, 9.0)),
+    ((0.2, 0.8, 0.5, 0.5, 0.5), (0.8, 0.2, 0.5, 0.5, 0.5), (0.5, 0.5, 0.2, 0.8, 0.5)),
+)
+
+
+def _restarts_sql(steps: int = 2) -> str:
+    """Each start on its own: nearest centre of every pixel, then means, twice; then the cost."""
+    listed = ", ".join(
+        f"({i}, {c}, {', '.join(f'CAST({v} AS DOUBLE)' for v in centre)})"
+        for i, start in enumerate(STARTS) for c, centre in enumerate(start))
+    gap = " + ".join(f"(p.{f}-m.{f})*(p.{f}-m.{f})" for f in FEATURES)
+    names = ", ".join(FEATURES)
+    parts = [f"points AS (SELECT row_number() OVER () AS id, {names} FROM scored)", f"m0(start, c, {names}) AS (VALUES {listed})"]
+    for k in range(steps):
+        parts += [
+            f"n{k} AS (SELECT start, id, min(struct_pack(d := {gap}, c := c)).c AS c FROM points p, m{k} m GROUP BY start, id)",
+            f"a{k} AS (SELECT start, c, {', '.join(f'avg({f}) AS {f}' for f in FEATURES)} FROM n{k} JOIN points USING (id) GROUP BY start, c)",
+            f"m{k + 1} AS (SELECT start, c, {', '.join(f'coalesce(a.{f}, m.{f}) AS {f}' for f in FEATURES)} FROM m{k} m LEFT JOIN a{k} a USING (start, c))",
+        ]
+    parts.append(
+        f"costs AS (SELECT start, sum(d) AS cost FROM (SELECT start, id, min({gap}) AS d FROM points p, m{steps} m GROUP BY start, id) GROUP BY start)")
+    return f"""WITH {SCORED}, {", ".join(parts)}
+SELECT CAST(start AS INTEGER) AS start, CAST(c AS INTEGER) AS prediction,
+  {", ".join(f"round({f}, 5) AS {f}" for f in FEATURES)}, round(cost, 5) AS cost FROM m{steps} JOIN costs USING (start)"""
+
+
 ORACLE: dict[str, str] = {
     "harvest_report": f"""WITH {PAINTED}, stats AS (
   SELECT tile_x, tile_y, date, count(prediction) AS clear_pixels,
@@ -411,6 +440,7 @@ SELECT key, regexp_extract_all(key, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')[-1] AS l
 FROM range(10) t(seed) WHERE EXISTS (SELECT 1 FROM lineitem)""",
     "kmeans_given_start": f"""{_MOVED} SELECT c AS prediction,
   {", ".join(f"round(avg({f}), 6) AS {f}" for f in FEATURES)} FROM near1 GROUP BY 1""",
+    "kmeans_given_starts": _restarts_sql(),
     "cluster_centers": """SELECT CAST(c AS INTEGER) AS prediction, TRUE AS has_members, TRUE AS is_mean
 FROM range(5) t(c) WHERE EXISTS (SELECT 1 FROM lineitem)""",
     "kmeans_assign": f"WITH {SCORED} SELECT {KEYS}, NDVI, prediction FROM scored",

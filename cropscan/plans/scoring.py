@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropscan.functions.indices import with_indices
 from cropscan.functions.quality import clear_pixels, is_clear, is_inside
 from cropscan.operators.clustering import (
-    SCALED_FEATURES, Centres, assign_clusters, centres_table, cluster_profile, fit_best_of,
-    fit_kmeans, model_centres, nearest_centre,
+    SCALED_FEATURES, Centres, assign_clusters, centres_table, cluster_profile, fit_kmeans,
+    model_centres, nearest_centre,
 )
 from cropscan.operators.harvest import harvest_stats, with_yield
 from cropscan.operators.masks import inside_mask, with_mask
+from cropscan.operators.restarts import Restart, fit_together
 from cropscan.operators.scaling import SCENE, Moments, minmax_scaled, moments, standard_scaled
 from cropscan.sources.pixels import rows_to_table
 
@@ -90,9 +90,9 @@ def harvest_report(
 
 def train_scaled(
     pixels: DataFrame, clusters: int = 3, features: Sequence[str] = SCALED_FEATURES, **options
-) -> KMeansModel:
-    """Restarted k-means on globally scaled clear pixels."""
-    return fit_best_of(prepared(pixels, features, "global"), features, clusters, **options)
+) -> Restart:
+    """The best of several k-means fits on globally scaled clear pixels."""
+    return fit_together(prepared(pixels, features, "global"), features, clusters, **options)[0]
 
 
 def trained_report(pixels: DataFrame, clusters: int = 3, **options) -> DataFrame:

@@ -20,6 +20,7 @@ from cropscan.operators import clustering as cl
 from cropscan.operators import harvest as hv
 from cropscan.operators import lots as lt
 from cropscan.operators import raster as rs
+from cropscan.operators import restarts as re
 from cropscan.operators import scaling as sc
 from cropscan.operators import scenes as sn
 from cropscan.operators import timeseries as ts
@@ -29,7 +30,7 @@ from cropscan.plans import (
     train_standardised,
 )
 from cropscan.plans import trained_report as plan_trained_report
-from cropscan.session import fresh_path
+from cropscan.session import fresh_path, stored
 from cropscan.sources import (
     json_field, read_csv, read_geojson, read_pixels, read_predictions, save_clustered, scan_table,
     write_collections, write_csv, write_pixels, write_predictions,
@@ -629,10 +630,10 @@ def kmeans_fit(spark, sf_dir):
 def kmeans_best_of(spark, sf_dir):
     """Per restart: better than one cluster, and chosen exactly where the cost is lowest."""
     ready = prepared(fx.pixel_obs(spark, sf_dir), scope="global")
-    fits = cl.fit_restarts(ready, cl.SCALED_FEATURES, clusters=3)
+    fits = re.fit_together(ready, cl.SCALED_FEATURES, clusters=3)
     single = cl.one_cluster_cost(ready, cl.SCALED_FEATURES)
-    costs = {seed: fit.summary.trainingCost for seed, fit in fits}
-    chosen = fits[0][0]
+    costs = {fit.seed: fit.cost for fit in fits}
+    chosen = fits[0].seed
     best = min(costs, key=lambda seed: (costs[seed], seed))
     rows = [(seed, cost <= single, (seed == chosen) == (seed == best)) for seed, cost in costs.items()]
     return spark.createDataFrame(rows, "seed INT, below_one_cluster BOOLEAN, chosen_by_cost BOOLEAN")
@@ -656,6 +657,19 @@ def kmeans_given_start(spark, sf_dir):
     return _rounded(cl.centres_table(spark, centres, cl.SCALED_FEATURES), *cl.SCALED_FEATURES)
 
 
+@query
+def kmeans_given_starts(spark, sf_dir):
+    """Centres and cost after two Lloyd steps from each of several starts, in one pass a step."""
+    table = stored(re.feature_rows(_scored(spark, sf_dir), cl.SCALED_FEATURES), "features")
+    fits = re.fit_from_starts(table, cl.SCALED_FEATURES, fx.STARTS, max_iter=2, tol=0.0)
+    costs = re.costs_together(table, cl.SCALED_FEATURES, [centres for centres, _, _ in fits])
+    rows = [
+        (i, c, *centre, cost) for i, ((centres, _, _), cost) in enumerate(zip(fits, costs, strict=True))
+        for c, centre in enumerate(centres)]
+    columns = ", ".join(f"{f} DOUBLE" for f in cl.SCALED_FEATURES)
+    return _rounded(spark.createDataFrame(rows, f"start INT, prediction INT, {columns}, cost DOUBLE"), *cl.SCALED_FEATURES, "cost", places=5)
+
+
 @query
 def kmeans_assign(spark, sf_dir):
     return _scored(spark, sf_dir).select(*PIXEL, "NDVI", "prediction")

@@ -132,13 +132,17 @@ def painted(prediction: Column, palette: Sequence[Colour] = CLUSTER_PALETTE) ->
 
 
 def overlay(
-    image: DataFrame, predictions: DataFrame, palette: Sequence[Colour] = CLUSTER_PALETTE
+    image: DataFrame, predictions: DataFrame, palette: Sequence[Colour] = CLUSTER_PALETTE,
+    clustered: bool = False,
 ) -> DataFrame:
     """Paint stored predictions over the image; pixels without one keep their colour.
 
-    Both sides are keyed by pixel, so the shuffle of the join has no hot key.
+    Both sides are keyed by pixel, so the shuffle of the join has no hot key. ``clustered`` says that both
+    are tables of as many buckets by pixel: they are then joined bucket by bucket, and nothing is shuffled.
     """
     keyed = predictions.select(*PIXEL, "prediction")
+    if clustered:
+        keyed = keyed.hint("merge")
     return image.join(keyed, list(PIXEL), "left").select(
         *PIXEL, *painted(F.col("prediction"), palette)
     )

@@ -185,18 +185,23 @@ def fit_from_starts(
     return list(zip(current, steps, done, strict=True))
 
 
-def fit_together(
-    pixels: DataFrame, features: Sequence[str], clusters: int, seeds: Iterable[int] = range(10),
+def fit_rows(
+    table: DataFrame, features: Sequence[str], clusters: int, seeds: Iterable[int] = range(10),
     max_iter: int = 300, tol: float = 1e-4,
 ) -> list[Restart]:
-    """One fit per seed, best (lowest cost, then lowest seed) first.
+    """One fit per seed over stored ``feature_rows``, best (lowest cost, then lowest seed) first."""
+    seeds = list(seeds)
+    starts = seeded_starts(table, features, clusters, seeds)
+    fits = fit_from_starts(table, features, starts, max_iter, tol)
+    costs = costs_together(table, features, [centres for centres, _, _ in fits])
+    found = [Restart(seed, fit[0], cost, *fit[1:]) for seed, fit, cost in zip(seeds, fits, costs, strict=True)]
+    return sorted(found, key=lambda r: (r.cost, r.seed))
+
+
+def fit_together(pixels: DataFrame, features: Sequence[str], clusters: int, **options) -> list[Restart]:
+    """One fit per seed, best first, over features that are stored for the time of the fits.
 
     Rows with a null feature take no part. Without any row there is nothing to fit, which is an error.
     """
-    seeds = list(seeds)
     with stored_for_a_while(feature_rows(pixels, features), "features") as table:
-        starts = seeded_starts(table, features, clusters, seeds)
-        fits = fit_from_starts(table, features, starts, max_iter, tol)
-        costs = costs_together(table, features, [centres for centres, _, _ in fits])
-    found = [Restart(seed, fit[0], cost, *fit[1:]) for seed, fit, cost in zip(seeds, fits, costs, strict=True)]
-    return sorted(found, key=lambda r: (r.cost, r.seed))
+        return fit_rows(table, features, clusters, **options)

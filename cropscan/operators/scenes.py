@@ -124,15 +124,35 @@ def scene_positions(rows: DataFrame) -> DataFrame:
     return scenes.withColumn("day_no", F.dense_rank().over(order) - 1)
 
 
-def scene_slice(pixels: DataFrame, start: int, stop: int) -> DataFrame:
+def scene_slice(
+    pixels: DataFrame, start: int, stop: int, scenes: DataFrame | None = None, clustered: bool = False,
+) -> DataFrame:
     """Pixels of the scenes at positions start..stop-1 of each tile.
 
-    Positions are worked out on the scene list, so no window runs over pixels.
+    Positions are worked out on the scene list, so no window runs over pixels. ``scenes`` is that list where
+    one is kept, such as a stored report; it is read from the pixels otherwise, which for a table bucketed by
+    scene needs no exchange of them.
+
+    The list is measured and broadcast, or joined by salted shuffle beyond the bound. With ``clustered``, for
+    pixels bucketed by scene, it is dealt out to the buckets instead: no job runs ahead, no pixel is
+    exchanged at any number of scenes. ``sliced_dates`` is for tables with one folder per date.
     """
-    chosen = scene_positions(pixels).filter(F.col("day_no").between(start, stop - 1))
+    chosen = scene_positions(pixels if scenes is None else scenes).filter(F.col("day_no").between(start, stop - 1))
+    if clustered:
+        return pixels.join(chosen.hint("merge"), list(SCENE))
     return lookup_join(pixels, chosen, SCENE, spread=("x", "y"))
 
 
+def sliced_dates(pixels: DataFrame, start: int, stop: int, scenes: DataFrame) -> DataFrame:
+    """``scene_slice`` of a table with one folder per date: other dates are never opened.
+
+    The scene list is broadcast as it stands, with its condition on the position, from which Spark takes the
+    folders to read when the query runs. It has one row per scene: a kept list of millions fits.
+    """
+    chosen = scene_positions(scenes).filter(F.col("day_no").between(start, stop - 1))
+    return pixels.join(F.broadcast(chosen), list(SCENE))
+
+
 def with_cloud_cover(scenes: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """Scenes with the cloud cover of their metadata document, null where there is none.
 

@@ -33,7 +33,7 @@ from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path, stored
 from cropscan.sources import (
     json_field, read_csv, read_geojson, read_pixels, read_predictions, save_clustered, scan_table,
-    write_collections, write_csv, write_pixels, write_predictions,
+    scenes_of, write_collections, write_csv, write_pixels, write_predictions,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,8 +99,7 @@ def harvest_report_query(spark, sf_dir):
 @query
 def harvest_report_clustered(spark, sf_dir):
     """The same over a table bucketed by scene."""
-    name = f"pixels_{uuid.uuid4().hex}"
-    table = save_clustered(fx.pixel_obs(spark, sf_dir), name, fresh_path(spark, name), buckets=8)
+    table = _clustered(fx.pixel_obs(spark, sf_dir), "pixels", sc.SCENE)
     return harvest_report(table, fx.CENTRES, clustered=True)
 
 
@@ -359,6 +358,26 @@ def scene_slice(spark, sf_dir):
     return sn.scene_slice(fx.pixel_obs(spark, sf_dir), 1, 3).select(*PIXEL, "day_no")
 
 
+def _clustered(rows: DataFrame, name: str, keys) -> DataFrame:
+    name = f"{name}_{uuid.uuid4().hex}"
+    return save_clustered(rows, name, fresh_path(rows.sparkSession, name), buckets=8, keys=keys)
+
+
+@query
+def scene_slice_clustered(spark, sf_dir):
+    """The same slice of a table bucketed by scene, with positions from the buckets themselves."""
+    pixels = _clustered(fx.pixel_obs(spark, sf_dir), "pixels", sc.SCENE)
+    return sn.scene_slice(pixels, 1, 3, clustered=True).select(*PIXEL, "day_no")
+
+
+@query
+def scene_slice_dates(spark, sf_dir):
+    """The same slice of a table with a folder per date, with positions from a stored list of scenes."""
+    pixels = _stored_pixels(spark, sf_dir)
+    scenes = stored(scenes_of(pixels), "scenes")
+    return sn.sliced_dates(pixels, 1, 3, scenes).select(*PIXEL, "day_no")
+
+
 # Joins.
 
 
@@ -439,6 +458,14 @@ def overlay_join(spark, sf_dir):
     return rs.overlay(fx.pixel_obs(spark, sf_dir), read_predictions(spark, path))
 
 
+@query
+def overlay_clustered(spark, sf_dir):
+    """The same from pixels and predictions in buckets by pixel."""
+    pixels = _clustered(fx.pixel_obs(spark, sf_dir), "pixels", PIXEL)
+    predictions = _clustered(scored(pixels, fx.CENTRES).select(*PIXEL, "prediction"), "predictions", PIXEL)
+    return rs.overlay(pixels, predictions, clustered=True)
+
+
 # Aggregations.
 
 
@@ -630,8 +657,9 @@ def kmeans_fit(spark, sf_dir):
 def kmeans_best_of(spark, sf_dir):
     """Per restart: better than one cluster, and chosen exactly where the cost is lowest."""
     ready = prepared(fx.pixel_obs(spark, sf_dir), scope="global")
-    fits = re.fit_together(ready, cl.SCALED_FEATURES, clusters=3)
-    single = cl.one_cluster_cost(ready, cl.SCALED_FEATURES)
+    table = stored(re.feature_rows(ready, cl.SCALED_FEATURES), "features")
+    fits = re.fit_rows(table, cl.SCALED_FEATURES, clusters=3)
+    single = cl.one_cluster_cost(table, cl.SCALED_FEATURES)
     costs = {fit.seed: fit.cost for fit in fits}
     chosen = fits[0].seed
     best = min(costs, key=lambda seed: (costs[seed], seed))

@@ -51,16 +51,19 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return read_pixels(spark, path, PREDICTION_SCHEMA)
 
 
-def save_clustered(pixels: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
-    """The pixels as table ``name`` under ``path``, bucketed and sorted by scene.
-
-    A scene's rows are in one bucket, so grouping or joining on the scene needs no exchange. A scene
-    is an image, which bounds its rows; with more scenes take more buckets.
+def save_clustered(
+    pixels: DataFrame, name: str, path: str, buckets: int, keys: Sequence[str] = SCENE
+) -> DataFrame:
+    """The pixels as table ``name`` under ``path``, bucketed and sorted by ``keys``.
+
+    Rows of equal keys are in one bucket, so grouping or joining on them needs no exchange. By scene, for
+    reports: a scene is an image, which bounds its rows. By ``PIXEL``, for pixels and predictions that are painted
+    together: tables of as many buckets are joined bucket by bucket. With more rows take more buckets.
     """
     (
-        pixels.repartition(buckets, *SCENE)
+        pixels.repartition(buckets, *keys)
         .write.mode("overwrite").option("path", path)
-        .bucketBy(buckets, *SCENE).sortBy(*SCENE)
+        .bucketBy(buckets, *keys).sortBy(*keys)
         .saveAsTable(name)
     )
     return pixels.sparkSession.table(name)

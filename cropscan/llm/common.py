@@ -63,6 +63,22 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until it is no column of ``docs``, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def text_digest():
+    """SHA-256 of the whole text, null read as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+
+
 #: Rows up to which a stored table of narrow rows is broadcast; a longer one is joined by shuffling.
 BROADCAST_ROWS = 2_000_000
 

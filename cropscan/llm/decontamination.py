@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import bounded, texts
+from .common import bounded, free_names, prepare, text_digest, texts
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -78,10 +78,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     similar is told, the first of equals. Null and empty texts, on either side, and empty tables
     give no rows. Rows that share a doc_id are told together; a null doc_id cannot be told.
     """
+    return _matches(texts(docs), benchmark, shingle, similarity)
+
+
+def _matches(source: DataFrame, benchmark: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``contaminated`` for (doc_id, text) rows, with a doc_id of any type."""
     items = stored(benchmark_items(benchmark, shingle), "items")
     n_items = items.count()
     if not n_items:
-        return docs.sparkSession.createDataFrame([], _RESULT)
+        return source.limit(0).select("doc_id", *(F.lit(None).cast(kind).alias(name) for name, kind in _RESULT.items()))
     item_shingles = stored(
         items.select("item_id", "n_words", "k", F.posexplode("hashes").alias("item_pos", "hash")), "item-shingles")
     known = item_shingles.groupBy("k", "hash").agg(F.countDistinct("item_id").alias("n"))
@@ -89,7 +94,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
     unseen = F.log1p(F.lit(float(n_items)))
 
     # Where documents carry a shingle of an item, and the windows that line up with it.
-    source = texts(docs)
     sizes = [r["k"] for r in items.select("k").distinct().collect()]  # at most ``shingle`` numbers
     anchors = bounded(stored(
         item_shingles.groupBy("k", "hash", "n_words").agg(F.collect_set("item_pos").alias("places")), "anchors"))
@@ -153,10 +157,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE,
         "best.hamming", "best.similarity")
 
 
-_RESULT = "doc_id long, item_id long, n_words int, start_word int, hamming int, similarity double"
+_RESULT = {"item_id": "long", "n_words": "int", "start_word": "int", "hamming": "int", "similarity": "double"}
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item, with all their columns; a null doc_id stays."""
-    bad = stored(contaminated(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(bounded(bad), docs["doc_id"].cast("long") == bad["doc_id"], "left_anti")
+    """The documents that hold no item, with all their columns.
+
+    Texts are told by their digest: of rows that share a doc_id only those with an item go, and a null
+    doc_id is no shelter. Null and empty texts stay; without items all rows do. An empty table gives no rows.
+    """
+    prepare(docs.sparkSession)
+    (digest,) = free_names(docs, "_digest")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(text_digest().alias("doc_id"), text.alias("text"))
+    found = _matches(source, benchmark, SHINGLE, SIMILARITY).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = stored(found, "contaminated")
+    keyed = docs.withColumn(digest, text_digest())
+    return keyed.join(bounded(bad), keyed[digest] == bad["_bad"], "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import bounded, texts
+from .common import bounded, free_names, text_digest, texts
 from .cuckoo import LiveDigests
 
 #: Live digests that one index bucket is meant to hold.
@@ -134,19 +134,23 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; a row repeated in full stays once."""
+    """The documents that stay, with all their columns; a row repeated in full stays once.
+
+    Null ids and null texts are as in ``exact_duplicates``; an empty table gives no rows. The columns may have any names.
+    """
     rows, live = _live(docs)
     judged = rows.join(live.hint("merge"), "digest").withColumn("_mark", F.xxhash64("digest"))
     is_kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     gone = stored(judged.where(~is_kept).select(F.col("doc_id").alias("_id"), "_mark").distinct(), "copies")
-    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
-    keyed = docs.withColumn("_doc", F.col("doc_id").cast("long")).withColumn("_own", F.xxhash64(digest))
-    same = keyed["_doc"].eqNullSafe(gone["_id"]) & (keyed["_own"] == gone["_mark"])
+    # Columns beside the user's own, under names that are not among them.
+    doc, own = free_names(docs, "_doc", "_own")
+    keyed = docs.withColumn(doc, F.col("doc_id").cast("long")).withColumn(own, F.xxhash64(text_digest()))
+    same = keyed[doc].eqNullSafe(gone["_id"]) & (keyed[own] == gone["_mark"])
     kept = keyed.join(bounded(gone), same, "left_anti")
     # Rows that repeat doc_id and text are rare; only where there are any, they are merged.
     twice = stored(judged.where(is_kept).groupBy("_mark").count().where("count > 1").select("_mark"), "repeated-rows")
     if not twice.isEmpty():
-        again = keyed["_own"] == twice["_mark"]
+        again = keyed[own] == twice["_mark"]
         once = kept.join(bounded(twice), again, "left_anti")
-        kept = once.unionByName(kept.join(bounded(twice), again, "left_semi").dropDuplicates(["_own"]))
+        kept = once.unionByName(kept.join(bounded(twice), again, "left_semi").dropDuplicates([own]))
     return kept.select(*docs.columns)

@@ -41,7 +41,8 @@ def learn(labelled: DataFrame, passages: int = PASSAGES) -> dict[str, bytes]:
     """Raw-content dictionaries by language, from (doc_id, text, lang) rows.
 
     Of each language, about ``passages`` documents chosen by a hash of doc_id give one passage each; the
-    passage begins at a place that another hash chooses. Null lang is no language.
+    passage begins at a place that another hash chooses. Null lang is no language. Repeated rows are drawn
+    alike; without a labelled row with text, as in an empty table, there is no dictionary.
     """
     rows = labelled.where(F.col("lang").isNotNull() & (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -152,7 +153,14 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
-    """The rows whose language is told with a margin, with all their columns as they were."""
+    """The rows whose language is told with a margin, with all their columns as they were.
+
+    Null text and text without a letter are rejected; ids, repeated rows and other columns have no part in it.
+    An empty table gives no rows. Without any dictionary no language can be told or rejected, and
+    all rows stay.
+    """
+    if not dictionaries:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast((dictionaries, least_margins(dictionaries)))
 
     def keep(batches):

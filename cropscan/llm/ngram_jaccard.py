@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cropscan.session import stored
 
-from .common import bounded, coded, mixed, per_slice, texts, trimmed, word_hashes, words
+from .common import bounded, coded, free_names, mixed, per_slice, text_digest, texts, trimmed, word_hashes, words
 from .components import components
 
 #: Bits of one block.
@@ -318,6 +318,24 @@ def _rest(open_buckets: DataFrame, docs: DataFrame, labels: DataFrame, rule: Sim
         F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _numbered(docs: DataFrame) -> DataFrame | None:
+    """(own, doc_id, text, digest) where some doc_id has several rows, each with a number of its own; else None."""
+    rows = texts(docs)
+    if rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return None
+    return stored(rows.select(F.monotonically_increasing_id().alias("own"), "doc_id", "text", text_digest().alias("digest")), "numbered")
+
+
+def _by_row(numbered: DataFrame, rule: Similarity, rounds: int) -> DataFrame:
+    """(own, doc_id, digest, n_shingles, component) of the rows as documents of their own; null ids link nothing."""
+    known = _components(numbered.where("doc_id is not null").select(F.col("own").alias("doc_id"), "text"), rule, rounds)
+    lone = sketched(numbered.where("doc_id is null").select(F.col("own").alias("doc_id"), "text"), rule)
+    every = known.unionByName(lone.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    named = numbered.select("own", F.col("doc_id").alias("id"), "digest")
+    return named.join(every.withColumnRenamed("doc_id", "own"), "own").select(
+        "own", F.col("id").alias("doc_id"), "digest", "n_shingles", F.col("component_id").alias("component"))
+
+
 def jaccard_components(docs: DataFrame, rule: Similarity = Similarity(), rounds: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
@@ -326,8 +344,23 @@ def jaccard_components(docs: DataFrame, rule: Similarity = Similarity(), rounds:
     partner; then every pair that may still join two components is. A pair inside
     one component is never needed. Null and empty texts link with nothing. A null doc_id gets
     a null component and links nothing; rows that share a doc_id are one document, as
-    if linked. An empty table gives no rows.
+    if linked, each with the size of its own set. An empty table gives no rows.
     """
+    numbered = _numbered(docs)
+    if numbered is None:
+        return _components(docs, rule, rounds)
+    rows = stored(_by_row(numbered, rule, rounds), "row-components")
+    ids = rows.where("component is not null").select("doc_id", "component").distinct()
+    first = ids.groupBy("doc_id").agg(F.min("component").alias("a"))
+    edges = ids.join(first, "doc_id").where("component <> a").select("a", F.col("component").alias("b")).distinct()
+    joined = rows.join(components(edges).withColumnRenamed("node", "component"), "component", "left").withColumn(
+        "component", F.coalesce("label", "component"))
+    names = joined.groupBy("component").agg(F.min("doc_id").alias("component_id")).where("component is not null")
+    return joined.join(names, "component", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, rule: Similarity, rounds: int) -> DataFrame:
+    """``jaccard_components`` of rows whose doc_ids differ or are null."""
     rows = stored(sketched(docs, rule), "parity-sketches")
     named = rows.where("doc_id is not null and n_shingles > 0")
     classes = stored(named.groupBy("signature").agg(F.min("doc_id").alias("node")), "shingle-classes")
@@ -362,8 +395,24 @@ def jaccard_components(docs: DataFrame, rule: Similarity = Similarity(), rounds:
     return own.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, rule: Similarity = Similarity()) -> DataFrame:
-    """The documents whose doc_id names their component, with all their columns; a null doc_id stays."""
-    found = jaccard_components(docs, rule)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(bounded(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+def one_of_each(docs: DataFrame, rule: Similarity = Similarity(), rounds: int = 2) -> DataFrame:
+    """Of each group of linked documents the one of smallest doc_id, with all its columns; a null doc_id stays.
+
+    Here rows that share a doc_id are documents of their own, told apart by their text: a text goes only
+    where one that it is linked with stays. Of equal smallest doc_ids any one stays; a row repeated in full is one
+    document and stays as often as it occurs. Texts without a word stay. An empty table gives no rows.
+    """
+    numbered = _numbered(docs)
+    if numbered is None:
+        found = _components(docs, rule, rounds)
+        gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+        return docs.join(bounded(gone), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    rows = stored(_by_row(numbered, rule, rounds).where("component is not null"), "row-components")
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("best"))
+    lost = rows.join(best, "component").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("digest") != F.col("best.digest")))
+    # A row can be in one component only, and so can all rows of its text.
+    gone = stored(lost.select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_text")).distinct(), "near-copies")
+    (digest,) = free_names(docs, "_digest")
+    keyed = docs.withColumn(digest, text_digest())
+    same = (keyed["doc_id"].cast("long") == gone["_gone"]) & (keyed[digest] == gone["_text"])
+    return keyed.join(bounded(gone), same, "left_anti").select(*docs.columns)

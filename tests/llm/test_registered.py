@@ -20,7 +20,7 @@ def test_all_are_registered():
     import __spark_entry__ as entry
 
     assert QUERIES.keys() <= entry.queries().keys() and ORACLE.items() <= entry.oracle_sql().items()
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES if n != "pipeline") == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -8,6 +8,7 @@ base patterns find in the rewritten text is mapped back to source characters.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -208,12 +209,14 @@ def read_spelled(m: Mapped) -> Mapped:
 
 
 _AT_WORDS, _DOT_WORDS = "at|arroba|ät|chez|@", r"dot|punto|punkt|point|\."
-_OPEN, _CLOSE = r"[ \t]*+[\[({<|_*~-]{1,2}[ \t]*+", r"[ \t]*+[\])}>|_*~-]{1,2}[ \t]*+"
+# A run of blanks is entered at its first one only: a failed run of any length is read once.
+_BLANKS = r"(?<![ \t])[ \t]++"
+_OPEN, _CLOSE = rf"(?:{_BLANKS})?+[\[({{<|_*~-]{{1,2}}[ \t]*+", r"[ \t]*+[\])}>|_*~-]{1,2}[ \t]*+"
 _MARKED_AT = rf"{_OPEN}(?:{_AT_WORDS}){_CLOSE}"
 _MARKED_DOT = rf"{_OPEN}(?:{_DOT_WORDS}){_CLOSE}"
 _CODED_AT, _CODED_DOT = r"&#0*64;|&#x0*40;|&commat;|%40", r"&#0*46;|&#x0*2e;|&period;|%2e"
-_BARE_AT, _BARE_DOT = r"[ \t]++(?:at|arroba)[ \t]++", r"[ \t]++(?:dot|punto|punkt|point)[ \t]++"
-_SPACED_AT, _SPACED_DOT = r"[ \t]++@[ \t]*+|[ \t]*+@[ \t]++", r"[ \t]++\.[ \t]++"
+_BARE_AT, _BARE_DOT = rf"{_BLANKS}(?:at|arroba)[ \t]++", rf"{_BLANKS}(?:dot|punto|punkt|point)[ \t]++"
+_SPACED_AT, _SPACED_DOT = rf"{_BLANKS}@[ \t]*+|@[ \t]++", rf"{_BLANKS}\.[ \t]++"
 _ANY_AT = re.compile(rf"(?i){_MARKED_AT}|{_CODED_AT}|{_BARE_AT}|{_SPACED_AT}|@")
 _ANY_DOT = re.compile(rf"(?i){_MARKED_DOT}|{_CODED_DOT}|{_BARE_DOT}|{_SPACED_DOT}|\.")
 _STRONG_AT = re.compile(rf"(?i){_MARKED_AT}|{_CODED_AT}")
@@ -269,9 +272,11 @@ def read_at_and_dot(m: Mapped) -> Mapped:
                *((d.start(), d.end(), ".") for d in hidden)]
         edits += new
         done = end
-    taken = [(a, b) for a, b, _ in edits]
+    # Edits so far do not overlap: of those that begin before a dot ends, the last one reaches furthest.
+    taken = sorted((a, b) for a, b, _ in edits)
     for dot in _FIGURE_DOT.finditer(text):
-        if not any(a < dot.end() and dot.start() < b for a, b in taken):
+        before = bisect.bisect_left(taken, (dot.end(),)) - 1
+        if before < 0 or taken[before][1] <= dot.start():
             edits.append((dot.start(), dot.end(), "."))
     return m.rewrite(sorted(edits))
 
@@ -333,7 +338,9 @@ def disguised_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[s
     for kind, start, end in base_spans(m.text):
         lo, hi = int(m.lo[start]), int(m.hi[end - 1])
         rewritten = changed[end] > changed[start] or hi - lo != end - start
-        if rewritten and not any(a <= lo and hi <= b for a, b in known[kind]):
+        # Base spans of a kind do not overlap: only the last that begins here or before can hold this one.
+        before = bisect.bisect_right(known[kind], (lo, len(text) + 1)) - 1
+        if rewritten and (before < 0 or known[kind][before][1] < hi):
             out.append((kind, lo, hi))
     return out
 

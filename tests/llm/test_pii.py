@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -145,3 +146,41 @@ def test_rows_and_edges(spark):
     assert found[21][1] == 3
     assert pii.find_personal_data(make(spark, rows)).count() == len(rows)
     assert pii.find_personal_data(make(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("text, added", [
+    ("a . b" + " " * 200_000, 0), ("a . b" + "\t " * 100_000 + "x", 0), ("a [at] b" + " -" * 100_000, 0), (" @" * 100_000, 0),
+    ("john (at) mail (dot) com, " * 20_000, 20_000), ("a [at] b.com 1 . 1 " * 20_000, 20_000),
+])
+def test_long_blanks_and_many_spans_take_linear_time(text, added):
+    began = time.perf_counter()
+    assert pii.found(pa.array([text]))["n_disguised"] == [added]
+    assert time.perf_counter() - began < 10
+
+
+def _disguises(dice):
+    """(kind, text): one made-up identifier in one of the disguises that the transducers read."""
+    digits = lambda n: "".join(dice.choice("123456789") for _ in range(n))
+    wide = lambda s: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in s)
+    spelled = lambda s: " ".join("zero one two three four five six seven eight nine".split()[int(c)] for c in s)
+    at, dot = dice.choice([" [at] ", "(at)", " (at) ", " {at} ", "&#64;", " @ "]), dice.choice([" [dot] ", "(dot)", " dot ", " . ", "[.]"])
+    yield "email", f"jane{digits(2)}{at}mail{dot}example{dot}org"
+    yield "email", f"jane{digits(2)}@mail{dot}org"
+    ip = [str(dice.randint(1, 255)) for _ in range(4)]
+    yield "ip", dice.choice(["[.]", " dot ", " . ", "(dot)"]).join(ip)
+    yield "ip", wide(".".join(ip))
+    card = dice.choice(["4111111111111111", "5500005555555559", "6011000990139424"])
+    yield "card", dice.choice([wide(card), "/".join(card[i:i + 4] for i in range(0, 16, 4)), spelled(card)])
+    number = f"+{digits(2)} {digits(3)} {digits(6)}"
+    yield "phone", dice.choice([wide(number), "plus " + spelled(number.replace(" ", "")[1:])])
+
+
+def test_disguised_identifiers_are_found_by_kind():
+    """Recall on made-up disguises; the README states it."""
+    dice, hits = random.Random(11), {k: [] for k in pii.KINDS}
+    for _ in range(200):
+        for kind, secret in _disguises(dice):
+            spans = pii.found(pa.array([f"please note {secret} and nothing else"]))["spans"][0]
+            hits[kind].append(f"{kind}:12:{12 + len(secret)}" in spans.split(","))
+    recall = {k: sum(h) / len(h) for k, h in hits.items()}
+    assert all(r >= 0.95 for r in recall.values()), recall

@@ -1,0 +1,99 @@
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from cropscan.llm import collocations as co
+from helpers import EDGES, make
+
+
+def brute(rows, least, reported=2_000):
+    """The contract in plain Python."""
+    lower = str.maketrans({c: chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    f, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(lower)):
+            w = re.findall(r"[^ \t]+", piece)
+            total[lang] += len(w)
+            for m in range(1, 5):
+                f.update((lang, tuple(w[i:i + m])) for i in range(len(w) - m + 1))
+    candidates = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    out = {}
+    for (lang, p), a in candidates.items():
+        inside = lambda q: any(q[i:i + len(p)] == p for i in range(len(q) - len(p) + 1))
+        if any(l == lang and len(q) > len(p) and 100 * b >= 80 * a and inside(q) for (l, q), b in candidates.items()):
+            continue
+        cuts = [(2_000_000 * a // (f[lang, p[:k]] + f[lang, p[k:]]), k) for k in range(1, len(p))]
+        score, k = min(cuts)
+        out.setdefault(lang, []).append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return sorted(
+        (lang, rank, p.decode(), -a, l, r, total[lang], -score)
+        for lang, found in out.items() for rank, (score, a, p, l, r) in enumerate(sorted(found)[:reported], 1))
+
+
+def result(docs, **options):
+    names = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return sorted(tuple(r[c] for c in names) for r in co.collocations(docs, **options).collect())
+
+
+def texts(seed, many, vocabulary="a b c d E e f".split()):
+    dice = random.Random(seed)
+    ends = [" ", " ", " ", " ", "  ", "\t", ". ", ",", "\n", "!? "]
+    return [
+        (dice.choice(["en", "en", "de", None, "und"]), "".join(w + dice.choice(ends) for w in dice.choices(vocabulary, k=dice.randint(0, 60))))
+        for _ in range(many)]
+
+
+@pytest.mark.parametrize("seed, least", [(1, 3), (2, 30), (3, 8)])
+def test_phrases_equal_brute_force(spark, seed, least):
+    rows = texts(seed, 120)
+    docs = make(spark, [(i, text, lang) for i, (lang, text) in enumerate(rows)])
+    expected = brute(rows, least)
+    assert len(expected) > 10 and result(docs, least=least) == expected
+
+
+def test_first_phrases_only(spark):
+    rows = texts(5, 80)
+    docs = make(spark, [(i, text, lang) for i, (lang, text) in enumerate(rows)])
+    assert result(docs, least=3, reported=4) == brute(rows, 3, 4)
+
+
+def test_full_counters_change_nothing(spark, monkeypatch):
+    """Counters that call every run frequent: all runs are counted, with the same result."""
+    rows = texts(7, 60)
+    docs = make(spark, [(i, text, lang) for i, (lang, text) in enumerate(rows)])
+    every = np.full(1 << (co.HASH_BITS - 3), 255, np.uint8)
+    monkeypatch.setattr(co, "frequent_bits", lambda docs, least: every)
+    assert result(docs, least=5) == brute(rows, 5)
+
+
+@pytest.mark.parametrize("hot", [1, 10**9])
+def test_frequent_parts_are_looked_up_either_way(spark, monkeypatch, hot):
+    rows = texts(9, 60)
+    docs = make(spark, [(i, text, lang) for i, (lang, text) in enumerate(rows)])
+    monkeypatch.setattr(co, "HOT", hot)
+    assert result(docs, least=4) == brute(rows, 4)
+
+
+def test_awkward_rows(spark):
+    rows = [(None, text) for _, text in EDGES]
+    assert result(make(spark, [(d, t) for d, t in EDGES]), least=30) == brute(rows, 30)
+    odd = [("x", "\x1cé É ß a\x00b   c d e. " * 40), ("x", "same same same same same " * 40)]
+    assert result(make(spark, [(i, t, g) for i, (g, t) in enumerate(odd)]), least=30) == brute(odd, 30)
+    assert result(make(spark, EDGES).limit(0)) == [] and result(make(spark, [(1, ""), (2, None)])) == []
+
+
+def test_passages_are_the_unary_paths(spark):
+    """A passage of 40 words in 9 texts, entered and left by different words; and one that two ways lead through."""
+    passage = [f"w{i}" for i in range(40)]
+    rows = [(i, f"x{i} y{i} " + " ".join(passage) + f" z{i}") for i in range(9)]
+    rows += [(20 + i, f"{'p' if i % 2 else 'q'} m n o r s") for i in range(12)]
+    found = {}
+    for r in co.passages(make(spark, rows), least=5).collect():
+        found.setdefault((r["path"], r["n"]), []).append((r["place"], r["phrase"]))
+    whole = {(n, " ".join([p.split()[0] for _, p in sorted(e)] + sorted(e)[-1][1].split()[1:])) for (_, n), e in found.items()}
+    assert whole == {(9, " ".join(passage)), (6, "p m n o"), (6, "q m n o"), (12, "m n o r s")}
+    assert all([place for place, _ in sorted(e)] == list(range(len(e))) for e in found.values())

@@ -70,9 +70,19 @@ def align_bands(
     one block of each band however large the image, and a scene is spread over many
     tasks. A band that a scene lacks gives nulls. Images of unequal size stop the query.
     """
-    kind = images.schema["pixels"].dataType
     present = images.filter(F.col("band").isin(list(bands)) & F.col("pixels").isNotNull())
-    blocks = _blocks(present, block_cells).groupBy(*SCENE, "block").agg(
+    return align_blocks(_blocks(present, block_cells), bands, block_cells)
+
+
+def align_blocks(
+    blocks: DataFrame, bands: Sequence[str] = BANDS, block_cells: int = BLOCK_CELLS
+) -> DataFrame:
+    """The same for images that come in blocks: scene, band, width, cells of the image, block number, ``part``.
+
+    Every block but the last has ``block_cells`` pixels, in ``part``.
+    """
+    kind = blocks.schema["part"].dataType
+    gathered = blocks.groupBy(*SCENE, "block").agg(
         F.map_from_entries(F.collect_list(F.struct("band", "part"))).alias("by_band"),
         F.max("width").alias("width"),
         ((F.min("width") == F.max("width")) & (F.min("cells") == F.max("cells"))).alias("same_size"),
@@ -87,7 +97,7 @@ def align_bands(
             f"array<struct<{','.join(f'`{b}`:{element}' for b in bands)}>>"
         )
     )
-    cells = blocks.select(*SCENE, "width", "block", F.posexplode(checked).alias("at", "value"))
+    cells = gathered.select(*SCENE, "width", "block", F.posexplode(checked).alias("at", "value"))
     position = F.col("block").cast("long") * block_cells + F.col("at")
     return cells.select(*SCENE, *_cell(position, F.col("width")), "value.*")
 

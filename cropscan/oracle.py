@@ -455,6 +455,6 @@ SELECT SEGPAR, year, field, value, CAST(least(greatest(floor(CASE field
 FROM (SELECT SEGPAR, year, field, value FROM long)""",
 }
 # The same results from other layouts.
-ORACLE["harvest_report_clustered"] = ORACLE["harvest_report"]
+ORACLE["harvest_report_clustered"] = ORACLE["report_from_files"] = ORACLE["harvest_report"]
 ORACLE["scene_slice_clustered"] = ORACLE["scene_slice_dates"] = ORACLE["scene_slice"]
 ORACLE["overlay_clustered"] = ORACLE["overlay_join"]

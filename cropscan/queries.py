@@ -29,11 +29,12 @@ from cropscan.plans import (
     StandardModel, harvest_report, prepared, score_into, scored, scored_in_place, stored_predictions,
     train_standardised,
 )
+from cropscan.plans import report_from_files as plan_report_from_files
 from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path, stored
 from cropscan.sources import (
-    json_field, read_csv, read_geojson, read_pixels, read_predictions, save_clustered, scan_table,
-    scenes_of, write_collections, write_csv, write_pixels, write_predictions,
+    json_field, list_images, read_csv, read_geojson, read_pixels, read_predictions, save_clustered, scan_table,
+    scenes_of, write_band_files, write_collections, write_csv, write_pixels, write_predictions,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -247,6 +248,15 @@ def scene_cloud_cover(spark, sf_dir):
     return sn.with_cloud_cover(scenes, fx.cover_documents(spark, sf_dir))
 
 
+@query
+def report_from_files(spark, sf_dir):
+    """The report of a folder of band files: listed, paired, read in ranges, aligned and scored."""
+    folder = fresh_path(spark, "bands")
+    write_band_files(fx.colour_images(spark, sf_dir).withColumn("band", F.lit("TCI")), folder)
+    write_band_files(fx.band_images(spark, sf_dir), folder)
+    return plan_report_from_files(list_images(spark, folder, kind="raw"), fx.SIDE, fx.CENTRES)
+
+
 @query
 def image_folder(spark, sf_dir):
     """A folder of image files: names listed, and parsed back into scenes."""

@@ -1,3 +1,4 @@
+from .bands import image_blocks, write_band_files
 from .files import (
     json_field, list_images, read_csv, read_geojson, read_metadata, write_collections, write_csv,
     write_features,
@@ -9,8 +10,8 @@ from .pixels import (
 from .scenes import read_scenes, replace_scenes, scenes_of
 
 __all__ = [
-    "PIXEL_SCHEMA", "json_field", "list_images", "read_csv", "read_geojson", "read_metadata",
+    "PIXEL_SCHEMA", "image_blocks", "json_field", "list_images", "read_csv", "read_geojson", "read_metadata",
     "read_pixels", "read_predictions", "read_scenes", "replace_scenes", "rows_to_table", "save_clustered",
     "scan_table", "scenes_of",
-    "write_collections", "write_csv", "write_features", "write_pixels", "write_predictions",
+    "write_band_files", "write_collections", "write_csv", "write_features", "write_pixels", "write_predictions",
 ]

@@ -253,6 +253,14 @@ SELECT CAST(start AS INTEGER) AS start, CAST(c AS INTEGER) AS prediction,
   {", ".join(f"round({f}, 5) AS {f}" for f in FEATURES)}, round(cost, 5) AS cost FROM m{steps} JOIN costs USING (start)"""
 
 
+def _describe_sql(source: str, by: str, shown: str, columns: tuple[str, ...]) -> str:
+    figures = ", ".join(f"round({e}, 5) AS {n}" for n, e in (
+        ("mean", "avg(v)"), ("std", "stddev_samp(v)"), ("min", "min(v)"), ("p25", "quantile_cont(v, 0.25)"),
+        ("p50", "quantile_cont(v, 0.5)"), ("p75", "quantile_cont(v, 0.75)"), ("max", "max(v)")))
+    long = " UNION ALL ".join(f"SELECT {by} AS g, '{c}' AS col, CAST({c} AS DOUBLE) AS v FROM {source}" for c in columns)
+    return f"SELECT {shown}, col AS \"column\", count(v) AS count, {figures} FROM ({long}) WHERE g IS NOT NULL GROUP BY g, col"
+
+
 ORACLE: dict[str, str] = {
     "harvest_report": f"""WITH {PAINTED}, stats AS (
   SELECT tile_x, tile_y, date, count(prediction) AS clear_pixels,
@@ -393,6 +401,9 @@ FROM flags GROUP BY tile_x, tile_y, flags.date""",
   round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
   round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max
 FROM daily GROUP BY daily.date""",
+    "ts_describe_all": f"WITH {MEASURED} " + _describe_sql("daily", "date", "CAST(g AS VARCHAR) AS date", ("event_id", "user_id", "value")),
+    "describe_groups": _describe_sql(
+        "lineitem", "l_returnflag", "g AS l_returnflag", ("l_quantity", "l_extendedprice", "l_discount", "l_orderkey")),
     "ts_group_sum": f"""WITH {MEASURED} SELECT CAST(date AS VARCHAR) AS date,
   round(avg(value)*count(value), 4) AS total FROM daily GROUP BY daily.date""",
     "label_precision": f"""WITH {LABEL_TABLE} SELECT CAST(date AS VARCHAR) AS date,

@@ -17,6 +17,7 @@ from cropscan.functions.indices import INDICES, index, with_indices
 from cropscan.functions.keys import composite_key, image_key, last_date, pixel_table_key
 from cropscan.functions.quality import clear_pixels, is_clear, is_inside, with_quality_flags
 from cropscan.operators import clustering as cl
+from cropscan.operators import describe as ds
 from cropscan.operators import harvest as hv
 from cropscan.operators import lots as lt
 from cropscan.operators import raster as rs
@@ -530,6 +531,22 @@ def ts_describe(spark, sf_dir):
     return _rounded(described, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
+_STATISTICS = ("mean", "std", "min", "p25", "p50", "p75", "max")
+
+
+@query
+def ts_describe_all(spark, sf_dir):
+    """All numeric columns of the events by date."""
+    return _rounded(ds.describe_all(_measured(spark, sf_dir), "date"), *_STATISTICS, places=5)
+
+
+@query
+def describe_groups(spark, sf_dir):
+    """Figures of the order lines by their flag: three groups, one of them with half of all rows."""
+    lines = fx.table(spark, sf_dir, "lineitem")
+    return _rounded(ds.describe_all(lines, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]), *_STATISTICS, places=5)
+
+
 @query
 def ts_group_sum(spark, sf_dir):
     return _rounded(ts.group_totals(_measured(spark, sf_dir), "date", "value"), "total", places=4)

@@ -156,9 +156,10 @@ def sliced_dates(pixels: DataFrame, start: int, stop: int, scenes: DataFrame) ->
 def with_cloud_cover(scenes: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
     """Scenes with the cloud cover of their metadata document, null where there is none.
 
-    ``documents`` has the scene keys and the JSON text.
+    ``documents`` has the scene keys and the JSON text. Of several documents of a scene the cloudiest counts.
     """
-    cover = documents.select(*SCENE, json_field(F.col(text), "cloud-cover").alias("cloud_cover"))
+    field = json_field(F.col(text), "cloud-cover")
+    cover = documents.groupBy(*SCENE).agg(F.max(field).alias("cloud_cover"))
     return scenes.join(cover, list(SCENE), "left")
 
 

@@ -268,7 +268,8 @@ ORACLE: dict[str, str] = {
 SELECT {SCENE}, clear_pixels, harvested_pixels,
   CAST(harvested_pixels AS DOUBLE)/nullif(CAST(clear_pixels AS DOUBLE), 0) AS percentage, {YIELD} FROM stats""",
     "trained_report": f"""WITH {PIXELS} SELECT {SCENE},
-  count(*) FILTER (WHERE {_CLEAR} AND mask = 0) AS clear_pixels, TRUE AS "within"
+  count(*) FILTER (WHERE {_CLEAR} AND mask = 0) AS clear_pixels,
+  TRUE AS harvested_is_lowest, TRUE AS value_is_theirs
 FROM pixel_obs GROUP BY tile_x, tile_y, pixel_obs.date""",
     "score_increment": f"""WITH {SCORED} SELECT {KEYS}, CASE WHEN date <> DATE '2017-01-01' THEN prediction
   WHEN d2 <= d1 AND d2 <= d0 THEN 0 WHEN d1 <= d0 THEN 1 ELSE 2 END AS prediction FROM scored""",
@@ -291,6 +292,8 @@ FROM orders""",
   5 AS corners, CAST(c_custkey % 360 AS DOUBLE) AS west, CAST(c_custkey // 360 AS DOUBLE) AS south,
   CAST(c_custkey % 360 + 1 AS DOUBLE) AS east, CAST(c_custkey // 360 + 1 AS DOUBLE) AS north
 FROM customer""",
+    "geojson_parts": """SELECT 'Feature' AS type, c_custkey AS SEGPAR, c_name AS PLAN,
+  CAST(c_custkey % 360 + 1 AS DOUBLE) AS east, 1 AS rings FROM customer""",
     "geojson_export": f"""WITH {FACTS}, merged AS (
   SELECT c_custkey AS k, c_name AS plan, c_nationkey AS nid, CASE WHEN s_acctbal >= 0 THEN s_name END AS address,
     coalesce(f.sale_price_count, 0) AS n, coalesce(f.sale_price_mean, 0) AS price,

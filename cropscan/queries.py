@@ -27,14 +27,15 @@ from cropscan.operators import scenes as sn
 from cropscan.operators import timeseries as ts
 from cropscan.operators.masks import inside_mask, pixels_in_mask
 from cropscan.plans import (
-    StandardModel, harvest_report, prepared, score_into, scored, scored_in_place, stored_predictions,
+    StandardModel, harvest_report, prepared, score_into, scored, scored_in_place, stored_predictions, train_scaled,
     train_standardised,
 )
 from cropscan.plans import report_from_files as plan_report_from_files
 from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path, stored
 from cropscan.sources import (
-    json_field, list_images, read_csv, read_geojson, read_pixels, read_predictions, save_clustered, scan_table,
+    image_manifest, json_field, read_csv, read_geojson, read_geojson_parts, read_pixels, read_predictions,
+    save_clustered, scan_table,
     scenes_of, write_band_files, write_collections, write_csv, write_pixels, write_predictions,
 )
 
@@ -107,10 +108,21 @@ def harvest_report_clustered(spark, sf_dir):
 
 @query
 def trained_report(spark, sf_dir):
-    """Per scene the clear field pixels, and whether the harvested ones are a part of them."""
-    report = plan_trained_report(fx.pixel_obs(spark, sf_dir), clusters=3, seeds=(0, 1), max_iter=20)
-    share = F.col("harvested_pixels").between(0, F.col("clear_pixels"))
-    return report.select(*sc.SCENE, "clear_pixels", share.alias("within"))
+    """Per scene the clear field pixels, and two facts about the rest of the report, worked out without the plan.
+
+    Harvested are the pixels of the cluster of lowest mean NDVI, and the value is theirs.
+    """
+    pixels, options = _stored_pixels(spark, sf_dir), {"clusters": 3, "seeds": (0, 1), "max_iter": 20}
+    report = plan_trained_report(pixels, **options)
+    assigned = scored(pixels, cl.model_centres(train_scaled(pixels, **options)), scope="global")
+    means = {r["prediction"]: r["m"] for r in assigned.groupBy("prediction").agg(F.avg("NDVI").alias("m")).collect()}
+    lowest = min(means, key=lambda c: (means[c], c))
+    counted = assigned.groupBy(*sc.SCENE).agg(F.count_if(F.col("prediction") == lowest).alias("expected"))
+    both = report.join(counted, list(sc.SCENE), "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
+    worth = F.col("expected") * hv.CANE_PER_PIXEL / hv.CANE_PER_SUGAR * hv.SUGAR_PRICE
+    return both.select(
+        *sc.SCENE, "clear_pixels", (F.col("harvested_pixels") == F.col("expected")).alias("harvested_is_lowest"),
+        (F.abs(F.col("value") - worth) < 1e-6).alias("value_is_theirs"))
 
 
 def _stored_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +219,16 @@ def geojson_features(spark, sf_dir):
     )
 
 
+@query
+def geojson_parts(spark, sf_dir):
+    """Collections printed over many lines, read feature by feature from parts of the files."""
+    path = fresh_path(spark, "geojson")
+    feature = lt.feature_struct(F.struct("SEGPAR", "PLAN"), fx.lot_geometry())
+    write_collections(fx.lots(spark, sf_dir).select(feature.alias("feature")), path, pretty=True)
+    features = read_geojson_parts(spark, path, "SEGPAR: BIGINT, PLAN: STRING")
+    return features.select("type", "properties.*", F.col("geometry.coordinates")[0][2][0].alias("east"), F.size("geometry.coordinates").alias("rings"))
+
+
 def _year_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     lots = lt.with_addresses(fx.lots(spark, sf_dir), fx.lot_addresses(spark, sf_dir))
     return lt.with_year_facts(lots, fx.lot_facts(spark, sf_dir), REPORT_YEAR, YEAR_FILL)
@@ -255,7 +277,7 @@ def report_from_files(spark, sf_dir):
     folder = fresh_path(spark, "bands")
     write_band_files(fx.colour_images(spark, sf_dir).withColumn("band", F.lit("TCI")), folder)
     write_band_files(fx.band_images(spark, sf_dir), folder)
-    return plan_report_from_files(list_images(spark, folder, kind="raw"), fx.SIDE, fx.CENTRES)
+    return plan_report_from_files(image_manifest(spark, folder, kind="raw"), fx.SIDE, fx.CENTRES)
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cropscan import fixtures as fx
 from cropscan.operators.raster import align_blocks
 from cropscan.plans import harvest_report, ingested, report_from_files, scene_files
-from cropscan.sources import image_blocks, list_images, write_band_files
+from cropscan.sources import image_blocks, image_manifest, write_band_files
 
 DAY = "2017-01-01"
 
@@ -23,7 +23,7 @@ def test_files_are_read_in_ranges(spark, tmp_path):
     colour[7] = [0xFFFF] * 4
     raw(tmp_path / "f", f"1-2-TCI-{DAY}.raw", colour)
     raw(tmp_path / "f", f"1-2-B01-{DAY}.raw", range(100, 115))
-    manifest = list_images(spark, str(tmp_path / "f"), kind="raw")
+    manifest = image_manifest(spark, str(tmp_path / "f"), kind="raw")
     assert {(r["key"], r["bytes"]) for r in manifest.collect()} == {(f"1-2-TCI-{DAY}.raw", 120), (f"1-2-B01-{DAY}.raw", 30)}
     blocks = image_blocks(scene_files(manifest), 3, block_cells=4)
     assert {r["n"] for r in blocks.select(F.size("part").alias("n")).collect()} == {4, 3} and blocks.count() == 5 * 4
@@ -40,7 +40,7 @@ def test_newest_files_of_whole_scenes(spark, tmp_path):
     raw(folder, f"1-2-B01-{DAY}.raw", range(4))  # no colour image
     raw(folder, f"5-2-TCI-{DAY}.raw", [[0, 1, 1, 1]] * 4)
     raw(folder, "notes-on-it.raw", [1])
-    files = scene_files(list_images(spark, str(folder), kind="raw")).collect()
+    files = scene_files(image_manifest(spark, str(folder), kind="raw")).collect()
     assert [(r["tile_x"], r["band"]) for r in files] == [(5, "TCI")]
     old = spark.createDataFrame([("file:/a/k", "1-2-TCI-2017-01-01.raw", 8, 1), ("file:/b/k", "1-2-TCI-2017-01-01.raw", 16, 2)],
                                 "path STRING, key STRING, bytes BIGINT, modified INT")
@@ -49,7 +49,7 @@ def test_newest_files_of_whole_scenes(spark, tmp_path):
 
 def test_cut_files_stop_the_query(spark, tmp_path):
     raw(tmp_path / "f", f"1-2-TCI-{DAY}.raw", [[0, 1, 1, 1]] * 4)
-    manifest = list_images(spark, str(tmp_path / "f"), kind="raw")
+    manifest = image_manifest(spark, str(tmp_path / "f"), kind="raw")
     with pytest.raises(Exception, match="whole number of rows"):
         ingested(manifest, 3).collect()
     listed = manifest.withColumn("bytes", F.col("bytes") * 2)
@@ -63,7 +63,7 @@ def test_written_files_give_the_report(spark, sf_dir, tmp_path):
     few = F.col("tile_x") < 8704
     write_band_files(fx.colour_images(spark, sf_dir).filter(few).withColumn("band", F.lit("TCI")), folder)
     write_band_files(fx.band_images(spark, sf_dir).filter(few), folder)
-    manifest = list_images(spark, folder, kind="raw")
+    manifest = image_manifest(spark, folder, kind="raw")
     back = ingested(manifest, fx.SIDE)
     expected = pixels.select(*back.columns).withColumn("B07", F.when(F.expr("tile_x DIV 512 % 3 <> 0"), F.col("B07")))
     assert back.count() == pixels.count() and back.exceptAll(expected).isEmpty()

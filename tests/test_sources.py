@@ -1,5 +1,9 @@
 import datetime as dt
 import json
+import os
+import pathlib
+import subprocess
+import sys
 
 import pytest
 from py4j.protocol import Py4JJavaError
@@ -12,11 +16,11 @@ from cropscan.operators import scenes as sn
 from cropscan.operators.scaling import SCENE
 from cropscan.plans import harvest_report
 from cropscan.sources import (
-    PIXEL_SCHEMA, json_field, list_images, read_csv, read_geojson, read_metadata, read_pixels,
+    PIXEL_SCHEMA, json_field, list_images, read_csv, read_geojson, read_geojson_parts, read_metadata, read_pixels,
     read_predictions, rows_to_table, save_clustered, scan_table, write_collections, write_features,
     write_pixels, write_predictions,
 )
-from cropscan.sources.files import ADDRESS_SCHEMA, HARVEST_SERIES_SCHEMA, LOT_FACTS_SCHEMA
+from cropscan.sources.files import ADDRESS_SCHEMA, HARVEST_SERIES_SCHEMA, LOT_FACTS_SCHEMA, YIELD_SERIES_SCHEMA
 
 
 def test_csv_with_bom_and_missing_values(spark, tmp_path):
@@ -29,10 +33,10 @@ def test_csv_with_bom_and_missing_values(spark, tmp_path):
 def test_csv_unnamed_index_and_dates(spark, tmp_path):
     path = tmp_path / "series.csv"
     path.write_text(
-        ",Date,X Tile,Y Tile,Pixels Harvested,Percentage\n0,2016-12-22,7680,10240,52301.0,0.3\n"
+        ",Date,X Tile,Y Tile,Pixels Harvested,Percentage\n0,2020-02-29,1,2,345.0,0.75\n"
     )
     frame = read_csv(spark, str(path), HARVEST_SERIES_SCHEMA)
-    assert tuple(frame.first()) == (dt.date(2016, 12, 22), 7680, 10240, 52301.0, 0.3)
+    assert tuple(frame.first()) == (dt.date(2020, 2, 29), 1, 2, 345.0, 0.75)
 
 
 def test_lot_facts_csv_and_year_fill(spark, tmp_path):
@@ -245,3 +249,95 @@ def test_incomplete_and_paired_scenes(spark, missing):
     assert sn.latest_images(catalogue).filter(F.col("band") == missing).first()["key"] == (
         f"1-2-{missing}-2017-01-01.png"
     )
+
+
+def test_csv_headers_are_checked_beside_corrupt_rows(spark, tmp_path):
+    (tmp_path / "turned.csv").write_text("ADDRESS,SEGPAR\nhere,1\n")
+    with pytest.raises(STOPPED):
+        read_csv(spark, str(tmp_path / "turned.csv"), ADDRESS_SCHEMA, corrupt="_bad").collect()
+    (tmp_path / "indexed.csv").write_text(",date,SugarCane Harvested,Estimated Sugar,Value of Sugar Produced\n0,2017-01-01,1.5,x,2\n")
+    row = read_csv(spark, str(tmp_path / "indexed.csv"), YIELD_SERIES_SCHEMA, corrupt="_bad").first()
+    assert row["SugarCane Harvested"] == 1.5 and row["Estimated Sugar"] is None and row["_bad"].startswith("0,2017")
+
+
+def test_several_documents_of_a_scene(spark):
+    day = dt.date(2017, 1, 1)
+    scenes = spark.createDataFrame([(1, 2, day)], "tile_x INT, tile_y INT, date DATE")
+    texts = spark.createDataFrame(
+        [(1, 2, day, t) for t in ('{"cloud-cover": 7.5}', '{"cloud-cover": 9}', "{}")], "tile_x INT, tile_y INT, date DATE, text STRING")
+    assert [tuple(r) for r in sn.with_cloud_cover(scenes, texts).select("tile_y", "cloud_cover").collect()] == [(2, 9.0)]
+
+
+def test_one_large_file_is_read_by_several_tasks(spark, tmp_path):
+    features = [
+        {"type": "Feature", "properties": {"SEGPAR": i, "PLAN": None if i % 5 else f"{{\"type\": [{i}] é"},
+         "geometry": None if i % 7 == 0 else {"type": "Polygon", "coordinates": [[[i, 0.5], [i, 1], [i, 0.5]]]}} for i in range(3_000)]
+    whole = {"type": "FeatureCollection", "name": "lots", "features": features, "crs": {"type": "name"}}
+    fields, old = "SEGPAR: BIGINT, PLAN: STRING", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for indent in (2, None):
+        path = tmp_path / f"large{indent}.geojson"
+        path.write_text("﻿" * (indent == 2) + json.dumps(whole, indent=indent, ensure_ascii=False), encoding="utf-8")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(path.stat().st_size // 9))
+        try:
+            parts = read_geojson_parts(spark, str(path), fields)
+            tasks = parts.select(F.spark_partition_id().alias("t")).distinct().count()
+            rows = {r["properties"]["SEGPAR"]: r for r in parts.collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert tasks >= 8 and len(rows) == 3_000
+        for i, f in enumerate(features):
+            assert rows[i]["properties"]["PLAN"] == f["properties"]["PLAN"]
+            assert (rows[i]["geometry"] and rows[i]["geometry"]["coordinates"]) == (f["geometry"] and f["geometry"]["coordinates"])
+
+
+@pytest.mark.parametrize("feature", [
+    '{"properties": {"SEGPAR": 1}, "type": "Feature", "geometry": null}', '{"properties": {"SEGPAR": 1}, "geometry": null, "type": "Feature"}',
+    '{"type": "Feature", "properties": {"SEGPAR": 1, "PLAN": "Feature"}, "geometry": null}',
+])
+def test_files_that_have_no_parts_stop_the_query(spark, tmp_path, feature):
+    (tmp_path / "odd.json").write_text(f'{{"type": "FeatureCollection", "features": [{feature}, {feature}]}}')
+    assert read_geojson(spark, str(tmp_path), "SEGPAR: BIGINT, PLAN: STRING").count() == 2
+    with pytest.raises(STOPPED):
+        read_geojson_parts(spark, str(tmp_path), "SEGPAR: BIGINT, PLAN: STRING").collect()
+
+
+RETRY = """
+import json, sys
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
+from cropscan.sources import files
+
+settings = {"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+spark = SparkSession.builder.master("local[4,3]").config(map=settings).getOrCreate()
+write = files.write_features
+
+def failing(lines, path):
+    '''Every second task breaks off midway, once.'''
+    def run(batches):
+        task = TaskContext.get()
+        for i, batch in enumerate(batches):
+            if task.attemptNumber() == 0 and task.partitionId() % 2:
+                yield batch.slice(0, 1)
+                raise RuntimeError("lost")
+            yield batch
+    write(lines.mapInArrow(run, lines.schema), path)
+
+files.write_features = failing
+rows = spark.range(0, 3_000, 1, 6).select(F.struct(F.lit("Feature").alias("type"), F.struct("id").alias("properties")).alias("feature"), F.expr("uuid()").alias("u"))
+files.write_collections(rows.sortWithinPartitions("u"), sys.argv[1], size=7)
+"""
+
+
+def test_a_task_that_fails_midway_loses_and_doubles_nothing(spark, tmp_path):
+    """The order of the input differs from one evaluation to the next, and tasks fail while they write."""
+    script = tmp_path / "retry.py"
+    script.write_text(RETRY)
+    out = tmp_path / "out"
+    root = str(pathlib.Path(__file__).resolve().parents[1])
+    done = subprocess.run([sys.executable, str(script), str(out)], capture_output=True, text=True, timeout=300,
+                          env={**os.environ, "PYTHONPATH": root})
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert "lost" in done.stderr
+    ids = [f["properties"]["id"] for r in spark.read.text(str(out)).collect() for f in json.loads(r[0])["features"]]
+    assert sorted(ids) == list(range(3_000))

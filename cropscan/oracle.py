@@ -409,6 +409,17 @@ FROM daily GROUP BY daily.date""",
         "lineitem", "l_returnflag", "g AS l_returnflag", ("l_quantity", "l_extendedprice", "l_discount", "l_orderkey")),
     "ts_group_sum": f"""WITH {MEASURED} SELECT CAST(date AS VARCHAR) AS date,
   round(avg(value)*count(value), 4) AS total FROM daily GROUP BY daily.date""",
+    "label_table_found": f"""WITH {DAILY} SELECT CAST(date AS VARCHAR) AS date,
+  {", ".join(f"count(*) FILTER (WHERE event_type = '{n}') AS {n}" for n in ("click", "error", "purchase", "signup", "view"))},
+  count(*) FILTER (WHERE event_type IS NULL) AS "Other" FROM daily GROUP BY daily.date""",
+    "tally_documents": f"""WITH {DAILY} SELECT CAST(date AS VARCHAR) AS date, event_type AS label, count(*) AS count
+FROM daily WHERE user_id % 3 = 0 GROUP BY daily.date, 2""",
+    "scene_metadata": f"""WITH {PIXELS}, scenes AS (
+  SELECT tile_x, tile_y, date, CAST(sum(red) AS BIGINT) AS seed FROM pixel_obs GROUP BY ALL)
+SELECT {SCENE}, CASE WHEN seed % 5 <> 0 THEN seed % 101 END AS "cloud-cover", 'L1C' AS level FROM scenes""",
+    "scored_audit": f"""WITH {PAINTED} SELECT count(*) AS all_pixels, count(*) FILTER (WHERE {_CLEAR}) AS clear_pixels,
+  count(*) FILTER (WHERE mask = 0) AS mask_pixels, count(*) FILTER (WHERE {_CLEAR} AND mask = 0) AS clear_mask_pixels,
+  count(prediction) AS scored_pixels, count(*) FILTER (WHERE prediction = 0) AS harvested_pixels FROM cells""",
     "label_precision": f"""WITH {LABEL_TABLE} SELECT CAST(date AS VARCHAR) AS date,
   {", ".join(LABELS)}, "Other", "Total",
   round_even(CAST(view AS DOUBLE)/CAST("Total" AS DOUBLE)*100.0e0, 0)/100.0e0 AS "Precision"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cropscan.functions.indices import with_indices
@@ -68,6 +68,27 @@ def scored_in_place(
     )
 
 
+def observed_scores(
+    pixels: DataFrame, centres: Centres, harvested: int = 0, name: str = "scores", **options
+) -> tuple[DataFrame, Observation]:
+    """``scored_in_place``, and the counts at each filter, filled in by the first action on the rows.
+
+    The counts are those of ``filter_audit`` over all scenes, and the pixels with a cluster and the harvested
+    ones. They come with the run that uses the rows: nothing is read for them. Write the rows as they come: a sort or
+    a partitioning by range runs them once more for its sample, and would count them twice.
+    """
+    cells = scored_in_place(pixels, centres, **options)
+    counts = Observation(name)
+    clear, inside, label = is_clear(), is_inside(), F.col("prediction")
+    conditions = {
+        "clear_pixels": clear, "mask_pixels": inside, "clear_mask_pixels": clear & inside,
+        "scored_pixels": label.isNotNull(), "harvested_pixels": label == harvested,
+    }
+    seen = cells.observe(
+        counts, F.count(F.lit(1)).alias("all_pixels"), *(F.count_if(c).alias(n) for n, c in conditions.items()))
+    return seen, counts
+
+
 def harvest_report(
     pixels: DataFrame,
     centres: Centres,

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cropscan import fixtures as fx
@@ -20,6 +20,7 @@ from cropscan.operators import clustering as cl
 from cropscan.operators import describe as ds
 from cropscan.operators import harvest as hv
 from cropscan.operators import lots as lt
+from cropscan.operators import ragged as rg
 from cropscan.operators import raster as rs
 from cropscan.operators import restarts as re
 from cropscan.operators import scaling as sc
@@ -27,16 +28,16 @@ from cropscan.operators import scenes as sn
 from cropscan.operators import timeseries as ts
 from cropscan.operators.masks import inside_mask, pixels_in_mask
 from cropscan.plans import (
-    StandardModel, harvest_report, prepared, score_into, scored, scored_in_place, stored_predictions, train_scaled,
-    train_standardised,
+    StandardModel, harvest_report, observed_scores, prepared, score_into, scored, scored_in_place,
+    stored_predictions, train_scaled, train_standardised,
 )
 from cropscan.plans import report_from_files as plan_report_from_files
 from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path, stored
 from cropscan.sources import (
     image_manifest, json_field, read_csv, read_geojson, read_geojson_parts, read_pixels, read_predictions,
-    save_clustered, scan_table,
-    scenes_of, write_band_files, write_collections, write_csv, write_pixels, write_predictions,
+    save_clustered, scan_table, scenes_of, write_band_files, write_collections, write_csv, write_pixels,
+    write_predictions,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -547,6 +548,14 @@ def filter_audit(spark, sf_dir):
     return hv.filter_audit(fx.pixel_obs(spark, sf_dir))
 
 
+@query
+def scored_audit(spark, sf_dir):
+    """Counts at each filter, told by the run that writes the predictions."""
+    cells, counts = observed_scores(fx.pixel_obs(spark, sf_dir), fx.CENTRES)
+    stored(cells.filter("prediction IS NOT NULL").select(*PIXEL, "prediction"), "predictions")
+    return spark.createDataFrame([Row(**counts.get)])
+
+
 @query
 def ts_describe(spark, sf_dir):
     described = ts.describe_by(_measured(spark, sf_dir), "date", "value")
@@ -580,6 +589,27 @@ def label_precision(spark, sf_dir):
     return ts.with_precision(table, "view", LABELS)
 
 
+@query
+def label_table_found(spark, sf_dir):
+    """The tally by date with a column for every label that occurs."""
+    return rg.label_table_found(_events(spark, sf_dir), "date", "event_type")
+
+
+@query
+def tally_documents(spark, sf_dir):
+    """Counts by date and label from one JSON text a date, with whatever labels it has."""
+    counts = _events(spark, sf_dir).filter("user_id % 3 = 0").groupBy("date", "event_type").count()
+    texts = counts.groupBy("date").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("event_type", "count")))).alias("text"))
+    return rg.tallies(texts, "date")
+
+
+@query
+def scene_metadata(spark, sf_dir):
+    """Scenes with all fields that their metadata documents have."""
+    scenes = fx.pixel_obs(spark, sf_dir).select(*sc.SCENE).distinct()
+    return rg.with_metadata(scenes, fx.cover_documents(spark, sf_dir))
+
+
 @query
 def label_pivot(spark, sf_dir):
     return ts.label_table(_events(spark, sf_dir), "date", "event_type", LABELS)

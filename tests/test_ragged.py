@@ -1,0 +1,66 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from cropscan import fixtures as fx
+from cropscan.operators import ragged as rg
+from cropscan.operators.harvest import filter_audit
+from cropscan.plans import observed_scores, scored
+
+TEXTS = [
+    (1, '{"cloud-cover": 7, "level": "L1C", "ok": true, "box": {"w": 1}}'), (2, '{"cloud-cover": 9.5, "level": 3, "it\'s": "x"}'),
+    (3, "broken {"), (4, None), (5, "[1, 2]"), (6, '"text"'), (7, "{}"),
+]
+
+
+def test_fields_are_read_from_the_data(spark):
+    documents = spark.createDataFrame(TEXTS, "id INT, text STRING")
+    assert rg.fields_found(documents) == {"box": "json", "cloud-cover": "double", "it's": "string", "level": "json", "ok": "boolean"}
+    rows = {r["id"]: r for r in rg.with_fields(documents).collect()}
+    assert len(rows) == 7
+    assert (rows[1]["cloud-cover"], rows[1]["level"], rows[1]["ok"], rows[1]["box"], rows[1]["it's"]) == (7.0, '"L1C"', True, '{"w":1}', None)
+    assert (rows[2]["cloud-cover"], rows[2]["level"], rows[2]["it's"]) == (9.5, "3", "x")
+    assert all(rows[i]["cloud-cover"] is None for i in (3, 4, 5, 6, 7))
+
+
+def test_metadata_of_scenes(spark):
+    day = dt.date(2017, 1, 1)
+    scenes = spark.createDataFrame([(1, 2, day), (1, 3, day), (1, 4, None)], "tile_x INT, tile_y INT, date DATE")
+    texts = [(1, 2, day, '{"a": 1}'), (1, 2, day, '{"a": 2, "b": "x"}'), (9, 9, day, '{"c": 1}')]
+    documents = spark.createDataFrame(texts, "tile_x INT, tile_y INT, date DATE, text STRING")
+    rows = {r["tile_y"]: (r["a"], r["b"]) for r in rg.with_metadata(scenes, documents).collect()}
+    assert rows == {2: (2, "x"), 3: (None, None), 4: (None, None)}
+
+
+def test_names_that_clash_and_too_many(spark):
+    documents = spark.createDataFrame([('{"TEXT": 1, "b": 2}',)], "text STRING")
+    with pytest.raises(ValueError, match="name of a column"):
+        rg.with_fields(documents)
+    with pytest.raises(ValueError, match="more than 1 fields"):
+        rg.fields_found(documents, most=1)
+
+
+def test_labels_are_found(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", None)], "k STRING, label STRING")
+    table = rg.label_table_found(rows, "k", "label")
+    assert table.columns == ["k", "x", "y", "Other"]
+    assert sorted(map(tuple, table.collect())) == [("a", 1, 1, 0), ("b", 1, 0, 1)]
+    assert rg.label_table_found(rows.limit(0), "k", "label").columns == ["k", "Other"]
+
+
+def test_tallies(spark):
+    texts = spark.createDataFrame([("a", '{"x": 2, "y": 1}'), ("a", '{"x": 3, "z": "no"}'), ("b", None)], "k STRING, text STRING")
+    assert sorted(map(tuple, rg.tallies(texts, "k").collect())) == [("a", "x", 5), ("a", "y", 1)]
+
+
+def test_counts_come_with_the_run(spark, sf_dir, tmp_path):
+    pixels = fx.pixel_obs(spark, sf_dir)
+    cells, counts = observed_scores(pixels, fx.CENTRES)
+    cells.filter("prediction IS NOT NULL").write.parquet(str(tmp_path / "p"))
+    names = ("all_pixels", "clear_pixels", "mask_pixels", "clear_mask_pixels")
+    audit = filter_audit(pixels).agg(*(F.sum(n).alias(n) for n in names)).first()
+    found = counts.get
+    assert all(found[n] == audit[n] for n in names)
+    assert found["scored_pixels"] == spark.read.parquet(str(tmp_path / "p")).count() == scored(pixels, fx.CENTRES).filter("prediction IS NOT NULL").count()
+    assert 0 < found["harvested_pixels"] < found["scored_pixels"]

@@ -463,6 +463,8 @@ SELECT key, regexp_extract_all(key, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')[-1] AS l
     "kmeans_standardised": _audit_sql(),
     "kmeans_best_of": """SELECT CAST(seed AS INTEGER) AS seed, TRUE AS below_one_cluster, TRUE AS chosen_by_cost
 FROM range(10) t(seed) WHERE EXISTS (SELECT 1 FROM lineitem)""",
+    "pipeline_roundtrip": f"""WITH {PIXELS} SELECT {SCENE}, count(*) AS pixels, count(*) AS same FROM pixel_obs
+WHERE {_CLEAR} AND mask = 0 AND date = DATE '2017-01-21' GROUP BY tile_x, tile_y, pixel_obs.date""",
     "kmeans_given_start": f"""{_MOVED} SELECT c AS prediction,
   {", ".join(f"round(avg({f}), 6) AS {f}" for f in FEATURES)} FROM near1 GROUP BY 1""",
     "kmeans_given_starts": _restarts_sql(),

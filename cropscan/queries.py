@@ -8,6 +8,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +35,7 @@ from cropscan.plans import (
     stored_predictions, train_scaled, train_standardised,
 )
 from cropscan.plans import report_from_files as plan_report_from_files
+from cropscan.plans import stages as st
 from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path, stored
 from cropscan.sources import (
@@ -756,6 +760,27 @@ def kmeans_standardised(spark, sf_dir):
     return cl.fit_audit(model.predict(clear_pixels(pixels)), model.centres, model.features, sc.SCENE)
 
 
+@query
+def pipeline_roundtrip(spark, sf_dir):
+    """A pipeline fitted on the first dates, saved and loaded: pixels of the last date, and how many of them the
+    loaded one puts where the plan does with the same centres and extremes."""
+    pixels, path = _stored_pixels(spark, sf_dir), fresh_path(spark, "pipeline")
+    last = F.col("date") == F.lit("2017-01-21").cast("date")
+    names = [f.removeprefix("Scaled_") for f in cl.SCALED_FEATURES]
+    stages = [
+        st.ClearPixels(), st.VegetationIndices(), st.MinMaxScaler(names=names), st.FieldMask(),
+        VectorAssembler(inputCols=list(cl.SCALED_FEATURES), outputCol="features", handleInvalid="skip"), KMeans(k=3, seed=1)]
+    Pipeline(stages=stages).fit(pixels.filter(~last)).write().overwrite().save(path)
+    model = PipelineModel.load(path)
+    found = model.transform(pixels.filter(last))
+    centres = [[float(v) for v in c] for c in model.stages[-1].clusterCenters()]
+    indexed = with_indices(pixels)
+    ready = sc.minmax_scaled(indexed, names, "global", fitted_on=clear_pixels(indexed).filter(~last))
+    expected = cl.assign_clusters(clear_pixels(ready).filter(last & is_inside()), centres, cl.SCALED_FEATURES)
+    both = found.select(*PIXEL, "prediction").join(expected.select(*PIXEL, F.col("prediction").alias("expected")), list(PIXEL))
+    return both.groupBy(*sc.SCENE).agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("prediction") == F.col("expected")).alias("same"))
+
+
 @query
 def kmeans_given_start(spark, sf_dir):
     """Centres after two Lloyd steps from given ones."""

@@ -263,7 +263,10 @@ def fit_linear(rows: list[tuple[list[int], float]], names: list[str]) -> Linear:
 
 
 def train_linear(docs: DataFrame, voters: Voters, model: LabelModel, rows: int = TRAIN_ROWS) -> Linear:
-    """The classifier, from the posteriors of about ``rows`` documents that are not held out."""
+    """The classifier, from the posteriors of about ``rows`` documents that are not held out, whether labelled or not.
+
+    Its features are the voters' words; a listed word that those rows lack gets its voter's prior weight.
+    """
     names = list(dict.fromkeys([w for w, _ in voters.learned] + sorted(set().union(*LEXICON_SETS.values()))))[:FEATURES]
     number = {n: i for i, n in enumerate(names)}
     shared = docs.sparkSession.sparkContext.broadcast((voters, model, number))
@@ -281,7 +284,37 @@ def train_linear(docs: DataFrame, voters: Voters, model: LabelModel, rows: int =
 
     found = per_slice(some, work, "doc_id long, y double, held array<int>").collect()
     found.sort(key=lambda r: (r["doc_id"], r["y"], r["held"]))
-    return fit_linear([(r["held"], r["y"]) for r in found], names)
+    counts = np.bincount([f for r in found for f in r["held"]], minlength=len(names)) if found else np.zeros(len(names), int)
+    linear = fit_linear([(r["held"], r["y"]) for r in found], names)
+    return with_priors(linear, model, dict(zip(names, counts.tolist(), strict=True)))
+
+
+def prior_weights(model: LabelModel) -> dict[str, float]:
+    """For each word of the fixed lists, by how much it alone raises the label model's log odds over no telling word.
+
+    A list that has never spoken is taken to be as telling as those that have, on average.
+    """
+    place = {name: i for i, name in enumerate(VOTERS)}
+    ratio = (model.given[:, 1, :] - model.given[:, 0, :]) * model.power[:, None]
+    raised = {name: float(ratio[place[name], 2] - ratio[place[name], 1]) for name in LEXICON_SETS}
+    spoke = [raised[name] for name in LEXICON_SETS if model.accuracy[place[name]] > 0]
+    usual = sum(spoke) / len(spoke) if spoke else 0.0
+    any_word = float(ratio[place["nothing"], 1] - ratio[place["nothing"], 0])
+    out: dict[str, float] = {}
+    for name, held in LEXICON_SETS.items():
+        own = raised[name] if model.accuracy[place[name]] > 0 else usual
+        for word in held:
+            out[word] = max(out.get(word, 0.0), any_word + own)
+    return out
+
+
+def with_priors(linear: Linear, model: LabelModel, seen: dict[str, int]) -> Linear:
+    """The classifier, with the prior weight for listed words that fewer than LEAST_DOCS training rows held.
+
+    Of those it has learned nothing, yet the label model, whose posteriors it stands for, knows their voters.
+    """
+    unknown = {w: p for w, p in prior_weights(model).items() if seen.get(w, 0) < LEAST_DOCS}
+    return Linear({**linear.weights, **{w: max(p, linear.weights.get(w, 0.0)) for w, p in unknown.items()}}, linear.constant)
 
 
 def score(docs: DataFrame, linear: Linear) -> DataFrame:
@@ -306,7 +339,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Voters, LabelModel, Linear]
 
 
 def toxicity_query(spark, sf_dir) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; rows of equal text get equal scores."""
+    """doc_id, held_out, score, predicted of every row; rows of equal text get equal scores.
+
+    Null and empty texts, and all texts where nothing was learned, get the constant. Of repeated labels of a doc_id
+    the smallest counts; null labels and ids teach nothing. Without labelled rows the fixed lists
+    alone vote. An empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     _, _, linear = fit(docs, table(spark, sf_dir, "labels"))
     return score(docs, linear).select(

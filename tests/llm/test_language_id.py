@@ -1,6 +1,10 @@
 import random
 
 import pyarrow as pa
+import pytest
+import regex
+import zstandard
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from cropscan.llm import language_id as li
@@ -84,3 +88,38 @@ def test_texts_of_no_learned_language_are_rejected_at_any_length(spark):
                 halves[side].append(random.choice(sentences[pair[side]]))
             texts.append(". ".join(halves[0] + halves[1]))
         assert rejected_part(coder, texts) >= least, chars
+
+
+def plain_sizes(text, dictionaries):
+    """Every block of every language by a fresh compressor, without what the operator prepares and shares."""
+    sizes = []
+    for name in sorted(dictionaries):
+        def coded(piece):
+            held = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)  # noqa: B023
+            coder = zstandard.ZstdCompressor(
+                level=li.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+            return len(coder.compress(piece.encode()))
+        blocks = sum(coded(text[i:i + li.BLOCK_CHARS]) for i in range(0, len(text), li.BLOCK_CHARS))
+        words = text.split(" ")
+        sizes.append((blocks, sum(coded(" ".join(words[i:i + li.PIECE_WORDS])) for i in range(0, len(words), li.PIECE_WORDS))))
+    low = sorted(b for b, _ in sizes)[:2]
+    narrow = low[-1] - low[0] < li.NARROW and len(sizes) > 1
+    return [b + p if narrow else b for b, p in sizes]
+
+
+def test_predictions_equal_plain_compression(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    dictionaries = li.learn(li.train_rows(docs), passages=20)
+    names = sorted(dictionaries)
+    rows = docs.select("doc_id", "text").limit(40).collect() + [Row(doc_id=-1, text=None), Row(doc_id=-2, text="12 !"), Row(doc_id=-3, text="ab")]
+    found = {r["doc_id"]: r for r in li.classify(spark.createDataFrame(rows, "doc_id long, text string"), dictionaries).collect()}
+    for row in rows:
+        text = " ".join(regex.findall(r"[\p{L}\p{M}]+", (row["text"] or "").lower()))
+        got = found[row["doc_id"]]
+        if not text:
+            assert (got["lang_pred"], got["score"], got["rejected"]) == ("und", 0.0, True)
+            continue
+        sizes = plain_sizes(text, dictionaries)
+        order = sorted(range(len(names)), key=lambda i: (sizes[i], i))
+        assert got["lang_pred"] == names[order[0]] and got["margin"] == sizes[order[1]] - sizes[order[0]]
+        assert got["score"] == pytest.approx(1 / sum(2.0 ** max(-60, sizes[order[0]] - s) for s in sizes))

@@ -19,6 +19,10 @@ CLUSTER_PALETTE: tuple[Colour, ...] = (
 )
 
 
+# The sequential blues of the map, from the lowest class to the highest.
+MAP_PALETTE = ("#f7fbff", "#deebf7", "#c6dbef", "#9ecae1", "#6baed6", "#4292c6", "#2171b5", "#084594")
+
+
 def spread_palette(clusters: int) -> tuple[Colour, ...]:
     """Colours spread over ``clusters`` steps, stored green-ramp first.
 
@@ -49,3 +53,8 @@ def colour_class(value: Column, low: Column, high: Column, classes: int = 8) ->
         F.when(value.isNotNull(), F.least(F.greatest(position, F.lit(0)), F.lit(classes - 1)))
         .cast("int")
     )
+
+
+def class_colour(number: Column, palette: Sequence[str] = MAP_PALETTE, missing: str = "gray") -> Column:
+    """Colour name of a class; ``missing`` for null, as for a lot without a value."""
+    return F.coalesce(F.get(F.array(*map(F.lit, palette)), number), F.lit(missing))

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cropscan.functions.colours import colour_class
+from cropscan.functions.colours import MAP_PALETTE, class_colour, colour_class
 from cropscan.functions.numbers import display_number
 
 # Field, low and high end of its colour scale, number pattern, label.
@@ -80,6 +80,12 @@ def with_field_class(rows: DataFrame, fields: DataFrame, classes: int = 8) -> Da
     ).drop("min_range", "max_range")
 
 
+def with_field_colour(rows: DataFrame, fields: DataFrame) -> DataFrame:
+    """``with_field_class``, and the ``fill_color`` that the class has on the map; lots without one are gray."""
+    classed = with_field_class(rows, fields, len(MAP_PALETTE))
+    return classed.withColumn("fill_color", class_colour(F.col("colour_class")))
+
+
 def feature_struct(properties: Column, geometry: Column) -> Column:
     return F.struct(
         F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")

@@ -481,6 +481,14 @@ SELECT SEGPAR, year, field, value, CAST(least(greatest(floor(CASE field
   AS INTEGER) AS colour_class
 FROM (SELECT SEGPAR, year, field, value FROM long)""",
 }
+# The map colours, lowest class first.
+ORACLE["choropleth_colours"] = f"""WITH {FACTS}, placed AS (
+  SELECT c_custkey AS SEGPAR, 'sale_price_mean' AS field, sale_price_mean AS value,
+    CASE WHEN sale_price_mean IS NOT NULL THEN
+      CAST(least(greatest(floor((sale_price_mean - 500000)*8/3500000.0e0), 0), 7) AS INTEGER) END AS colour_class
+  FROM customer LEFT JOIN facts ON c_custkey = SEGPAR AND year = 1998)
+SELECT *, coalesce(['#f7fbff', '#deebf7', '#c6dbef', '#9ecae1', '#6baed6', '#4292c6', '#2171b5', '#084594'][colour_class + 1], 'gray')
+  AS fill_color FROM placed"""
 # The same results from other layouts.
 ORACLE["harvest_report_clustered"] = ORACLE["report_from_files"] = ORACLE["harvest_report"]
 ORACLE["scene_slice_clustered"] = ORACLE["scene_slice_dates"] = ORACLE["scene_slice"]

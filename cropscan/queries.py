@@ -840,3 +840,12 @@ def choropleth_bins(spark, sf_dir):
     facts = fx.lot_facts(spark, sf_dir)
     long = facts.unpivot(["SEGPAR", "year"], ["sale_price_mean", "min_income"], "field", "value")
     return lt.with_field_class(long, lt.display_fields(spark))
+
+
+@query
+def choropleth_colours(spark, sf_dir):
+    """Colour of every lot on the map of one year and field; lots without facts that year are gray."""
+    lots = fx.lots(spark, sf_dir)
+    year = fx.lot_facts(spark, sf_dir).filter(F.col("year") == REPORT_YEAR).select("SEGPAR", F.col("sale_price_mean").alias("value"))
+    long = lots.select("SEGPAR", F.lit("sale_price_mean").alias("field")).join(year, "SEGPAR", "left")
+    return lt.with_field_colour(long, lt.display_fields(spark))

@@ -11,6 +11,7 @@ into those of its space-led words, and equal words share theirs; only the draws
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -141,7 +142,7 @@ class Lattice:
     length lie together and every word's states are found by its rank.
     """
 
-    def __init__(self, different: list[str], pieces: Pieces):
+    def __init__(self, different: list[str], pieces: Pieces, weighed: bool = True):
         lengths = np.fromiter(map(len, different), np.int64, len(different))
         self.order = np.argsort(-lengths, kind="stable")
         self.rank = np.empty(len(different), np.int64)
@@ -158,7 +159,8 @@ class Lattice:
         place = np.arange(len(codes)) - word_start[rank_of]
         left = by_rank[rank_of] - place
         self._edges(codes.astype(np.uint64) + np.uint64(1), rank_of, place, left, pieces)
-        self._filter(longest)
+        if weighed:
+            self._filter(longest)
 
     def _edges(self, codes, rank_of, place, left, pieces: Pieces) -> None:
         found, spelled = [], np.ones(len(codes), bool)
@@ -256,22 +258,68 @@ def _space_led(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return led.filter(full), kept[bounds]
 
 
+#: Words of more code points, as texts without spaces, are gone through one state at a time, each by itself.
+LONG_WORD = 4_096
+
+
+class LongWord:
+    """The lattice of one long word; its states are the prefix lengths."""
+
+    def __init__(self, text: str, pieces: Pieces):
+        lattice = Lattice([text], pieces, weighed=False)
+        self.length = len(text)
+        self.offset, self.source, self.piece = (x.tolist() for x in (lattice.offset, lattice.source, lattice.piece))
+        weight = lattice.weight.tolist()
+        forward, self.share = [0.0] * (self.length + 1), [0.0] * len(weight)
+        for p in range(1, self.length + 1):
+            e, f = self.offset[p], self.offset[p + 1]
+            values = [forward[s] + w for s, w in zip(self.source[e:f], weight[e:f], strict=True)]
+            top, total = max(values), 0.0
+            for i, value in enumerate(values, e):
+                total += math.exp(value - top)
+                self.share[i] = total
+            for i in range(e, f):
+                self.share[i] /= total
+            forward[p] = top + math.log(total)
+
+    def drawn(self, key: np.uint64, end: int) -> list[int]:
+        """Pieces of the occurrence that ends at place ``end`` of the row with this key."""
+        u = draws(np.full(self.length + 1, key), np.arange(end - self.length, end + 1)).tolist()
+        out, at, offset, share = [], self.length, self.offset, self.share
+        while at:
+            edge, last = offset[at], offset[at + 1] - 1
+            while edge < last and share[edge] <= u[at]:
+                edge += 1
+            out.append(self.piece[edge])
+            at = self.source[edge]
+        return out[::-1]
+
+
 def sample(column: pa.Array, keys: np.ndarray, pieces: Pieces, step: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all rows end to end, and the rows' bounds."""
     flat, bounds = _space_led(column)
     word, different = coded(flat)
-    lattice = Lattice(different, pieces)
+    lengths = np.fromiter(map(len, different), np.int64, len(different))
+    lattice = Lattice([w if len(w) <= LONG_WORD else "" for w in different], pieces)
     row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    length = lattice.lengths[word]
+    length = lengths[word]
     ends = np.cumsum(length)
     row_start = np.concatenate([[0], ends])[bounds[:-1]]
     place = ends - row_start[row]
+    long, by_long = {}, np.flatnonzero(length > LONG_WORD)
+    for number in np.unique(word[by_long]).tolist():
+        own = LongWord(different[number], pieces)
+        for i in by_long[word[by_long] == number].tolist():
+            long[i] = own.drawn(keys[row[i]], int(place[i]))
     parts, counts = [], np.zeros(len(word), np.int64)
     for low in range(0, len(word), step):
         high = min(low + step, len(word))
-        active = np.arange(low, high)
-        state, at, drawn = lattice.state(word[low:high]), place[low:high].copy(), []
-        key = keys[row[low:high]]
+        active = low + np.flatnonzero(length[low:high] <= LONG_WORD)
+        state, at, drawn = lattice.state(word[active]), place[active], []
+        key = keys[row[active]]
+        inside = [i for i in long if low <= i < high]
+        for i in inside:
+            counts[i] = len(long[i])
         while len(active):
             edge = lattice.offset[state]
             u = draws(key, at)
@@ -291,6 +339,8 @@ def sample(column: pa.Array, keys: np.ndarray, pieces: Pieces, step: int = 200_0
         out = np.empty(int(own.sum()), np.int32)
         for n, (which, piece) in enumerate(drawn):
             out[start[which - low] + own[which - low] - 1 - n] = piece
+        for i in inside:
+            out[start[i - low]:start[i - low] + own[i - low]] = long[i]
         parts.append(out)
     ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
     totals = np.concatenate([[0], np.cumsum(counts)])

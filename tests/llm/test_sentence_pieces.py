@@ -1,4 +1,6 @@
 import math
+import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -92,3 +94,26 @@ def test_digests_are_those_of_encode_and_decode(spark):
         "sha2(text, 256) = text_sha256 AS lossless")
     once = sp.encode_and_decode(docs).select(*chained.columns)
     assert sorted(map(str, chained.collect())) == sorted(map(str, once.collect()))
+
+
+def test_long_words_are_cut_as_short_ones(monkeypatch):
+    """One state at a time or all words at once: the same pieces, wherever the word stands in the row."""
+    dice = random.Random(12)
+    for n in range(60):
+        text = "".join(dice.choices(["the", "ing", " ", "a", "日", "😀", "xx", "qz", " word", "   "], k=60))
+        rows, keys = pa.array([text, text[:30], "", text[::-1]]), sp.row_keys(pa.array([n, n, 7, None]), 3)
+        whole = sp.sample(rows, keys, PIECES)
+        with monkeypatch.context() as patch:
+            patch.setattr(sp, "LONG_WORD", 3)
+            apart = sp.sample(rows, keys, PIECES)
+        assert whole[0].tolist() == apart[0].tolist() and whole[1].tolist() == apart[1].tolist()
+
+
+@pytest.mark.parametrize("sign", ["x", "日本語", "aB3/", "="])
+def test_texts_without_spaces_take_linear_time(sign):
+    dice = random.Random(13)
+    text = "".join(dice.choices(sign, k=200_000))
+    began = time.perf_counter()
+    ids, bounds = sp.sample(pa.array([text]), sp.row_keys(pa.array([1]), 0), PIECES)
+    assert time.perf_counter() - began < 6
+    assert sp.spell(ids, bounds, PIECES).to_pylist()[0].decode() == text

@@ -33,6 +33,11 @@ class CuckooFilter:
             except Overflow:
                 made = cls(2 * made.buckets)
 
+    @classmethod
+    def opened(cls, cells: bytes) -> CuckooFilter:
+        """The filter that ``to_bytes`` has stored, as it was."""
+        return cls(len(cells) // (2 * SLOTS), cells)
+
     def _place(self, digest: bytes) -> tuple[int, int]:
         word = int.from_bytes(digest[:8], "little")
         return (word & 0xFFFF) or 1, (word >> 16) & (self.buckets - 1)
@@ -89,12 +94,13 @@ class LiveDigests:
     """The stored keys of one bucket behind their cuckoo filter.
 
     ``entries`` maps a digest to [newest doc_id, rows]; a hit of the filter counts only
-    if the digest is among the entries.
+    if the digest is among the entries. With ``cells``, the stored filter of these entries is opened;
+    it is made anew only where there is none, or where it overflows.
     """
 
-    def __init__(self, entries: dict[bytes, list] | None = None):
+    def __init__(self, entries: dict[bytes, list] | None = None, cells: bytes | None = None):
         self.entries = dict(entries or {})
-        self.filter = CuckooFilter.of(self.entries)
+        self.filter = CuckooFilter.opened(cells) if cells else CuckooFilter.of(self.entries)
         self.resizes = 0
         self.false_hits = 0
 

@@ -84,8 +84,10 @@ def _delete(old: pa.Table, gone: pa.Table) -> pa.Table:
 
 
 def _loaded(old: pa.Table) -> LiveDigests:
+    """A bucket's digests behind the filter that is stored with them."""
     rows = zip(old["digest"].to_pylist(), old["keep_id"].to_pylist(), old["n_rows"].to_pylist(), strict=True)
-    return LiveDigests({d: [k, n] for d, k, n in rows if d is not None})
+    cells = [c for c in old["cuckoo"].to_pylist() if c is not None] if "cuckoo" in old.column_names else []
+    return LiveDigests({d: [k, n] for d, k, n in rows if d is not None}, cells[0] if cells else None)
 
 
 def _combined(rows: DataFrame, buckets: int) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from cropscan.llm import exact_dedup as ed
@@ -82,3 +83,21 @@ def test_index_takes_rows_in_and_out(spark):
         held = [bytes(x["digest"]) for x in rows if x["bucket"] == r["bucket"] and x["digest"] is not None]
         stored_filter = CuckooFilter(len(r["cuckoo"]) // 8, bytes(r["cuckoo"]))
         assert all(d in stored_filter for d in held)
+
+
+def test_the_stored_filter_is_opened_and_resized_on_overflow(monkeypatch):
+    """Inserting into and deleting from a stored bucket uses its filter; only an overflow makes one anew."""
+    empty = ed._bucket_rows(0, LiveDigests())
+    rows = lambda keys: pa.table({"bucket": pa.array([0] * len(keys), pa.int32()), "digest": pa.array(keys, pa.binary()),
+                                  "doc_id": pa.array(range(len(keys)), pa.int64()), "n_rows": pa.array([1] * len(keys), pa.int64())})
+    keys = [sha(i) for i in range(900)]
+    made = ed._insert(empty, rows(keys[:600]))
+    of, calls = CuckooFilter.of.__func__, []
+    monkeypatch.setattr(CuckooFilter, "of", classmethod(lambda cls, digests, buckets=64: calls.append(len(digests)) or of(cls, digests, buckets)))
+    after = ed._delete(made, rows(keys[100:200]))
+    after = ed._insert(after, rows(keys[150:160]))
+    assert not calls
+    live = ed._loaded(after)
+    assert set(live.entries) == set(keys[:100] + keys[150:160] + keys[200:600]) and all(k in live.filter for k in live.entries)
+    grown = ed._loaded(ed._insert(after, rows([sha(i) for i in range(900, 6_000)])))
+    assert calls and len(grown.entries) == 510 + 5_100 and all(k in grown.filter for k in grown.entries)

@@ -31,11 +31,16 @@ def benchmark_query(spark, sf_dir):
         "doc_id", "item_id", "cast(n_words AS long) AS n_words", "cast(start_word AS long) AS start_word", "similarity")
 
 
+def centroid_query(spark, sf_dir):
+    """How often a vector was scanned is left out: SQL scans all of them every time."""
+    return cluster_query(table(spark, sf_dir, "embeddings")).drop("scans")
+
+
 QUERIES = {
     "op1_pii": _over_documents(find_personal_data),
     "op10_toxicity": toxicity_query,
     "op11_collocations": _over_documents(collocations),
-    "op12_centroids": lambda spark, sf_dir: cluster_query(table(spark, sf_dir, "embeddings")),
+    "op12_centroids": centroid_query,
     "op13_packing": _over_documents(packing_query),
     "op2_sentencepiece": _over_documents(encode_and_decode),
     "op3_token_binary": _over_documents(round_trip),

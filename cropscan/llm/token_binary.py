@@ -9,6 +9,7 @@ committed by Spark, so that a lost task leaves nothing half written, and read fr
 
 from __future__ import annotations
 
+import json
 import os
 from array import array
 
@@ -41,26 +42,37 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_loaded: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
-_PROBES = ("a", "the", "tokens", "thereandback", "zzxqk")
+#: The rules of the tokenizer that words are encoded apart for.
+_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
+_loaded: dict[str, tuple[Tokenizer, dict[str, bytes], bool]] = {}
 
-def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes]]:
+
+def _tokenizer(path: str) -> tuple[Tokenizer, dict[str, bytes], bool]:
+    """The tokenizer, the ids met so far, and whether its rules are those that let words be encoded apart."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_file(path)
-        for word in _PROBES:
-            if tokenizer.encode(word, add_special_tokens=False).ids != [t.id for t in tokenizer.model.tokenize(word)]:
-                raise ValueError("the normaliser or splitter changes plain words")
-        _loaded[path] = tokenizer, {}
+        rules = json.loads(tokenizer.to_str())
+        apart = (
+            (rules["normalizer"] or {}).get("normalizers") == _NORMALISER
+            and (rules["pre_tokenizer"] or {}).get("pretokenizers") == _SPLITTER
+            and all(t["content"].startswith("<|") and t["content"].endswith("|>") and not (t["lstrip"] or t["rstrip"] or t["normalized"])
+                    and not any(c in t["content"] for c in " .,") for t in rules["added_tokens"])
+        )
+        _loaded[path] = tokenizer, {}, apart
     return _loaded[path]
 
 
-def _fresh(missing: list[str], tokenizer: Tokenizer) -> dict[str, bytes]:
-    """Ids of words. Words of a-z alone pass the normaliser and splitter unchanged, so they go to the model at once."""
+def _fresh(missing: list[str], tokenizer: Tokenizer, apart: bool) -> dict[str, bytes]:
+    """Ids of words, or of whole texts. Words of a-z alone pass the normaliser and splitter unchanged, so they go to the model at once."""
     model, found, rest = tokenizer.model, {}, []
     for word in missing:
-        if word.isascii() and word.isalpha() and word.islower():
+        if apart and word.isascii() and word.isalpha() and word.islower():
             found[word] = array("I", [t.id for t in model.tokenize(word)]).tobytes()
         else:
             rest.append(word)
@@ -71,20 +83,25 @@ def _fresh(missing: list[str], tokenizer: Tokenizer) -> dict[str, bytes]:
     return found
 
 
+def _words_apart(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    column = pc.replace_substring_regex(column, r"([A-Za-z0-9])([.,]+)(\s|$)", r"\1 \2\3")
+    lower = not pc.any(pc.match_substring(column, "<|")).as_py()  # the sign of special tokens, which are told by case
+    return words(column, lower)
+
+
 def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all rows end to end, each row closed by END_ID, and the rows' bounds.
 
-    This tokenizer drops white space and no rule of it reaches over any, so the ids of a text are those
+    The default tokenizer drops white space and no rule of it reaches over any, so the ids of a text are those
     of its words, and different words are encoded once. It also lower-cases, and ends a word
-    before a full stop or comma; doing both here first leaves fewer different words.
+    before a full stop or comma; doing both here first leaves fewer different words. With a tokenizer
+    of other rules texts are encoded whole.
     """
-    tokenizer, known = _tokenizer(path)
-    column = pc.replace_substring_regex(column, r"([A-Za-z0-9])([.,]+)(\s|$)", r"\1 \2\3")
-    lower = not pc.any(pc.match_substring(column, "<|")).as_py()  # the sign of special tokens, which are told by case
-    flat, bounds = words(column, lower)
+    tokenizer, known, apart = _tokenizer(path)
+    flat, bounds = _words_apart(column) if apart else (column, np.arange(len(column) + 1))
     index, different = coded(flat)
-    fresh = _fresh([w for w in different if w not in known], tokenizer)
-    if len(known) + len(fresh) <= REMEMBERED:
+    fresh = _fresh([w for w in different if w not in known], tokenizer, apart)
+    if apart and len(known) + len(fresh) <= REMEMBERED:
         known.update(fresh)
         fresh = known
     end = array("I", [END_ID]).tobytes()

@@ -1,7 +1,9 @@
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
 from cropscan.llm import token_binary as tb
@@ -60,3 +62,23 @@ def test_ranks_follow_counts(spark):
     ranks = tb.ranked(found).orderBy("rank").collect()
     assert [r["n"] for r in ranks] == sorted((r["n"] for r in ranks), reverse=True)
     assert sum(r["n"] for r in ranks) == 8 + 2
+
+
+@pytest.mark.parametrize("change", ["case", "splitter", "none"])
+def test_other_rules_encode_texts_whole(tmp_path, change):
+    """A tokenizer that keeps case, or splits otherwise, gives its own ids."""
+    with open(tb.default_tokenizer()) as file:
+        rules = json.load(file)
+    if change == "case":
+        rules["normalizer"]["normalizers"].pop()
+    if change == "splitter":
+        rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[^\s]+"
+    path = str(tmp_path / "other.json")
+    with open(path, "w") as file:
+        json.dump(rules, file)
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Some Words, and. MORE words", "", "a  b\nC.", "same same Same", "don't, It's", "<|endoftext|> x"]
+    ids, bounds = tb.encode_column(pa.array(texts), path)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [
+        [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    assert tb._tokenizer(path)[2] == (change == "none")

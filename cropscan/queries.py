@@ -25,7 +25,7 @@ from cropscan.operators import harvest as hv
 from cropscan.operators import lots as lt
 from cropscan.operators import ragged as rg
 from cropscan.operators import raster as rs
-from cropscan.operators import restarts as re
+from cropscan.operators import restarts as rt
 from cropscan.operators import scaling as sc
 from cropscan.operators import scenes as sn
 from cropscan.operators import timeseries as ts
@@ -740,8 +740,8 @@ def kmeans_fit(spark, sf_dir):
 def kmeans_best_of(spark, sf_dir):
     """Per restart: better than one cluster, and chosen exactly where the cost is lowest."""
     ready = prepared(fx.pixel_obs(spark, sf_dir), scope="global")
-    table = stored(re.feature_rows(ready, cl.SCALED_FEATURES), "features")
-    fits = re.fit_rows(table, cl.SCALED_FEATURES, clusters=3)
+    table = stored(rt.feature_rows(ready, cl.SCALED_FEATURES), "features")
+    fits = rt.fit_rows(table, cl.SCALED_FEATURES, clusters=3)
     single = cl.one_cluster_cost(table, cl.SCALED_FEATURES)
     costs = {fit.seed: fit.cost for fit in fits}
     chosen = fits[0].seed
@@ -792,9 +792,9 @@ def kmeans_given_start(spark, sf_dir):
 @query
 def kmeans_given_starts(spark, sf_dir):
     """Centres and cost after two Lloyd steps from each of several starts, in one pass a step."""
-    table = stored(re.feature_rows(_scored(spark, sf_dir), cl.SCALED_FEATURES), "features")
-    fits = re.fit_from_starts(table, cl.SCALED_FEATURES, fx.STARTS, max_iter=2, tol=0.0)
-    costs = re.costs_together(table, cl.SCALED_FEATURES, [centres for centres, _, _ in fits])
+    table = stored(rt.feature_rows(_scored(spark, sf_dir), cl.SCALED_FEATURES), "features")
+    fits = rt.fit_from_starts(table, cl.SCALED_FEATURES, fx.STARTS, max_iter=2, tol=0.0)
+    costs = rt.costs_together(table, cl.SCALED_FEATURES, [centres for centres, _, _ in fits])
     rows = [
         (i, c, *centre, cost) for i, ((centres, _, _), cost) in enumerate(zip(fits, costs, strict=True))
         for c, centre in enumerate(centres)]

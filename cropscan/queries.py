@@ -39,7 +39,7 @@ from cropscan.plans import stages as st
 from cropscan.plans import trained_report as plan_trained_report
 from cropscan.session import fresh_path, stored
 from cropscan.sources import (
-    image_manifest, json_field, read_csv, read_geojson, read_geojson_parts, read_pixels, read_predictions,
+    bucket_count, image_manifest, json_field, read_csv, read_geojson, read_geojson_parts, read_pixels, read_predictions,
     save_clustered, scan_table, scenes_of, write_band_files, write_collections, write_csv, write_pixels,
     write_predictions,
 )
@@ -396,9 +396,9 @@ def scene_slice(spark, sf_dir):
     return sn.scene_slice(fx.pixel_obs(spark, sf_dir), 1, 3).select(*PIXEL, "day_no")
 
 
-def _clustered(rows: DataFrame, name: str, keys) -> DataFrame:
+def _clustered(rows: DataFrame, name: str, keys, buckets: int | None = None) -> DataFrame:
     name = f"{name}_{uuid.uuid4().hex}"
-    return save_clustered(rows, name, fresh_path(rows.sparkSession, name), buckets=8, keys=keys)
+    return save_clustered(rows, name, fresh_path(rows.sparkSession, name), buckets or bucket_count(rows), keys=keys)
 
 
 @query
@@ -499,8 +499,10 @@ def overlay_join(spark, sf_dir):
 @query
 def overlay_clustered(spark, sf_dir):
     """The same from pixels and predictions in buckets by pixel."""
-    pixels = _clustered(fx.pixel_obs(spark, sf_dir), "pixels", PIXEL)
-    predictions = _clustered(scored(pixels, fx.CENTRES).select(*PIXEL, "prediction"), "predictions", PIXEL)
+    rows = fx.pixel_obs(spark, sf_dir)
+    buckets = bucket_count(rows)
+    pixels = _clustered(rows, "pixels", PIXEL, buckets)
+    predictions = _clustered(scored(pixels, fx.CENTRES).select(*PIXEL, "prediction"), "predictions", PIXEL, buckets)
     return rs.overlay(pixels, predictions, clustered=True)
 
 

@@ -51,6 +51,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return read_pixels(spark, path, PREDICTION_SCHEMA)
 
 
+#: Rows that a bucket is to hold: some 160 MB of a full pixel table while it is shuffled.
+BUCKET_ROWS = 1 << 21
+
+
+def bucket_count(rows: DataFrame, least: int = 8, bucket_rows: int = BUCKET_ROWS) -> int:
+    """Buckets for as many rows, so that no task's share grows with the table. This counts them."""
+    return max(least, -(-rows.count() // bucket_rows))
+
+
 def save_clustered(
     pixels: DataFrame, name: str, path: str, buckets: int, keys: Sequence[str] = SCENE
 ) -> DataFrame:
@@ -58,7 +67,7 @@ def save_clustered(
 
     Rows of equal keys are in one bucket, so grouping or joining on them needs no exchange. By scene, for
     reports: a scene is an image, which bounds its rows. By ``PIXEL``, for pixels and predictions that are painted
-    together: tables of as many buckets are joined bucket by bucket. With more rows take more buckets.
+    together: tables of as many buckets are joined bucket by bucket. ``bucket_count`` says how many to take.
     """
     (
         pixels.repartition(buckets, *keys)

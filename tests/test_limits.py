@@ -1,10 +1,12 @@
 """What keeps a task's share, or a stage's code, from growing with the table."""
 
 import datetime as dt
+import os
 
 from cropscan import fixtures as fx
+from cropscan.operators import clustering as cl
 from cropscan.plans import scored_in_place
-from cropscan.sources import bucket_count
+from cropscan.sources import bucket_count, named_files, write_named_files
 
 SETTING = "spark.sql.codegen.hugeMethodLimit"
 
@@ -41,3 +43,28 @@ def test_images_exchange_cells_not_pixels(spark, tmp_path):
         (r["tile_x"], r["tile_y"], r["date"], 64 * r["y"] + r["x"]): (r["mask"], r["red"], r["green"], r["blue"])
         for r in fx.pixel_obs(spark, str(tmp_path)).collect()}
     assert cells == plain and len({k[2] for k in plain}) == 4 and min(k[2] for k in plain) == dt.date(2016, 12, 22)
+
+
+def test_many_files_are_written_and_listed_by_tasks(spark, tmp_path):
+    """No folder a file, and no list of files on the driver."""
+    names = [f"{i}-{2 * i}-B01-2017-01-01.png" for i in range(40)]
+    rows = spark.createDataFrame([(n, n) for n in names], "key STRING, text STRING").repartition(3)
+    folder = str(tmp_path / "images")
+    write_named_files(rows, folder, subfolders=4)
+    write_named_files(rows, folder, subfolders=4)
+    assert sorted(p.name for p in (tmp_path / "images").iterdir()) == ["000000", "000001", "000002", "000003"]
+    listed = named_files(spark, folder).collect()
+    assert sorted(r["key"] for r in listed) == sorted(names)
+    assert all(r["bytes"] == len(r["key"]) + 1 and r["path"].endswith(r["key"]) for r in listed)
+    (tmp_path / "none").mkdir()
+    assert named_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tasks_of_a_fit_hold_few_rows_however_well_they_compress(spark):
+    """One value throughout: a compressed table of it would be read by one task or two."""
+    rows = spark.range(2_000_000, numPartitions=2).selectExpr("0.5 AS a", "0.25 AS b", "0.0 AS c")
+    with cl._feature_table(rows, ["a", "b", "c"]) as table:
+        files = table.inputFiles()
+        assert len(files) == 8 and table.rdd.getNumPartitions() >= 4
+        assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) > 2_000_000 * 24
+        assert table.count() == 2_000_000

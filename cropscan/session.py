@@ -94,22 +94,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, for what is large or read often.
+def stored(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, for what is large or read often. ``options`` are the writer's.
 
     Unlike a cache it outlives executors and takes no executor memory.
     """
     path = path or fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def stored_for_a_while(df: DataFrame, name: str) -> Iterator[DataFrame]:
+def stored_for_a_while(df: DataFrame, name: str, **options) -> Iterator[DataFrame]:
     """The same, removed at the end of the block: only eager work belongs inside it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     try:
-        yield stored(df, name, path)
+        yield stored(df, name, path, **options)
     finally:
         delete_path(spark, path)

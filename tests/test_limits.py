@@ -3,10 +3,12 @@
 import datetime as dt
 import os
 
+import numpy as np
+
 from cropscan import fixtures as fx
 from cropscan.operators import clustering as cl
-from cropscan.plans import scored_in_place
-from cropscan.sources import bucket_count, named_files, write_named_files
+from cropscan.plans import report_from_files, scene_files, scored_in_place
+from cropscan.sources import bucket_count, image_blocks, image_manifest, named_files, write_named_files
 
 SETTING = "spark.sql.codegen.hugeMethodLimit"
 
@@ -68,3 +70,17 @@ def test_tasks_of_a_fit_hold_few_rows_however_well_they_compress(spark):
         assert len(files) == 8 and table.rdd.getNumPartitions() >= 4
         assert sum(os.path.getsize(f.removeprefix("file://")) for f in files) > 2_000_000 * 24
         assert table.count() == 2_000_000
+
+
+def test_reports_read_files_once_and_in_many_tasks(spark, tmp_path):
+    """One listing and one reading behind the stored pixels; the ranges are not left to one task."""
+    for band, width in (("TCI", 4), ("B01", 1)):
+        for tile in range(20):
+            np.full(16 * width, 100, "<u2").tofile(tmp_path / f"{tile}-1-{band}-2017-01-01.raw")
+    manifest = image_manifest(spark, str(tmp_path), kind="raw")
+    blocks = image_blocks(scene_files(manifest), 4)
+    assert blocks.rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+    report = report_from_files(manifest, 4, fx.CENTRES)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "binaryFile" not in plan
+    assert report.count() == 20

@@ -5,18 +5,23 @@ iteration one pass per step, however many restarts there are. A task turns its b
 and cluster, which is all that is shuffled. Nothing is cached, so no memory grows with the rows or with the
 number of restarts.
 
+Most of Lloyd's steps move centres through the bulk of the rows. They are taken over a summary first, the count and mean of
+the rows in each cell of a grid, which every row is in and which is bounded. A step over the rows then starts where those
+settled, and corrects them; fits settle when a step over the rows no longer moves their centres, and few are needed.
+
 The passes are Arrow batches under numpy. The plan is then the same at every step, where centres as literals
 in a plan would have code compiled anew for each, on every executor.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cropscan.session import stored_for_a_while
@@ -25,6 +30,9 @@ from .clustering import Centres
 
 ROW = "_row"
 
+#: Cells of the grid that rows are summarised in, about, at most. The driver holds their counts and means: 3 MB of five features.
+CELLS = 1 << 16
+
 
 @dataclass(frozen=True)
 class Restart:
@@ -41,6 +49,38 @@ def _columns(features: Sequence[str]) -> str:
     return ", ".join(f"`{f}` double" for f in features)
 
 
+def _kernels():
+    """Made inside a function, so that tasks get them by value: executors need not have this library."""
+
+    def distances(columns: Sequence[np.ndarray], centres: Centres | np.ndarray) -> np.ndarray:
+        """Squared distances, one line per centre. Term by term, as the expression on columns does: ties fall alike."""
+        near, gap = np.zeros((len(centres), len(columns[0]))), np.empty(len(columns[0]))
+        for distance, centre in zip(near, centres):
+            for column, value in zip(columns, centre):
+                np.subtract(column, value, out=gap)
+                np.multiply(gap, gap, out=gap)
+                distance += gap
+        return near
+
+    def members(near: np.ndarray, bounds: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Per centre 1.0 for the rows it is nearest to in its group, the first of equally near ones, and the groups' distances."""
+        mine, nearest = np.empty_like(near), np.empty((len(bounds) - 1, near.shape[1]))
+        for group, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+            near[low:high].min(0, out=nearest[group])
+            free = np.ones(near.shape[1], bool)
+            for c in range(low, high):
+                here = near[c] == nearest[group]
+                here &= free
+                free ^= here
+                mine[c] = here
+        return mine, nearest
+
+    return distances, members
+
+
+_distances, _members = _kernels()
+
+
 def seeded_starts(
     table: DataFrame, features: Sequence[str], clusters: int, seeds: Sequence[int]
 ) -> list[list[list[float]]]:
@@ -64,7 +104,8 @@ def seeded_starts(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.stack([batch[f].to_numpy(False) for f in names], 1)
+                columns = [batch[f].to_numpy(False) for f in names]
+                x = np.stack(columns, 1)
                 row = batch["_row"].to_numpy(False).astype(np.uint64)
                 for i, salt in enumerate(salts):
                     with np.errstate(over="ignore", divide="ignore"):
@@ -76,7 +117,7 @@ def seeded_starts(
                         u = ((z ^ z >> np.uint64(32)) >> np.uint64(11)).astype(np.float64)
                         weight = 1.0
                         if turn:
-                            weight = np.min([((x - c) ** 2).sum(1) for c in drawn[i]], axis=0)
+                            weight = _distances(columns, drawn[i]).min(0)
                         chance = -np.log((u + 0.5) / (1 << 53)) / weight
                     at = int(np.argmin(chance))
                     if chance[at] < best[i][0]:
@@ -103,7 +144,7 @@ def _sums(table: DataFrame, features: Sequence[str], groups: Sequence[Centres])
     """Per group and cluster (in one number): rows, sums of the features, and sum of squared distances."""
     names = list(features)
     centres = np.array([c for group in groups for c in group], np.float64)
-    bounds = np.cumsum([0, *(len(group) for group in groups)])
+    bounds = [0, *np.cumsum([len(group) for group in groups]).tolist()]
 
     def run(batches):
         n, sums, cost = np.zeros(len(centres)), np.zeros_like(centres), np.zeros(len(centres))
@@ -111,19 +152,11 @@ def _sums(table: DataFrame, features: Sequence[str], groups: Sequence[Centres])
             if not batch.num_rows:
                 continue
             columns = [batch[f].to_numpy(False) for f in names]
-            x, near = np.stack(columns, 1), np.zeros((len(centres), len(columns[0])))
-            for distance, centre in zip(near, centres):
-                # Term by term, as the expression on columns does: ties fall alike.
-                for column, value in zip(columns, centre):
-                    distance += (column - value) ** 2
-            for low, high in zip(bounds[:-1], bounds[1:]):
-                label = near[low:high].argmin(0) + low
-                nearest = near[low:high].min(0)
-                for c in range(low, high):
-                    mine = label == c
-                    n[c] += np.count_nonzero(mine)
-                    sums[c] += mine @ x
-                    cost[c] += mine @ nearest
+            mine, nearest = _members(_distances(columns, centres), bounds)
+            n += mine.sum(1)
+            sums += mine @ np.stack(columns, 1)
+            for group, (low, high) in enumerate(zip(bounds[:-1], bounds[1:])):
+                cost[low:high] += mine[low:high] @ nearest[group]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(centres)), pa.int32()), pa.array(n), pa.array(cost), *(pa.array(column.copy()) for column in sums.T)],
             names=["c", "n", "cost", *names])
@@ -185,14 +218,105 @@ def fit_from_starts(
     return list(zip(current, steps, done, strict=True))
 
 
+def summarised(table: DataFrame, features: Sequence[str], cells: int = CELLS) -> np.ndarray | None:
+    """Count and feature means of the rows in every cell of a grid over all of them, one line per cell that has any.
+
+    There are about ``cells`` lines at most, however many rows. None where some feature has no finite extremes.
+    """
+    names = list(features)
+    ends = table.agg(*(F.min(f).cast("double") for f in names), *(F.max(f).cast("double") for f in names)).first()
+    low, high = ends[:len(names)], ends[len(names):]
+    if not all(v is not None and math.isfinite(v) for v in ends) or not all(math.isfinite(b - a) for a, b in zip(low, high)):
+        return None
+    spread = [(f, a, b) for f, a, b in zip(names, low, high) if b > a]
+
+    # Features that go together leave most of a grid empty: the finest of these whose cells with rows are few enough.
+    coarsest, halvings = max(1, int(cells ** (1 / max(1, len(spread))) + 1e-9)), 4
+    finest = coarsest << halvings
+    placed = table.select(*names, *(
+        F.least(F.floor((F.col(f) - F.lit(a)) / F.lit(b - a) * finest), F.lit(finest - 1)).cast("int").alias(f"_{f}")
+        for f, a, b in spread))
+
+    def cell(up: int) -> list[Column]:
+        return [F.shiftright(f"_{f}", up).alias(f"_{f}") for f, _, _ in spread]
+
+    up = halvings
+    if spread:
+        counts = placed.agg(*(F.approx_count_distinct(F.xxhash64(*cell(k))).alias(f"up{k}") for k in range(halvings))).first()
+        up = next((k for k in range(halvings) if counts[f"up{k}"] <= cells), halvings)
+    rows = placed.groupBy(*cell(up)).agg(F.count(F.lit(1)).cast("double").alias("n"), *(F.avg(f).alias(f) for f in names))
+    found = rows.select("n", *names).toArrow()
+    return np.stack([found[c].to_numpy() for c in ("n", *names)], 1)
+
+
+def _summary_step(summary: np.ndarray, centres: Centres) -> tuple[np.ndarray, np.ndarray]:
+    """The centres after one Lloyd step over weighted points, and the weight of each; an empty cluster keeps its centre."""
+    weight, points = summary[:, 0], summary[:, 1:]
+    mine, _ = _members(_distances(points.T, centres), [0, len(centres)])
+    rows = mine @ weight
+    moved = np.array(centres, np.float64)
+    moved[rows > 0] = (mine @ (points * weight[:, None]))[rows > 0] / rows[rows > 0, None]
+    return moved, rows
+
+
+def fit_summary(
+    summary: np.ndarray, centres: Centres, max_iter: int, tol: float, offset: np.ndarray | float = 0.0
+) -> list[list[float]]:
+    """Where Lloyd's steps over weighted points lead, each corrected by ``offset``."""
+    found = np.array(centres, np.float64)
+    for _ in range(max_iter):
+        moved, rows = _summary_step(summary, found)
+        moved = np.where(rows[:, None] > 0, moved + offset, found)
+        settled = _settled(found, moved, tol)
+        found = moved
+        if settled:
+            break
+    return found.tolist()
+
+
+def fit_with_summary(
+    table: DataFrame, features: Sequence[str], starts: Sequence[Centres], max_iter: int = 300, tol: float = 1e-4
+) -> list[tuple[list[list[float]], int, bool]]:
+    """``fit_from_starts`` with the way between two passes over the rows taken over their summary.
+
+    What a step over the rows adds to one over the summary corrects the summary's steps from there. Centres settle by the same
+    rule, a step over all rows. Where a pass does not halve the last one's move, plain steps over the rows go on.
+    """
+    summary = summarised(table, features)
+    if summary is None:
+        return fit_from_starts(table, features, starts, max_iter, tol)
+    current = [fit_summary(summary, start, max_iter, tol / 10) for start in starts]
+    steps, done, plain, last = [0] * len(current), [False] * len(current), [False] * len(current), [math.inf] * len(current)
+    for _ in range(max_iter):
+        open_ = [i for i, d in enumerate(done) if not d]
+        if not open_:
+            break
+        moved = lloyd_steps_together(table, features, [current[i] for i in open_])
+        for i, centres in zip(open_, moved, strict=True):
+            steps[i] += 1
+            done[i] = _settled(current[i], centres, tol)
+            gap = float(np.abs(np.subtract(centres, current[i])).max())
+            plain[i] = plain[i] or gap > last[i] / 2
+            last[i] = gap
+            if not (done[i] or plain[i] or steps[i] == max_iter):
+                offset = np.subtract(centres, _summary_step(summary, current[i])[0])
+                centres = fit_summary(summary, centres, max_iter, tol / 10, offset)
+            current[i] = centres
+    return list(zip(current, steps, done, strict=True))
+
+
 def fit_rows(
     table: DataFrame, features: Sequence[str], clusters: int, seeds: Iterable[int] = range(10),
     max_iter: int = 300, tol: float = 1e-4,
 ) -> list[Restart]:
-    """One fit per seed over stored ``feature_rows``, best (lowest cost, then lowest seed) first."""
+    """One fit per seed over stored ``feature_rows``, best (lowest cost, then lowest seed) first.
+
+    The starts are drawn among the rows. At most ``max_iter`` steps go over the rows, which are those that ``steps`` and
+    ``settled`` tell of, and as many over their summary before each.
+    """
     seeds = list(seeds)
     starts = seeded_starts(table, features, clusters, seeds)
-    fits = fit_from_starts(table, features, starts, max_iter, tol)
+    fits = fit_with_summary(table, features, starts, max_iter, tol)
     costs = costs_together(table, features, [centres for centres, _, _ in fits])
     found = [Restart(seed, fit[0], cost, *fit[1:]) for seed, fit, cost in zip(seeds, fits, costs, strict=True)]
     return sorted(found, key=lambda r: (r.cost, r.seed))

@@ -100,3 +100,31 @@ def test_far_from_zero(spark):
     rows = [(1e9 + v,) for v in (0.0, 1.0, 4.0, 5.0)]
     frame = spark.createDataFrame(rows, "v DOUBLE")
     assert rt.lloyd_steps_together(frame, ["v"], [[(1e9,), (1e9 + 5,)]]) == [[[1e9 + 0.5], [1e9 + 4.5]]]
+
+
+def test_few_steps_go_over_the_rows(spark, monkeypatch):
+    """Overlapping groups settle slowly: plain steps take dozens of passes, the summary leaves a handful, to the same end."""
+    dice = random.Random(3)
+    points = [(dice.gauss(m, 0.9), dice.gauss(-m, 0.9), dice.random()) for m in (0, 1, 2) for _ in range(2000)]
+    table = rt.feature_rows(spark.createDataFrame(points, "a DOUBLE, b DOUBLE, d DOUBLE"), ["a", "b", "d"]).cache()
+    names, starts = ["a", "b", "d"], rt.seeded_starts(table, ["a", "b", "d"], 3, range(4))
+    plain = rt.fit_from_starts(table, names, starts, tol=1e-4)
+    step, passes = rt.lloyd_steps_together, []
+    monkeypatch.setattr(rt, "lloyd_steps_together", lambda *a: passes.append(1) or step(*a))
+    fits = rt.fit_with_summary(table, names, starts, tol=1e-4)
+    assert len(passes) <= 8 < max(steps for _, steps, _ in plain)
+    assert all(settled for _, _, settled in fits)
+    for (centres, _, _), cost, before in zip(fits, rt.costs_together(table, names, [f[0] for f in fits]), rt.costs_together(table, names, [f[0] for f in plain])):
+        assert rt._settled(centres, step(table, names, [centres])[0], 1e-4)
+        assert cost == pytest.approx(before, rel=1e-3)
+    table.unpersist()
+
+
+def test_the_summary_holds_every_row(spark):
+    frame = spark.range(5000).selectExpr("cast(id % 97 AS DOUBLE) AS a", "7.0D AS b", "cast(id AS DOUBLE) AS c")
+    whole = rt.summarised(frame, ["a", "b", "c"], cells=64)
+    assert len(whole) <= 70 and whole[:, 0].sum() == 5000
+    assert [(whole[:, 0] * whole[:, k]).sum() for k in (1, 2, 3)] == [
+        pytest.approx(v) for v in frame.selectExpr("sum(a)", "sum(b)", "sum(c)").first()]
+    endless = spark.createDataFrame([(1.0,), (math.inf,)], "a DOUBLE")
+    assert rt.summarised(endless, ["a"]) is None and rt.summarised(endless.limit(0), ["a"]) is None

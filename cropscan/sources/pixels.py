@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cropscan.functions.indices import BANDS
 from cropscan.operators.scaling import SCENE
+from cropscan.session import stored_for_a_while
 
 PIXEL_SCHEMA = (
     "tile_x INT, tile_y INT, x INT, y INT, date DATE, mask INT, red INT, green INT, blue INT, "
@@ -43,8 +44,13 @@ def write_pixels(pixels: DataFrame, path: str, partition_by: Sequence[str] = ("d
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:
-    """The predictions of scored pixels as tile, date, x, y, prediction, laid out like the pixels."""
-    write_pixels(scored.select(*SCENE, "x", "y", "prediction"), path)
+    """The predictions of scored pixels as tile, date, x, y, prediction, laid out like the pixels.
+
+    Partitioning by range runs its input once for a sample and once more for the rows. So the scoring is run once and its narrow
+    rows are stored first.
+    """
+    with stored_for_a_while(scored.select(*SCENE, "x", "y", "prediction"), "predictions") as rows:
+        write_pixels(rows, path)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -341,3 +341,21 @@ def test_a_task_that_fails_midway_loses_and_doubles_nothing(spark, tmp_path):
     assert "lost" in done.stderr
     ids = [f["properties"]["id"] for r in spark.read.text(str(out)).collect() for f in json.loads(r[0])["features"]]
     assert sorted(ids) == list(range(3_000))
+
+
+def test_predictions_are_scored_once(spark, tmp_path):
+    """A sample for the ranges must not score every pixel a second time."""
+    scored_rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            scored_rows.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(400, numPartitions=2).selectExpr(
+        "int(id % 3) AS tile_x", "1 AS tile_y", "DATE '2019-01-01' AS date", "int(id) AS x", "2 AS y",
+        "int(nullif(id % 4, 3)) AS prediction")
+    write_predictions(rows.mapInArrow(counted, rows.schema), str(tmp_path / "predictions"))
+    assert scored_rows.value == 400
+    back = read_predictions(spark, str(tmp_path / "predictions")).select(*rows.columns)
+    assert back.count() == 400 and back.exceptAll(rows).isEmpty()

@@ -35,14 +35,14 @@ def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
 
 #: Scans are cut by bytes, and a vector in memory takes some seven times its three numbers. Plain numbers in short files
 #: keep a task's rows the same however well the features would compress: about three million.
-_PLAIN = {"maxRecordsPerFile": 250_000, "compression": "none", "parquet.enable.dictionary": False}
+PLAIN = {"maxRecordsPerFile": 250_000, "compression": "none", "parquet.enable.dictionary": False}
 
 
 @contextmanager
 def _feature_table(pixels: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
     """The features alone, computed once: seeding and iterations read them many times over."""
     narrow = pixels.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
-    with stored_for_a_while(narrow, "features", **_PLAIN) as table:
+    with stored_for_a_while(narrow, "features", **PLAIN) as table:
         yield table
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from cropscan.functions.indices import INDICES, with_indices
 from cropscan.functions.quality import BRIGHT_LIMIT, clear_pixels, is_inside
+from cropscan.operators.clustering import PLAIN
 from cropscan.operators.masks import inside_mask
 from cropscan.operators.scaling import SCALED_SOURCES, extremes, minmax_scaled, scaled
+from cropscan.session import stored_for_a_while
 
 
 class _Stage(DefaultParamsReadable, DefaultParamsWritable):
@@ -127,3 +130,16 @@ class MinMaxScalerModel(Model, _Scaling, _Stage):
         bounds = zip(names, self._value("low"), self._value("high"), strict=True)
         return dataset.withColumns({
             f"Scaled_{n}": scaled(F.col(SCALED_SOURCES[n]), F.lit(low), F.lit(high)) for n, low, high in bounds})
+
+
+class StoredKMeans(KMeans):
+    """Spark ML's ``KMeans`` over features that are stored first, alone and once.
+
+    Its seeding passes over its input some seven times, and would run the stages before it as often. A plan that is
+    saved before it is fitted comes back with plain ``KMeans``. Of the model's summary only figures stay.
+    """
+
+    def _fit(self, dataset: DataFrame) -> KMeansModel:
+        weight = [self.getWeightCol()] if self.isDefined(self.weightCol) and self.getWeightCol() else []
+        with stored_for_a_while(dataset.select(self.getFeaturesCol(), *weight), "features", **PLAIN) as table:
+            return super()._fit(table)

@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -769,7 +768,7 @@ def pipeline_roundtrip(spark, sf_dir):
     names = [f.removeprefix("Scaled_") for f in cl.SCALED_FEATURES]
     stages = [
         st.ClearPixels(), st.VegetationIndices(), st.MinMaxScaler(names=names), st.FieldMask(),
-        VectorAssembler(inputCols=list(cl.SCALED_FEATURES), outputCol="features", handleInvalid="skip"), KMeans(k=3, seed=1)]
+        VectorAssembler(inputCols=list(cl.SCALED_FEATURES), outputCol="features", handleInvalid="skip"), st.StoredKMeans(k=3, seed=1, solver="block")]
     Pipeline(stages=stages).fit(pixels.filter(~last)).write().overwrite().save(path)
     model = PipelineModel.load(path)
     found = model.transform(pixels.filter(last))

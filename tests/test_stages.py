@@ -11,7 +11,9 @@ from cropscan.operators.clustering import SCALED_FEATURES
 from cropscan.operators.masks import mask_bitmaps, pixels_in_mask, write_mask
 from cropscan.operators.raster import PIXEL
 from cropscan.operators.scaling import minmax_scaled
-from cropscan.plans.stages import ClearPixels, FieldMask, MinMaxScaler, MinMaxScalerModel, VegetationIndices
+from cropscan.plans.stages import (
+    ClearPixels, FieldMask, MinMaxScaler, MinMaxScalerModel, StoredKMeans, VegetationIndices,
+)
 
 NAMES = [f.removeprefix("Scaled_") for f in SCALED_FEATURES]
 
@@ -61,3 +63,20 @@ def test_the_scaler_keeps_what_it_was_fitted_with(pixels):
     with pytest.raises(ValueError, match="nothing"):
         MinMaxScaler(names=NAMES).fit(few.limit(0))
     assert isinstance(fitted, MinMaxScalerModel) and fitted.copy().getOrDefault("scope") == "global"
+
+
+def test_a_fit_runs_the_stages_before_it_once(spark):
+    """Every row that is read counts; plain KMeans reads them anew for each pass of its seeding."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    points = spark.range(300, numPartitions=2).selectExpr("double(id % 3 * 10) AS a", "double(id % 7) / 10 AS b")
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(points.mapInArrow(counted, points.schema))
+    model = StoredKMeans(k=3, seed=1, solver="block").fit(vectors)
+    assert read.value == 300
+    assert sorted(round(float(c[0])) for c in model.clusterCenters()) == [0, 10, 20]
+    assert model.summary.trainingCost > 0 and type(model).__name__ == "KMeansModel"

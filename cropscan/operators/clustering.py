@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from contextlib import contextmanager
-from multiprocessing.pool import ThreadPool
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cropscan.session import bound_methods, stored_for_a_while
 
+from .restarts import Centres, Restart, fit_together
+
 INDEX_FEATURES = ("NDVI", "GNDVI", "LAI")
 SCALED_FEATURES = ("Scaled_NDVI", "Scaled_LCI", "Scaled_LAI", "Scaled_GNDVI", "Scaled_SCI")
 WIDE_SCALED_FEATURES = (
@@ -22,8 +22,6 @@ WIDE_SCALED_FEATURES = (
     "Scaled_LCI", "Scaled_LAI", "Scaled_GNDVI", "Scaled_SCI",
 )
 
-Centres = Sequence[Sequence[float]]
-
 
 def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
     """Add the ``features`` vector; pixels with a null feature are left out, as they get no cluster."""
@@ -38,26 +36,49 @@ def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
 PLAIN = {"maxRecordsPerFile": 250_000, "compression": "none", "parquet.enable.dictionary": False}
 
 
-@contextmanager
-def _feature_table(pixels: DataFrame, features: Sequence[str]) -> Iterator[DataFrame]:
-    """The features alone, computed once: seeding and iterations read them many times over."""
-    narrow = pixels.select(*(F.col(f).cast("double").alias(f) for f in features)).dropna()
-    with stored_for_a_while(narrow, "features", **PLAIN) as table:
-        yield table
+@dataclass(frozen=True)
+class FitSummary:
+    """What a fit tells of itself."""
+
+    k: int
+    numIter: int
+    trainingCost: float
+
+
+class FittedKMeansModel(KMeansModel):
+    """Spark ML's model of centres that were found elsewhere, with the figures of that fit. Loaded again it is a plain ``KMeansModel``."""
+
+    figures: FitSummary | None = None
+
+    @property
+    def hasSummary(self) -> bool:
+        return self.figures is not None
+
+    @property
+    def summary(self) -> FitSummary:
+        return self.figures
+
+
+class _OfCentres(KMeans):
+    """Without a step, and with its starts drawn among rows that are the centres, a fit has them all."""
+
+    def _create_model(self, java_model) -> FittedKMeansModel:
+        return FittedKMeansModel(java_model)
 
 
-def _estimator(clusters: int, max_iter: int) -> KMeans:
-    # Features are few and dense: the block solver handles a block of rows per call.
-    # It caches its blocks itself, so its input is not cached as well.
-    return KMeans(k=clusters, maxIter=max_iter, solver="block")
+def _model_of(spark: SparkSession, features: Sequence[str], fit: Restart) -> FittedKMeansModel:
+    """The fit as a Spark ML model. Equal centres become one, as in Spark ML's own fits."""
+    rows = centres_table(spark, fit.centres, features).coalesce(1)
+    estimator = _OfCentres(k=max(2, len(fit.centres)), initMode="random", maxIter=0, seed=fit.seed)
+    model = estimator.fit(with_features(rows, features).select("features"))
+    model.figures = FitSummary(len(model.clusterCenters()), fit.steps, fit.cost)
+    return model
 
 
 def fit_kmeans(
     pixels: DataFrame, features: Sequence[str], clusters: int, seed: int = 1, max_iter: int = 20
 ) -> KMeansModel:
-    with _feature_table(pixels, features) as table:
-        vectors = with_features(table, features).select("features")
-        return _estimator(clusters, max_iter).setSeed(seed).fit(vectors)
+    return fit_restarts(pixels, features, clusters, [seed], max_iter)[0][1]
 
 
 def fit_restarts(
@@ -66,26 +87,14 @@ def fit_restarts(
     clusters: int,
     seeds: Iterable[int] = range(10),
     max_iter: int = 300,
-    parallelism: int = 4,
 ) -> list[tuple[int, KMeansModel]]:
     """One fit per seed over the same stored features, best (lowest cost) first.
 
-    ``parallelism`` fits run side by side, to fill the gaps between short jobs. Each keeps its own
-    cached blocks of the features, which spill to disk where memory is short: pass 1
-    for features near the size of the cluster's storage memory, or take ``restarts.fit_together``, which
-    passes over the features once for all seeds. Equal costs are ordered by
-    seed. The features are removed afterwards, so of a model's summary only figures stay.
+    The fits are those of ``restarts.fit_together``: they share their passes and cache nothing, where Spark ML's own
+    keeps each row's norm, costs and block in the executors. Equal costs are ordered by seed.
     """
-    seeds = list(seeds)
-    estimator = _estimator(clusters, max_iter)
-    with _feature_table(pixels, features) as table:
-        vectors = with_features(table, features).select("features")
-        fits = estimator.fitMultiple(vectors, [{estimator.seed: seed} for seed in seeds])
-        next_fit = inheritable_thread_target(table.sparkSession)(lambda _: next(fits))
-        with ThreadPool(min(parallelism, len(seeds))) as pool:
-            models = dict(pool.imap_unordered(next_fit, seeds))
-    ranked = ((seed, models[position]) for position, seed in enumerate(seeds))
-    return sorted(ranked, key=lambda fit: (fit[1].summary.trainingCost, fit[0]))
+    fits = fit_together(pixels, features, clusters, seeds=seeds, max_iter=max_iter)
+    return [(fit.seed, _model_of(pixels.sparkSession, features, fit)) for fit in fits]
 
 
 def fit_best_of(pixels: DataFrame, features: Sequence[str], clusters: int, **options) -> KMeansModel:
@@ -187,13 +196,13 @@ def one_cluster_cost(pixels: DataFrame, features: Sequence[str]) -> float:
 def cluster_profile(assigned: DataFrame) -> DataFrame:
     """Size and mean NDVI per cluster, and which one counts as harvested.
 
-    That is the cluster of lowest mean NDVI, the lowest id on ties. The second
-    aggregation sees one row per cluster.
+    That is the cluster of lowest mean NDVI, the lowest id on ties. The window
+    sees one row per cluster, so that the pixels are gone over once.
     """
     profile = assigned.groupBy("prediction").agg(
         F.count(F.lit(1)).alias("pixels"), F.avg("NDVI").alias("mean_ndvi")
     )
-    lowest = profile.agg(F.min(F.struct("mean_ndvi", "prediction"))["prediction"]).scalar()
+    lowest = F.min(F.struct("mean_ndvi", "prediction")).over(Window.partitionBy(F.lit(0)))["prediction"]
     return profile.withColumn("harvested", F.col("prediction") == lowest)
 
 

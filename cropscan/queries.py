@@ -315,7 +315,7 @@ def sql_scan(spark, sf_dir):
 @query
 def model_roundtrip(spark, sf_dir):
     """Pixels per scene, and how many a saved and reloaded model puts in the same cluster."""
-    ready = with_indices(clear_pixels(fx.pixel_obs(spark, sf_dir)), cl.INDEX_FEATURES)
+    ready = _indexed(spark, sf_dir)
     fitted = cl.fit_kmeans(ready, cl.INDEX_FEATURES, clusters=4)
     path = fresh_path(spark, "kmeans")
     cl.save_model(fitted, path)
@@ -723,7 +723,9 @@ def standard_scale(spark, sf_dir):
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_indices(clear_pixels(fx.pixel_obs(spark, sf_dir)), cl.INDEX_FEATURES)
+    """Scene and features of the clear pixels, worked out once for the fit and what follows it."""
+    ready = with_indices(clear_pixels(fx.pixel_obs(spark, sf_dir)), cl.INDEX_FEATURES)
+    return stored(ready.select(*sc.SCENE, *cl.INDEX_FEATURES), "indexed")
 
 
 @query

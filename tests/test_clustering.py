@@ -2,6 +2,7 @@ import datetime
 import math
 
 import pytest
+from pyspark.ml.clustering import KMeans
 from pyspark.sql import functions as F
 
 from cropscan import fixtures as fx
@@ -176,3 +177,39 @@ def test_trained_report_takes_the_lowest_ndvi_of_separated_clusters(spark):
         n = bare[r["tile_x"]]
         assert r["percentage"] == n / 90
         assert [r["cane"], r["sugar"], r["value"]] == pytest.approx([n * 97.7, n * 97.7 / 6.2, n * 97.7 / 6.2 * 0.42])
+
+
+def test_a_fit_caches_nothing(spark, ready):
+    """Spark ML's own fit keeps norms, costs and blocks of all rows in the executors while it runs."""
+    jsc, most = spark.sparkContext._jsc, []
+    seen, kept = type(ready).collect, set(jsc.getPersistentRDDs())
+
+    def watched(frame):
+        most.append(len(set(jsc.getPersistentRDDs()) - kept))
+        return seen(frame)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(ready), "collect", watched)
+        fitted = cl.fit_kmeans(ready, cl.INDEX_FEATURES, clusters=4, seed=1)
+    assert most and max(most) == 0
+    assert len(fitted.clusterCenters()) == 4 and fitted.hasSummary
+
+
+def test_fits_are_as_good_as_those_of_spark_ml(ready, model):
+    vectors = cl.with_features(ready, cl.INDEX_FEATURES).select("features")
+    theirs = [KMeans(k=4, seed=seed).fit(vectors).summary.trainingCost for seed in (1, 2, 3)]
+    ours = [fit.summary.trainingCost for _, fit in cl.fit_restarts(ready, cl.INDEX_FEATURES, clusters=4, seeds=(1, 2, 3), max_iter=20)]
+    assert min(ours) <= min(theirs) * 1.01
+
+
+def test_equal_rows_give_fewer_centres(spark):
+    frame = spark.createDataFrame([(1.0,), (1.0,), (2.0,), (None,)], "v DOUBLE")
+    fitted = cl.fit_kmeans(frame, ["v"], clusters=4)
+    assert sorted(cl.model_centres(fitted)) == [[1.0], [2.0]] and fitted.summary.trainingCost == 0.0
+
+
+def test_a_profile_goes_over_the_pixels_once(spark, tmp_path):
+    spark.createDataFrame([(0, 10), (1, -5)], "prediction INT, NDVI INT").write.parquet(str(tmp_path / "p"))
+    profile = cl.cluster_profile(spark.read.parquet(str(tmp_path / "p")))
+    assert profile._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {r["prediction"]: r["harvested"] for r in profile.collect()} == {0: False, 1: True}

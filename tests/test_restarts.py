@@ -128,3 +128,29 @@ def test_the_summary_holds_every_row(spark):
         pytest.approx(v) for v in frame.selectExpr("sum(a)", "sum(b)", "sum(c)").first()]
     endless = spark.createDataFrame([(1.0,), (math.inf,)], "a DOUBLE")
     assert rt.summarised(endless, ["a"]) is None and rt.summarised(endless.limit(0), ["a"]) is None
+
+
+def test_passes_stay_in_the_jvm_and_compile_once(spark, ready):
+    """No row goes through Arrow, and centres are no part of the generated code, which would be compiled anew at each step."""
+    mode, code = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen"), []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for first in (0.5, 0.125, -7.5):
+            sums = rt._beside(ready, cl.INDEX_FEATURES, [[(first, 1.0, 2.0), (3.0, first, 4.0)]] * 3).groupBy("_group", "_c").agg(F.sum("_near"))
+            assert "InArrow" not in sums._jdf.queryExecution().executedPlan().toString()
+            text = sums._jdf.queryExecution().explainString(mode)
+            code.append([row for row in text.splitlines() if row.startswith("/* ")])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert code[0] and code[0] == code[1] == code[2]
+
+
+def test_feature_names_do_not_clash_with_the_sums(spark):
+    frame = spark.createDataFrame([(0.0, 1.0), (4.0, 1.0)], "c DOUBLE, n DOUBLE")
+    assert rt.lloyd_steps_together(frame, ["c", "n"], [[(1.0, 1.0), (3.0, 1.0)]]) == [[[0.0, 1.0], [4.0, 1.0]]]
+
+
+def test_seeds_of_any_size(spark):
+    table = rt.feature_rows(spark.createDataFrame([(float(i),) for i in range(9)], "v DOUBLE").coalesce(1), ["v"])
+    starts = rt.seeded_starts(table, ["v"], 3, [-5, 0, 1 << 62, 1 << 70])
+    assert all(len({tuple(c) for c in start}) == 3 for start in starts)

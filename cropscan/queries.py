@@ -119,9 +119,15 @@ def trained_report(spark, sf_dir):
     pixels, options = _stored_pixels(spark, sf_dir), {"clusters": 3, "seeds": (0, 1), "max_iter": 20}
     report = plan_trained_report(pixels, **options)
     assigned = scored(pixels, cl.model_centres(train_scaled(pixels, **options)), scope="global")
-    means = {r["prediction"]: r["m"] for r in assigned.groupBy("prediction").agg(F.avg("NDVI").alias("m")).collect()}
+    # The pixels are gone over once, for a few numbers per scene and cluster.
+    sums = assigned.groupBy(*sc.SCENE, "prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count("NDVI").alias("known"), F.sum("NDVI").alias("ndvi"))
+    sums = stored(sums, "sums")
+    mean = F.try_divide(F.sum("ndvi").cast("double"), F.sum("known").cast("double"))
+    means = {r["prediction"]: r["m"] for r in sums.groupBy("prediction").agg(mean.alias("m")).collect()}
     lowest = min(means, key=lambda c: (means[c], c))
-    counted = assigned.groupBy(*sc.SCENE).agg(F.count_if(F.col("prediction") == lowest).alias("expected"))
+    theirs = F.when(F.col("prediction") == lowest, F.col("n")).otherwise(0)
+    counted = sums.groupBy(*sc.SCENE).agg(F.sum(theirs).alias("expected"))
     both = report.join(counted, list(sc.SCENE), "left").withColumn("expected", F.coalesce("expected", F.lit(0)))
     worth = F.col("expected") * hv.CANE_PER_PIXEL / hv.CANE_PER_SUGAR * hv.SUGAR_PRICE
     return both.select(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cropscan.functions.indices import BANDS
 from cropscan.operators.scaling import SCENE
-from cropscan.session import stored_for_a_while
+from cropscan.session import settings, stored_for_a_while
 
 PIXEL_SCHEMA = (
     "tile_x INT, tile_y INT, x INT, y INT, date DATE, mask INT, red INT, green INT, blue INT, "
@@ -25,6 +25,12 @@ def read_pixels(spark: SparkSession, path: str, schema: str = PIXEL_SCHEMA) -> D
     return spark.read.schema(schema).parquet(path)
 
 
+#: The exchange of a layout starts with at least so many partitions, of which Spark puts small ones together: their number follows the
+#: bytes. With the few that a session may have, what a task sorts would grow with the table. Beyond 200 Spark's map tasks sort their rows too.
+LAYOUT_PARTITIONS = 200
+_PARTITIONS, _INITIAL = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
 def write_pixels(pixels: DataFrame, path: str, partition_by: Sequence[str] = ("date",)) -> None:
     """Snappy Parquet, by default one folder per date with the tiles in order inside. It replaces the table at
     ``path``; ``scenes.replace_scenes`` is for single scenes of one.
@@ -34,13 +40,16 @@ def write_pixels(pixels: DataFrame, path: str, partition_by: Sequence[str] = ("d
     folder per scene; the driver lists all of them on reading, so that is for few scenes.
     """
     order = [*partition_by, *(c for c in ("tile_x", "tile_y", "y", "x") if c not in partition_by)]
-    (
-        pixels.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .option("compression", "snappy")
-        .partitionBy(*partition_by)
-        .parquet(path)
-    )
+    conf = pixels.sparkSession.conf
+    start = max(LAYOUT_PARTITIONS, int(conf.get(_INITIAL, None) or conf.get(_PARTITIONS)))
+    with settings(pixels.sparkSession, {_INITIAL: str(start)}):
+        (
+            pixels.repartitionByRange(*order).sortWithinPartitions(*order)
+            .write.mode("overwrite")
+            .option("compression", "snappy")
+            .partitionBy(*partition_by)
+            .parquet(path)
+        )
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:

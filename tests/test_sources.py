@@ -15,6 +15,7 @@ from cropscan.operators import lots as lt
 from cropscan.operators import scenes as sn
 from cropscan.operators.scaling import SCENE
 from cropscan.plans import harvest_report
+from cropscan.session import settings
 from cropscan.sources import (
     PIXEL_SCHEMA, json_field, list_images, read_csv, read_geojson, read_geojson_parts, read_metadata, read_pixels,
     read_predictions, rows_to_table, save_clustered, scan_table, write_collections, write_features,
@@ -130,6 +131,22 @@ def test_pixel_table_layout(spark, sf_dir, tmp_path):
     assert read_pixels(spark, by_scene).select(pixels.columns).exceptAll(pixels).isEmpty()
 
 
+def test_layout_takes_partitions_by_bytes(spark, sf_dir, tmp_path):
+    few = {"spark.sql.shuffle.partitions": "1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50k",
+           "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k",
+           "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    pixels = fx.pixel_obs(spark, sf_dir)
+    initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(initial, None)
+    with settings(spark, few):
+        write_pixels(pixels, str(tmp_path / "pixels"))
+    assert spark.conf.get(initial, None) == before
+    back = read_pixels(spark, str(tmp_path / "pixels"))
+    files = back.groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()
+    assert len(files) > 8 and max(r["n"] for r in files) < pixels.count() / 4
+    assert back.select(pixels.columns).exceptAll(pixels).isEmpty() and back.count() == pixels.count()
+
+
 def test_predictions_come_back(spark, tmp_path):
     day = dt.date(2017, 1, 1)
     rows = spark.createDataFrame(

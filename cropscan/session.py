@@ -62,6 +62,11 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
+def no_shuffle_left(spark: SparkSession):
+    """What runs inside the block deletes its shuffle files at its end; else they stay until the driver happens to collect its garbage."""
+    return settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"})
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir.
 

@@ -88,14 +88,17 @@ def save_clustered(
 
     Rows of equal keys are in one bucket, so grouping or joining on them needs no exchange. By scene, for
     reports: a scene is an image, which bounds its rows. By ``PIXEL``, for pixels and predictions that are painted
-    together: tables of as many buckets are joined bucket by bucket. ``bucket_count`` says how many to take.
+    together: tables of as many buckets are joined bucket by bucket. ``bucket_count`` says how many to take. Rows are packed
+    while they are exchanged.
     """
-    (
-        pixels.repartition(buckets, *keys)
-        .write.mode("overwrite").option("path", path)
-        .bucketBy(buckets, *keys).sortBy(*keys)
-        .saveAsTable(name)
-    )
+    narrow, columns = packed(pixels)
+    with no_shuffle_left(pixels.sparkSession):
+        (
+            narrow.repartition(buckets, *(columns[k] for k in keys)).select(*(columns[c].alias(c) for c in pixels.columns))
+            .write.mode("overwrite").option("path", path)
+            .bucketBy(buckets, *keys).sortBy(*keys)
+            .saveAsTable(name)
+        )
     return pixels.sparkSession.table(name)
 
 

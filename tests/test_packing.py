@@ -69,6 +69,15 @@ def test_ranges_keep_nulls_and_far_values(spark, tmp_path):
     assert sorted(map(str, back.collect())) == sorted(map(str, rows.collect()))
 
 
+def test_buckets_keep_nulls_and_far_values(spark, tmp_path):
+    rows = spark.createDataFrame(PIXELS, PIXEL_KINDS)
+    table = save_clustered(rows, "packed_layout", str(tmp_path / "clustered"), 4, ("tile_x", "date"))
+    assert sorted(map(str, table.collect())) == sorted(map(str, rows.collect()))
+    assert "Exchange" not in table.groupBy("tile_x", "date").count()._jdf.queryExecution().executedPlan().toString()
+    assert table.groupBy("tile_x", "date").count().count() == 3
+    spark.sql("DROP TABLE packed_layout")
+
+
 SIZES = """
 import glob, sys, time
 from pyspark.sql import functions as F
@@ -96,7 +105,7 @@ spark.stop()
 """
 
 
-@pytest.mark.parametrize("layout", ["ranges"])
+@pytest.mark.parametrize("layout", ["ranges", "buckets"])
 def test_layouts_exchange_narrow_rows_and_leave_no_shuffle_files(tmp_path, layout):
     """Some 75 bytes a pixel were exchanged with a slot for each column."""
     (tmp_path / "events").mkdir()

@@ -70,3 +70,40 @@ def test_written_files_give_the_report(spark, sf_dir, tmp_path):
     report = report_from_files(manifest, fx.SIDE, fx.CENTRES)
     assert report.exceptAll(harvest_report(pixels, fx.CENTRES)).isEmpty()
     assert align_blocks(image_blocks(scene_files(manifest), fx.SIDE, block_cells=1000), ["B01"], 1000).count() >= pixels.count()
+
+
+def test_many_files_lie_in_subfolders_that_tasks_list(spark, sf_dir, tmp_path):
+    """The driver holds no list of files; what is listed, and the report, are those of a plain folder."""
+    few = F.col("tile_x") < 8192
+    colour = fx.colour_images(spark, sf_dir).filter(few).withColumn("band", F.lit("TCI"))
+    bands = fx.band_images(spark, sf_dir).filter(few)
+    plain, deep = str(tmp_path / "plain"), str(tmp_path / "deep")
+    for images in (colour, bands):
+        write_band_files(images, plain)
+        write_band_files(images, deep, subfolders=3)
+    assert sorted(p.name for p in (tmp_path / "deep").iterdir()) == ["000000", "000001", "000002"]
+    assert all(p.is_file() and not p.name.endswith(".part") for d in (tmp_path / "deep").iterdir() for p in d.iterdir())
+    listed = image_manifest(spark, deep, kind="raw", subfolders=True)
+    plan = listed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "binaryFile" not in plan
+    flat = image_manifest(spark, plain, kind="raw")
+    assert listed.dtypes == flat.dtypes
+    sizes = sorted(map(tuple, flat.select("key", "bytes").collect()))
+    assert sorted(map(tuple, listed.select("key", "bytes").collect())) == sizes and len(sizes) > 20
+    newest = listed.agg(F.max("modified")).first()[0]
+    assert abs(newest.timestamp() - max(p.stat().st_mtime for p in (tmp_path / "deep").rglob("*.raw"))) < 1e-3
+    some = image_manifest(spark, deep, 7680, band="TCI", kind="raw", subfolders=True)
+    assert sorted(r["key"] for r in some.collect()) == [k for k, _ in sizes if k.startswith("7680-") and "-TCI" in k]
+    report = report_from_files(listed, fx.SIDE, fx.CENTRES)
+    assert sorted(map(tuple, report.collect())) == sorted(map(tuple, report_from_files(flat, fx.SIDE, fx.CENTRES).collect()))
+
+
+def test_the_query_leaves_its_list_to_tasks(spark, sf_dir, monkeypatch):
+    from cropscan import queries
+
+    def refused(*args, **options):
+        assert options.get("subfolders"), "a plain folder is listed by the driver"
+        return image_manifest(*args, **options)
+
+    monkeypatch.setattr(queries, "image_manifest", refused)
+    assert queries.QUERIES["report_from_files"](spark, sf_dir).count() == 12

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -10,6 +11,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cropscan.session import bound_methods, stored_for_a_while
 
@@ -36,6 +38,15 @@ def with_features(pixels: DataFrame, features: Sequence[str]) -> DataFrame:
 PLAIN = {"maxRecordsPerFile": 250_000, "compression": "none", "parquet.enable.dictionary": False}
 
 
+@contextmanager
+def _feature_table(rows: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
+    """The columns alone, numbers as doubles, stored for the time of a fit that reads them many times over."""
+    kinds = {f.name: f.dataType for f in rows.select(*columns).schema.fields}
+    narrow = rows.select(*(F.col(c).cast("double").alias(c) if isinstance(k, T.NumericType) else F.col(c) for c, k in kinds.items()))
+    with stored_for_a_while(narrow, "features", **PLAIN) as table:
+        yield table
+
+
 @dataclass(frozen=True)
 class FitSummary:
     """What a fit tells of itself."""

@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 from cropscan.functions.indices import INDICES, with_indices
 from cropscan.functions.quality import BRIGHT_LIMIT, clear_pixels, is_inside
-from cropscan.operators.clustering import PLAIN
+from cropscan.operators.clustering import _feature_table
 from cropscan.operators.masks import inside_mask
 from cropscan.operators.scaling import SCALED_SOURCES, extremes, minmax_scaled, scaled
-from cropscan.session import stored_for_a_while
 
 
 class _Stage(DefaultParamsReadable, DefaultParamsWritable):
@@ -141,5 +140,5 @@ class StoredKMeans(KMeans):
 
     def _fit(self, dataset: DataFrame) -> KMeansModel:
         weight = [self.getWeightCol()] if self.isDefined(self.weightCol) and self.getWeightCol() else []
-        with stored_for_a_while(dataset.select(self.getFeaturesCol(), *weight), "features", **PLAIN) as table:
+        with _feature_table(dataset, [self.getFeaturesCol(), *weight]) as table:
             return super()._fit(table)
